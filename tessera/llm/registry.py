@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate
+from tessera.llm import decontaminate, quality_rules, token_files
+from tessera.llm.shared import fresh_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,8 +38,25 @@ FROM dw LEFT JOIN cover USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality_rules.score_quality(docs, quality_rules.train(docs, _table(spark, sf_dir, "labels")))
+
+
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = fresh_path(spark, "token-files")
+    index = token_files.write_token_files(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return token_files.read_token_files(spark, folder, index)
+
+
 def queries() -> dict:
-    return {"op1_decontamination": op1_decontamination}
+    return {
+        "op1_decontamination": op1_decontamination,
+        "op7_quality_rules": op7_quality_rules,
+        "op10_token_files": op10_token_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
