@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, language_id, quality_classifier, quality_rules, sentence_pieces, token_files
+from tessera.llm import chat_format, decontaminate, html_wrapper, language_id, quality_classifier, quality_rules, sentence_pieces, token_files
 from tessera.llm.shared import fresh_path, remainder
 
 
@@ -65,6 +65,10 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrapper.extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.held_out_identification(_table(spark, sf_dir, "documents"))
 
@@ -102,6 +106,7 @@ def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_chat_format": op2_chat_format,
+        "op4_html_extraction": op4_html_extraction,
         "op5_language_id": op5_language_id,
         "op6_sentence_pieces": op6_sentence_pieces,
         "op7_quality_rules": op7_quality_rules,
