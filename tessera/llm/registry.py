@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, html_wrapper, language_id, quality_classifier, quality_rules, sentence_pieces, token_files
+from tessera.llm import chat_format, decontaminate, html_wrapper, jaccard_join, language_id, quality_classifier, quality_rules, sentence_pieces, token_files
 from tessera.llm.shared import fresh_path, remainder
 
 
@@ -65,6 +65,26 @@ FROM sized GROUP BY conv_id
 """
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (
+    SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS i FROM w WHERE len(w) > 0)),
+size AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM sh x JOIN sh y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN size p1 ON p1.doc_id = a JOIN size p2 ON p2.doc_id = b WHERE 100 * shared >= 80 * (p1.n + p2.n - shared)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a)
+SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(doc_id, coalesce(m, doc_id)) AS component_id
+FROM documents LEFT JOIN size USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a) USING (doc_id)
+"""
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_wrapper.extract_main_text(_table(spark, sf_dir, "pages"))
 
@@ -106,6 +126,7 @@ def queries() -> dict:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_chat_format": op2_chat_format,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_html_extraction": op4_html_extraction,
         "op5_language_id": op5_language_id,
         "op6_sentence_pieces": op6_sentence_pieces,
@@ -116,4 +137,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op2_chat_format": OP2_SQL}
+    return {"op1_decontamination": OP1_SQL, "op2_chat_format": OP2_SQL, "op3_jaccard_join": OP3_SQL}
