@@ -413,3 +413,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     smallest = labelled.groupBy("label").agg(F.min("doc").alias("component"))
     by_class = stored(labelled.join(smallest, "label").select("class", "component"), "components")
     return base.join(by_class, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The documents of each component's smallest id, with all their columns; of wholly repeated rows of one id, one.
+
+    Rows with a null id stay.
+    """
+    found = stored(near_duplicates(docs, percent), "near-duplicates")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    again = found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")
+    gone, again = stored(gone, "gone"), stored(again, "again")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    left = docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
+    if again.isEmpty():
+        return left
+    rows = left.join(small(again), F.col("doc_id") == F.col("_again"), "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_rest"))
+    once = rows.select("doc_id", "text", "_rest.*").select(*docs.columns)
+    return left.join(small(again), F.col("doc_id") == F.col("_again"), "left_anti").unionByName(once)

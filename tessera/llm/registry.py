@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat_format, decontaminate, html_wrapper, jaccard_join, language_id, quality_classifier, quality_rules, sentence_pieces, token_files
+from tessera.llm import chat_format, decontaminate, html_wrapper, jaccard_join, language_id, passage_dedup, quality_classifier, quality_rules, sentence_pieces, token_files
 from tessera.llm.shared import fresh_path, remainder
 
 
@@ -107,6 +107,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_quality(docs, quality_rules.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.find_passages(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = quality_classifier.train(docs, _table(spark, sf_dir, "labels"), remainder("doc_id", 3) != 1)
@@ -131,6 +135,7 @@ def queries() -> dict:
         "op5_language_id": op5_language_id,
         "op6_sentence_pieces": op6_sentence_pieces,
         "op7_quality_rules": op7_quality_rules,
+        "op8_passage_dedup": op8_passage_dedup,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_token_files": op10_token_files,
     }
