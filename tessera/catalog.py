@@ -1,4 +1,4 @@
-"""Registry of the queries over the reference-like roles of the test tables."""
+"""All queries over the reference-like roles of the test tables, by name."""
 
 from __future__ import annotations
 
@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.plans import base, records, retrieval, telemetry, texts, upkeep  # noqa: F401  (each registers its queries)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(base.SQL)
