@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -57,29 +58,46 @@ class PieceEncoder:
         self._split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self._model = self.tokenizer.model.tokenize
         self._byte_level = "ByteLevel" in json.dumps(json.loads(self.tokenizer.to_str())["pre_tokenizer"]) and self.tokenizer.normalizer is None
+        self._code = "H" if self.dtype.itemsize == 2 else "I"
+        self._space = "".join(t for t, _ in self._split(" "))
         outer = self
 
+        class Signs(dict):
+            """How the byte-level pre-tokeniser writes a sign."""
+
+            def __missing__(self, sign: str) -> str:
+                self[sign] = found = "".join(t for t, _ in outer._split(sign))
+                return found
+
         class Pieces(dict):
             def __missing__(self, piece: str) -> bytes:
                 if not piece or piece[0].isspace() or piece[-1].isspace():
                     raise _Split
                 if len(self) >= outer._limit:
                     self.clear()
-                self[piece] = ids = outer._encode_piece(" " + piece)
+                self[piece] = ids = outer._after_space(piece)
                 return ids
 
-        self._pieces = Pieces()
+        self._signs, self._pieces = Signs(), Pieces()
 
     def _encode_piece(self, text: str) -> bytes:
-        out = []
-        for token, _ in self._split(text):
-            ids = self._tokens.get(token)
-            if ids is None:
-                if len(self._tokens) >= self._limit:
-                    self._tokens.clear()
-                ids = self._tokens[token] = np.array([x.id for x in self._model(token)], self.dtype).tobytes()
-            out.append(ids)
-        return b"".join(out)
+        return b"".join([self._token(token) for token, _ in self._split(text)])
+
+    def _after_space(self, piece: str) -> bytes:
+        """The ids of a space and a piece; letters and a tail of commas and stops are pre-tokens for certain."""
+        word = piece.rstrip(",.")
+        if not word.isalpha():
+            return self._encode_piece(" " + piece)
+        ids = self._token(self._space + (word if word.isascii() else "".join(map(self._signs.__getitem__, word))))
+        return ids if len(word) == len(piece) else ids + self._token(piece[len(word) :])
+
+    def _token(self, token: str) -> bytes:
+        ids = self._tokens.get(token)
+        if ids is None:
+            if len(self._tokens) >= self._limit:
+                self._tokens.clear()
+            ids = self._tokens[token] = array(self._code, [x.id for x in self._model(token)]).tobytes()
+        return ids
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
