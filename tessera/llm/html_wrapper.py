@@ -79,10 +79,10 @@ def _never(key: str, inside: bool) -> bool:
     return bool(_words(key) & _NEVER_WORDS) or (not inside and "header" in _words(key))
 
 
-def blocks(page: str) -> tuple[list[tuple[tuple[str, ...], str, int]], set[tuple[str, ...]]]:
-    """(path, text, signs inside links) of each block of text, in page order, and the paths of all blocks that the page opens."""
-    stack: list[tuple[str, str]] = []
-    out: list[tuple[tuple[str, ...], str, int]] = []
+def blocks(page: str) -> tuple[list[tuple[tuple[str, ...], str, int, tuple[int, ...]]], set[tuple[str, ...]]]:
+    """(path, text, signs inside links, numbers of the elements of the path) of each block of text, in page order, and the paths of all blocks that the page opens."""
+    stack: list[tuple[str, str, int]] = []
+    out: list[tuple[tuple[str, ...], str, int, tuple[int, ...]]] = []
     opened: set[tuple[str, ...]] = set()
     parts: list[str] = []
     linked = link = 0
@@ -93,7 +93,7 @@ def blocks(page: str) -> tuple[list[tuple[tuple[str, ...], str, int]], set[tuple
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                out.append((path, text, min(linked, len(text))))
+                out.append((path, text, min(linked, len(text)), tuple(x[2] for x in stack)))
             parts.clear()
         linked = 0
 
@@ -143,7 +143,7 @@ def blocks(page: str) -> tuple[list[tuple[tuple[str, ...], str, int]], set[tuple
             key = _key(tag, m[3])
             if tag in _VOID or m[3].endswith("/") and tag not in _SCOPES:
                 continue
-            stack.append((tag, key))
+            stack.append((tag, key, m.start()))
             path = (*path, key)
             opened.add(path)
     if at < len(page):
@@ -159,12 +159,13 @@ def blocks(page: str) -> tuple[list[tuple[tuple[str, ...], str, int]], set[tuple
 def page_wrapper(page: str) -> list:
     """The union-free expression of one page."""
     root = ["", "", [], 1, 0, 0, None]
-    trail: list[list] = [root]
-    for path, text, linked in blocks(page)[0]:
+    trail, numbers = [root], ()
+    for path, text, linked, elements in blocks(page)[0]:
         k = 0
-        while k < len(path) and k + 1 < len(trail) and trail[k + 1][0] == path[k]:
+        while k < min(len(elements), len(numbers)) and elements[k] == numbers[k]:
             k += 1
         del trail[k + 1 :]
+        numbers = elements
         for key in path[k:]:
             node = [key, "", [], 1, 0, 0, None]
             trail[-1][2].append(node)
@@ -301,7 +302,7 @@ def main_text(page: str | None, paths: list[list[str]]) -> str:
     if not any(r in opened or not r for r in roots):
         roots = [tuple(p) for p in main_paths(page_wrapper(page))]
     out = []
-    for path, text, _ in found:
+    for path, text, _, _ in found:
         for r in roots:
             if path[: len(r)] == r and not any(_never(k, bool(r)) for k in path[len(r) :]):
                 out.append(text)

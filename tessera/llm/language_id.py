@@ -74,8 +74,8 @@ def counts(column: pa.Array) -> np.ndarray:
 def codewords(n: int) -> np.ndarray:
     """All splits into two sides for up to five languages; beyond, random dense codes of about 10 log2(n) bits."""
     if n <= 5:
-        splits = max(1, 2 ** (n - 1) - 1)
-        return np.array([[1 if c == 0 or (bit + 1) >> (c - 1) & 1 == 0 else -1 for bit in range(splits)] for c in range(n)])
+        splits = max(1, 2 ** max(0, n - 1) - 1)
+        return np.array([[1 if c == 0 or (bit + 1) >> (c - 1) & 1 == 0 else -1 for bit in range(splits)] for c in range(n)], int).reshape(n, splits)
     rng, bits = np.random.default_rng(11), int(np.ceil(10 * np.log2(n)))
     tries = [rng.choice([-1, 1], (n, bits)) for _ in range(200)]
     apart = [min((a != b).sum() for i, a in enumerate(t) for b in t[:i]) if n <= 60 else 0 for t in tries]
