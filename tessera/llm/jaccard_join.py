@@ -26,8 +26,8 @@ of a class are sent once a task. Nothing is dropped or capped.
 
 Null text and texts without words have no shingles and are their own component;
 fewer than five words count as one shingle. Rows of one id are each their own
-document. component_id is the smallest id of the component. Other columns than
-doc_id and text are not read.
+document. Rows without an id link like others, but component_id is the smallest id
+that a component has. Other columns than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -289,8 +289,9 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     Several texts may share an id: only the one with the wanted class answers.
     """
     small = wanted.count() <= BROADCAST_ROWS
-    rows = docs.select(F.col("doc_id").alias("doc"), "text").join(F.broadcast(wanted) if small else wanted, "doc")
-    keep = [f for f in rows.schema if f.name not in ("doc", "text")]
+    wanted = F.broadcast(wanted) if small else wanted
+    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(wanted, F.col("_id").eqNullSafe(F.col("doc")))
+    keep = [f for f in rows.schema if f.name not in ("_id", "doc", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches):
@@ -382,7 +383,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     docs = docs.select("doc_id", "text")
     surveyed = stored(survey(docs), "survey")
     base = surveyed.where(F.col("n").isNotNull()).select("doc_id", "n", "class", "bits")
-    classes = stored(base.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct(F.col("doc_id").alias("doc"), "n", "bits")).alias("s")).select("class", "s.*"), "classes")
+    classes = stored(base.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("doc"), "n", "bits")).alias("s")).select("class", "s.doc", "s.n", "s.bits"), "classes")
 
     often = surveyed.where(F.col("often").isNotNull()).groupBy("often").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "often").limit(ORDER_ROWS).toArrow()
     order = spark.sparkContext.broadcast(Order(often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()))  # ORDER_ROWS at most
