@@ -165,3 +165,10 @@ def draft_faults(subject: Column, body: Column, title: Column, person: Column, i
     hard += [("attachment", ~has_cv & attached), ("affiliation", attends), ("lab_requirement", whole.rlike(_REQUIRES) & ~low.rlike(r"\bif (?:your|the)\b"))]
     soft = [("cv_not_named", has_cv & ~attached), ("length", ~n.between(90, 210)), ("blocks", blocks < 4)]
     return F.struct(_reasons(hard).alias("hard"), _reasons(soft).alias("soft"))
+
+
+def cut_at_sentence_end(value: Column, limit: int) -> Column:
+    """The whole sentences that fit a limit, one space apart; the bare limit if not even one fits."""
+    whole = F.aggregate(split_sentences(value), F.lit(""), lambda kept, s: F.when(F.endswith(kept, F.lit("\u0000")), kept).when(F.length(kept) + 1 + F.length(s) <= limit, F.trim(F.concat(kept, F.lit(" "), s))).otherwise(F.concat(kept, F.lit("\u0000"))))
+    kept = F.replace(whole, F.lit("\u0000"), F.lit(""))
+    return F.when(F.length(value) <= limit, value).when(kept != "", kept).otherwise(F.substring(value, 1, limit))

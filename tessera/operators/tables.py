@@ -136,3 +136,39 @@ def batches(items: DataFrame, size: int, key: str) -> DataFrame:
     before = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_base"))  # a row a partition
     placed = spread.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
     return placed.join(F.broadcast(before), "_part").withColumn("batch", F.floor((F.col("_base") + F.col("_n") - 1) / size)).drop("_part", "_n", "_base")
+
+
+def match_states(matches: DataFrame, shown: DataFrame) -> DataFrame:
+    """Matches after swipes: the latest swipe of a match decides; its score is the shown one, else the stored, else 100 times the dot product.
+
+    shown: student_id, grant_id, at, status, score, dot. Swipes with unknown states count for nothing.
+    """
+    key = ["student_id", "grant_id"]
+    latest = shown.where(F.col("status").isin(*STATES)).groupBy(*key).agg(F.max_by(F.struct("status", "score", "dot"), F.struct("at", "status")).alias("s")).select(*key, "s.*")
+    both = matches.alias("m").join(latest.alias("n"), key, "full_outer")
+    fallback = F.greatest(F.lit(0), F.least(F.lit(100), F.bround(F.col("n.dot") * 100).cast("int")))
+    return both.select(*key, F.coalesce("n.status", "m.status").alias("status"), F.when(F.col("n.status").isNull(), F.col("m.score")).otherwise(F.coalesce("n.score", "m.score", fallback)).alias("score"))
+
+
+def answer_faults(asked: DataFrame, answered: DataFrame, required: list[str], share: float = 0.1) -> DataFrame:
+    """(fault, rows) of a batch of records: more than asked, not asked for, twice, without a key, too many missing.
+
+    asked: id; answered: id, record. Faults that do not occur have no row.
+    """
+    from tessera.functions.records import has_keys
+
+    n = asked.agg(F.count("*").alias("asked"))
+    known = answered.join(asked.select("id", F.lit(True).alias("_asked")), "id", "left")
+    counts = known.agg(
+        F.count("*").alias("rows"), F.count_if(F.col("_asked").isNull()).alias("not_asked"), (F.count("*") - F.count_distinct("id")).alias("twice"),
+        F.count_if(~has_keys(F.col("record"), required)).alias("missing_key"), F.count_distinct(F.when(F.col("_asked"), F.col("id"))).alias("found"),
+    ).crossJoin(n)
+    absent = F.col("asked") - F.col("found")
+    tests = {"too_many": F.greatest(F.lit(0), F.col("rows") - F.col("asked")), "not_asked": F.col("not_asked"), "twice": F.col("twice"), "missing_key": F.col("missing_key"), "absent": F.when(absent > F.col("asked") * share, absent).otherwise(0)}
+    each = counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("fault"), v.cast("long").alias("rows")) for k, v in tests.items()])).alias("f"))
+    return each.select("f.*").where("rows > 0")
+
+
+def quotes(evidence: DataFrame) -> DataFrame:
+    """(award, sentence, terms): each quoted sentence once, with the terms found in it in order."""
+    return evidence.groupBy("award", "sentence").agg(F.array_sort(F.collect_set("term")).alias("terms"))  # the student's terms at most

@@ -279,3 +279,33 @@ def test_streaming_funnel(spark, tmp_path):
     name = funnel.furthest_stage(stream).writeStream.format("memory").queryName("levels").outputMode("complete").trigger(availableNow=True).start()
     name.awaitTermination(120)
     assert {r["session_id"]: r["level"] for r in spark.table("levels").collect()} == {"s0": 1, "s1": 4, "s2": 4}
+
+
+def test_small_text_rules(spark):
+    assert each(spark, ["UNIVERSITY OF THE SOUTH", "MIT", "O'Brien College", "SUNY AT BUFFALO", None], "string", text.institution_name) == ["University of the South", "MIT", "O'Brien College", "SUNY at Buffalo", None]
+    assert each(spark, ["PROJECT SUMMARY: Rivers run.", "Project narrative: Rivers run.", "Rivers run.", ""], "string", text.strip_label) == [17, 19, 0, 0]
+    assert each(spark, ['```json\n{"sentence": "a"}\n```', "no", '{"terms": ["x"]}', None, "{broken}"], "string", lambda c: text.parse_answer(c)["terms"]) == [None, None, ["x"], None, None]
+    assert one(spark, text.verbatim_in(F.lit("CRISPR"), [F.lit(None).cast("string"), F.lit("the crispr tool")])) == "crispr"
+    assert one(spark, text.sorted_ignoring_case(F.array(F.lit("b"), F.lit("A"), F.lit("C")))) == ["A", "b", "C"]
+    assert each(spark, ["One two. Three four. Five six.", "short", "x" * 40], "string", lambda c: sentences.cut_at_sentence_end(c, 22)) == ["One two. Three four.", "short", "x" * 22]
+
+
+def test_model_stage_survives_failures(spark):
+    from tessera.operators import model_stage
+
+    def call(prompt):
+        if prompt == "bad":
+            raise RuntimeError("no answer")
+        return prompt * 2
+
+    rows = spark.createDataFrame([(1, "a"), (2, "bad"), (3, None)], "id int, p string")
+    assert [r["answer"] for r in model_stage.ask(rows, "p", call).orderBy("id").collect()] == ["aa", None, None]
+
+
+def test_outreach_and_states(spark):
+    m = spark.createDataFrame([(1, "emailed", "sent", None), (2, "saved", None, None), (3, "emailed", "replied", "t0")], "match_id int, status string, outreach_status string, responded_at string")
+    c = spark.createDataFrame([(1, "joined"), (2, "joined"), (3, "interview")], "match_id int, outreach_status string")
+    assert sorted(map(tuple, tables.outreach_change(m, c, F.lit("now")).collect())) == [(1, "emailed", "joined", "now"), (2, "saved", None, None), (3, "emailed", "interview", "t0")]
+    shown = spark.createDataFrame([("s", 1, 5, "skipped", None, 0.333), ("s", 1, 6, "saved", None, 0.333), ("s", 2, 1, "odd", 9, 0.1)], "student_id string, grant_id int, at int, status string, score int, dot double")
+    held = spark.createDataFrame([("s", 2, "saved", 40)], "student_id string, grant_id int, status string, score int")
+    assert sorted(map(tuple, tables.match_states(held, shown).collect())) == [("s", 1, "saved", 33), ("s", 2, "saved", 40)]
