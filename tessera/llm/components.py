@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import stored
 
+EDGES = 300_000  # edges that one task holds
+
 
 class Union:
     """Disjoint sets whose root is their smallest member."""
@@ -36,13 +38,13 @@ class Union:
 
 
 def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of each Arrow batch as stars around the smallest member of each local component."""
+    """The edges of a partition as stars around the smallest member of each of its components."""
+    union = Union()
     for batch in batches:
-        union = Union()
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             union.join(a, b)
-        nodes = list(union.parent)
-        yield pa.RecordBatch.from_pydict({"u": pa.array(nodes, pa.int64()), "v": pa.array([union.root(x) for x in nodes], pa.int64())})
+    nodes = list(union.parent)
+    yield pa.RecordBatch.from_pydict({"u": pa.array(nodes, pa.int64()), "v": pa.array([union.root(x) for x in nodes], pa.int64())})
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -61,13 +63,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, label) of every node with an edge to another one; label is the smallest node of its component.
 
-    Each round writes its edges to the shared folder; rounds grow with the
-    logarithm of the longest path, and end when the edges no longer change.
+    Edges are first reduced to stars in partitions of EDGES at most. If there are
+    several, rounds of large and small stars join them; each writes its edges to
+    the shared folder. Rounds grow with the logarithm of the longest path and end
+    when the edges no longer change.
     """
-    pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where(F.col("u") != F.col("v"))
-    now = stored(pairs.mapInArrow(_forests, "u long, v long").where(F.col("u") != F.col("v")), "edges")
+    pairs = stored(edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where(F.col("u") != F.col("v")), "pairs")
+    parts = max(1, -(-pairs.count() // EDGES))
+    dealt = pairs.coalesce(1) if parts == 1 else pairs.repartition(parts)
+    now = stored(dealt.mapInArrow(_forests, "u long, v long").where(F.col("u") != F.col("v")), "edges")
     mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before, seen = None, mark(now)
+    before, seen = (None, mark(now)) if parts > 1 else (0, 0)
     while seen != before:
         now = stored(_small_star(_large_star(now)), "edges")
         before, seen = seen, mark(now)

@@ -146,7 +146,7 @@ class Order:
 
 
 def post(docs: DataFrame, order, ranges: int, percent: int) -> DataFrame:
-    """(range, split, hashes, classes): the short-list postings of each class, in packed 64-bit numbers.
+    """(range, split, hashes, classes, sizes): the short-list postings of each class, as packed numbers.
 
     split: the shingles are so frequent that their lists lie in several ranges.
     """
@@ -156,21 +156,23 @@ def post(docs: DataFrame, order, ranges: int, percent: int) -> DataFrame:
         hashes: list[np.ndarray] = []
         owners: list[np.ndarray] = []
         spread: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            h, c, s = np.concatenate(hashes), np.concatenate(owners), np.concatenate(spread)
-            for x in (hashes, owners, spread):
+            h, c, s, n = (np.concatenate(x) for x in (hashes, owners, spread, sizes))
+            for x in (hashes, owners, spread, sizes):
                 x.clear()
             piece = K.mix(c ^ np.uint64(0xA5A5A5A5)) % s.astype(np.uint64)
             at = ((h >> np.uint64(16)) + piece * np.uint64(0x9E3779B1)) % np.uint64(ranges) * np.uint64(2) + (s > 1)
             o = np.argsort(at, kind="stable")
-            h, c, at = h[o], c[o], at[o]
+            h, c, n, at = h[o], c[o], n[o], at[o]
             cut = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
             some = list(zip(cut, cut[1:]))
             return pa.RecordBatch.from_pydict({
                 "range": pa.array([int(at[a]) // 2 for a, _ in some], pa.int32()), "split": pa.array([bool(at[a] % 2) for a, _ in some]),
                 "hashes": pa.array([h[a:b].tobytes() for a, b in some], pa.binary()), "classes": pa.array([c[a:b].tobytes() for a, b in some], pa.binary()),
+                "sizes": pa.array([n[a:b].tobytes() for a, b in some], pa.binary()),
             })
 
         for _, sets in _sets(batches):
@@ -183,6 +185,7 @@ def post(docs: DataFrame, order, ranges: int, percent: int) -> DataFrame:
                 hashes.append(s[first])
                 owners.append(np.full(len(first), key, np.int64).view(np.uint64))
                 spread.append(np.maximum(1, -(-times[first] // SPLIT_LIST)))
+                sizes.append(np.full(len(first), len(s), np.uint32))
                 size += len(first)
             if size > 1_000_000:
                 yield flush()
@@ -190,34 +193,40 @@ def post(docs: DataFrame, order, ranges: int, percent: int) -> DataFrame:
         if hashes:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "range int, split boolean, hashes binary, classes binary")
+    return docs.select("text").mapInArrow(run, "range int, split boolean, hashes binary, classes binary, sizes binary")
 
 
-def merge_lists(posted: DataFrame, ranges: int) -> DataFrame:
-    """Rows (a, b, list): pairs of classes from short lists (list null), and members a of long ones (list: its shingle, b: its first member here)."""
+def merge_lists(posted: DataFrame, ranges: int, percent: int = PERCENT) -> DataFrame:
+    """Rows (a, b, list): pairs of classes from short lists (list null), and members a of long ones (list: its shingle, b: its first member here).
+
+    Pairs whose sizes alone rule a link out are not made.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, tuple[list[bytes], list[bytes]]] = {False: ([], []), True: ([], [])}
+        held: dict[bool, tuple[list[bytes], ...]] = {False: ([], [], []), True: ([], [], [])}
         for batch in batches:
-            for split, h, c in zip(*(batch.column(k).to_pylist() for k in ("split", "hashes", "classes"))):
-                held[split][0].append(h)
-                held[split][1].append(c)
-        for split, (raw_h, raw_c) in held.items():
-            h, c = longs(raw_h), longs(raw_c).view(np.int64)
-            raw_h.clear(), raw_c.clear()
+            for split, *raw in zip(*(batch.column(k).to_pylist() for k in ("split", "hashes", "classes", "sizes"))):
+                for x, y in zip(held[split], raw):
+                    x.append(y)
+        for split, raw in held.items():
+            h, c = longs(raw[0]), longs(raw[1]).view(np.int64)
+            n = np.frombuffer(b"".join(raw[2]), "<u4").astype(np.int64)
+            for x in raw:
+                x.clear()
             o = np.lexsort((c, h))
-            h, c = h[o], c[o]
+            h, c, n = h[o], c[o], n[o]
             fresh = np.ones(len(h), bool)
             fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-            h, c = h[fresh], c[fresh]
+            h, c, n = h[fresh], c[fresh], n[fresh]
             cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) if len(h) else np.zeros(1, int)
             size, at = np.diff(cut), cut[:-1]
             pairs = []
             if not split:
                 for k in np.unique(size[(size > 1) & (size <= PAIR_LIST)]):
-                    lists = c[at[size == k][:, None] + np.arange(k)]
-                    i, j = np.triu_indices(k, 1)
-                    pairs.append(np.stack([lists[:, i].ravel(), lists[:, j].ravel()], axis=1))
+                    lists = at[size == k][:, None] + np.arange(k)
+                    i, j = (lists[:, x].ravel() for x in np.triu_indices(k, 1))
+                    fits = np.minimum(n[i], n[j]) >= least_overlap(n[i], n[j], percent)
+                    pairs.append(np.stack([c[i[fits]], c[j[fits]]], axis=1))
             if pairs:
                 both = np.concatenate(pairs)
                 both = np.unique(both.view([("a", np.int64), ("b", np.int64)]).ravel())
@@ -304,7 +313,8 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def verify(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link. Partners go to class a, in groups of a bounded size; a's own set goes to each group."""
-    grouped = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(64)))
+    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    grouped = pairs.join(degree, "a").select(*pairs.columns, F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
     partner = grouped.select("a", "part", F.col("b").alias("class"), F.col("doc_b").alias("doc"))
     center = grouped.select("a", "part", F.col("a").alias("class"), F.col("doc_a").alias("doc")).distinct()
     rows = _fetch(docs, stored(center.unionByName(partner), "partners"))
@@ -389,7 +399,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     order = spark.sparkContext.broadcast(Order(often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()))  # ORDER_ROWS at most
     total = classes.agg(F.sum(F.ceil(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // RANGE_POSTINGS))
-    merged = stored(merge_lists(post(docs, order, ranges, percent), ranges), "lists")
+    merged = stored(merge_lists(post(docs, order, ranges, percent), ranges, percent), "lists")
 
     long_lists = merged.where(F.col("list").isNotNull())
     heads = long_lists.select("list", "b").distinct()

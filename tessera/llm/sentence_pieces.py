@@ -34,8 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SPACE = "▁"
-CACHE = 300_000
+CACHE = 400_000  # words held while a task runs
+BEGINNINGS = 150_000  # beginnings of words with their last pieces held while a task runs
+PAIRS = 400_000  # pairs of pieces held in a worker
 COMMIT_EVERY = 64
+SHORT = 48  # signs of a word up to which places are looked at only when a path needs them
 _UNKNOWN_COST = 10.0
 
 
@@ -56,34 +59,104 @@ class SentencePieces:
         self.floor = min(self.scores.values(), default=0.0) - _UNKNOWN_COST
         self.words_split = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
         self.chunk = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
-        self._limit, self._strange = cache, {}
+        self._limit, self._strange, self._lasts = cache, {}, {}
         self._forget()
         outer = self
 
         class Words(dict):
+            """Ids of words as bytes, in two generations: what is not used again leaves with the older one."""
+
+            old: dict[str, bytes] = {}
+
             def __missing__(self, word: str) -> bytes:
-                if len(self) >= outer._limit:
-                    self.clear()
-                out = array("i", [i for some in outer.search(word) for i in some]).tobytes()
+                out = self.old.get(word)
+                if out is None:
+                    out = outer._word(word)
                 if len(word) <= 64:
+                    if len(self) >= outer._limit // 2:
+                        self.old = dict(self)
+                        self.clear()
                     self[word] = out
                 return out
 
         self._words = Words()
         self._prepare()
+        # the longest piece that ends in two signs, and so how far back a piece can begin
+        self._reach: dict[str, int] = {}
+        for piece in self.ids:
+            self._reach[piece[-2:]] = max(len(piece), self._reach.get(piece[-2:], 1))
+
+    def release(self) -> None:
+        """Gives back the memory of words; which pieces may follow which stays known."""
+        self._words.clear()
+        self._words.old = {}
+        self._lasts.clear()
 
     def encode(self, text: str) -> np.ndarray:
         normal = self.model.normalize(text)
         parts = self.chunk(normal) if self.words_split else [normal]
         return np.frombuffer(b"".join(map(self._words.__getitem__, parts)), "<i4")
 
+    def _word(self, word: str) -> bytes:
+        """Under BPE a last mark that may follow the last piece of what is before it is a piece of its own."""
+        if not self.unigram and len(word) > 2 and word[-1] in ".,;:!?":
+            head, mark = self._words[word[:-1]], self.ids.get(word[-1])
+            last = self.pieces[int.from_bytes(head[-4:], "little")]
+            if mark is not None and last in self.ids and self._follows(last, word[-1]):
+                return head + mark.to_bytes(4, "little")
+        if self.unigram or len(word) > SHORT:
+            return array("i", [i for some in self.search(word) for i in some]).tobytes()
+        out, ids, end = [], self.ids, len(word)
+        while end:
+            piece = self._last(word[:end])
+            end -= len(piece)
+            known = ids.get(piece)
+            out += [known] if known is not None else self._unknown_ids(piece)[::-1]
+        return array("i", out[::-1]).tobytes()
+
+    def _last(self, text: str) -> str:
+        """The backpointer of a short word's end: its last piece. Beginnings that words share are looked up once."""
+        found = self._lasts.get(text)
+        if found is not None:
+            return found
+        n, links = len(text), self._links
+        found = text[-1]
+        for begin in range(max(0, n - self._reach.get(text[-2:], 1)), n):
+            piece = text[begin:]
+            follows = links.get(piece)
+            if follows is None:
+                if begin < n - 1:
+                    continue
+                follows = self._unknown_links(piece)
+            left = self._last(text[:begin]) if begin else ""
+            allowed = follows.get(left)
+            if allowed is None:
+                allowed = follows[left] = self._may_follow(left, piece)
+            if allowed:
+                found = piece
+                break
+        if len(self._lasts) >= BEGINNINGS:
+            self._lasts.clear()
+        self._lasts[text] = found
+        return found
+
+    def _unknown_ids(self, signs: str) -> list[int]:
+        return [self.bytes[x] for x in signs.encode()] if self.bytes else [self.unknown]
+
+    def _follows(self, left: str, piece: str) -> bool:
+        follows = self._links[piece]
+        allowed = follows.get(left)
+        if allowed is None:
+            allowed = follows[left] = self._may_follow(left, piece)
+        return allowed
+
     def search(self, text: str) -> Iterator[list[int]]:
         """Runs of ids, each as soon as all surviving paths agree on it."""
         base, back, worth, last = 0, [0], [0.0], [""]  # of the places from base on
-        n, longest, links, unigram = len(text), self.longest, self._links, self.unigram
+        n, links, unigram, reach = len(text), self._links, self.unigram, self._reach.get
         for end in range(1, n + 1):
             best, at = None, end - 1
-            for begin in range(max(base, end - longest), end):
+            for begin in range(max(base, end - reach(text[end - 2 : end], 1)) if end > 1 else 0, end):
                 piece = text[begin:end]
                 follows = links.get(piece)
                 if follows is None:
@@ -129,18 +202,30 @@ class SentencePieces:
         for a, b in zip(cuts[:0:-1], cuts[-2::-1]):
             if (known := self.ids.get(text[a:b])) is not None:
                 out.append(known)
-            elif self.bytes:
-                out += [self.bytes[x] for x in text[a:b].encode()]
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
+            elif self.bytes or not out or out[-1] != self.unknown:
+                out += self._unknown_ids(text[a:b])
         return out
 
     def _may_follow(self, left: str, right: str) -> bool:
         """Whether merging by rank turns left + right into just these two pieces; left is empty at the start."""
         self._checked += 1
-        if self._checked >= 8 * self._limit:
+        if self._checked >= PAIRS:
             self._forget()
-        return self._merged(left + right) == ([left, right] if left else [right])
+        signs, border = list(left + right), len(left)
+        score = self.scores.get
+        while len(signs) > 1:
+            pairs = [score(a + b) for a, b in zip(signs, signs[1:])]
+            best, at = None, -1
+            for k, value in enumerate(pairs):
+                if value is not None and (best is None or value > best):
+                    best, at = value, k
+            if at < 0:
+                break
+            if at == border - 1:  # signs of both pieces would merge
+                return False
+            signs[at : at + 2] = [signs[at] + signs[at + 1]]
+            border -= at < border
+        return signs == ([left, right] if left else [right])
 
     def _forget(self) -> None:
         """Starts the memory of which piece may follow which anew; it maps a piece to what was found for its left neighbours."""
@@ -152,18 +237,6 @@ class SentencePieces:
             self._strange.clear()
         return found
 
-    def _merged(self, text: str) -> list[str]:
-        signs = list(text)
-        while True:
-            best, at = None, -1
-            for k in range(len(signs) - 1):
-                score = self.scores.get(signs[k] + signs[k + 1])
-                if score is not None and (best is None or score > best):
-                    best, at = score, k
-            if at < 0:
-                return signs
-            signs[at : at + 2] = [signs[at] + signs[at + 1]]
-
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; control pieces are left out, unknown ones are shown as the library shows them."""
         texts = self._texts
@@ -237,6 +310,7 @@ def encode_pieces(docs: DataFrame, path: str, keep: list[str] | None = None) ->
                 n = np.array([len(x) for x in ids], np.int64)
                 flat = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32)), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_pydict({c: part.column(c) for c in keep} | {"ids": flat, "n_ids": pa.array(n)})
+        model.release()
 
     frame = docs.select(*dict.fromkeys([*keep, "text"]))
     return frame.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name in keep] + ["ids array<int>", "n_ids long"]))

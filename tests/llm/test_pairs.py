@@ -88,7 +88,9 @@ def test_bitmaps_bound_the_overlap():
         assert jaccard_join.most_overlap(jaccard_join.bitmap(a), jaccard_join.bitmap(b), len(a), len(b)) >= len(np.intersect1d(a, b))
 
 
-def test_components(spark):
+@pytest.mark.parametrize("held", [300_000, 10])
+def test_components(spark, held, monkeypatch):
+    monkeypatch.setattr(components, "EDGES", held)
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 120) if i % 30] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
     union = components.Union()
