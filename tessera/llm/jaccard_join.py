@@ -11,7 +11,9 @@ the lists spread over the cluster:
    counts cover all documents but only steer the order; any order is right.
 3. Short lists: each class posts its first n - T + 1 shingles to ranges of hashes;
    a range's task merges the sorted postings into lists. Short lists give pairs
-   of classes. Longer ones give a pair of each member with the list's first
+   of classes, but not where both have one shingle just before this one in the
+   common order: the list of that one has the pair. Nor where too few shingles
+   follow: a pair that links has enough from its first common shingle on. Longer ones give a pair of each member with the list's first
    member only, and their members are remembered (5).
 4. Pairs whose sizes or parity bitmaps prove too little overlap go. For the rest,
    partners are sent to the smaller class, which finds those that reach T by a
@@ -53,6 +55,7 @@ SPLIT_LIST = 2000  # classes of a list in one task
 RANGE_POSTINGS = 400_000  # postings in one range of hashes
 BLOCK = 256  # classes on either side of a block
 BROADCAST_ROWS = 1_000_000
+_NONE = np.uint64(0)
 
 
 def least_overlap(a, b, percent: int = PERCENT):
@@ -146,8 +149,10 @@ class Order:
 
 
 def post(docs: DataFrame, order, ranges: int, percent: int) -> DataFrame:
-    """(range, split, hashes, classes, sizes): the short-list postings of each class, as packed numbers.
+    """(range, split, hashes, classes, sizes, befores, lefts): the short-list postings of each class, as packed numbers.
 
+    before: the class's shingle before this one in the common order, 0 for its first.
+    left: how many of the class's shingles come from this one on.
     split: the shingles are so frequent that their lists lie in several ranges.
     """
 
@@ -157,22 +162,25 @@ def post(docs: DataFrame, order, ranges: int, percent: int) -> DataFrame:
         owners: list[np.ndarray] = []
         spread: list[np.ndarray] = []
         sizes: list[np.ndarray] = []
+        befores: list[np.ndarray] = []
+        lefts: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            h, c, s, n = (np.concatenate(x) for x in (hashes, owners, spread, sizes))
-            for x in (hashes, owners, spread, sizes):
+            h, c, s, n, f, m = (np.concatenate(x) for x in (hashes, owners, spread, sizes, befores, lefts))
+            for x in (hashes, owners, spread, sizes, befores, lefts):
                 x.clear()
             piece = K.mix(c ^ np.uint64(0xA5A5A5A5)) % s.astype(np.uint64)
             at = ((h >> np.uint64(16)) + piece * np.uint64(0x9E3779B1)) % np.uint64(ranges) * np.uint64(2) + (s > 1)
             o = np.argsort(at, kind="stable")
-            h, c, n, at = h[o], c[o], n[o], at[o]
+            h, c, n, f, m, at = h[o], c[o], n[o], f[o], m[o], at[o]
             cut = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
             some = list(zip(cut, cut[1:]))
             return pa.RecordBatch.from_pydict({
                 "range": pa.array([int(at[a]) // 2 for a, _ in some], pa.int32()), "split": pa.array([bool(at[a] % 2) for a, _ in some]),
                 "hashes": pa.array([h[a:b].tobytes() for a, b in some], pa.binary()), "classes": pa.array([c[a:b].tobytes() for a, b in some], pa.binary()),
-                "sizes": pa.array([n[a:b].tobytes() for a, b in some], pa.binary()),
+                "sizes": pa.array([n[a:b].tobytes() for a, b in some], pa.binary()), "befores": pa.array([f[a:b].tobytes() for a, b in some], pa.binary()),
+                "lefts": pa.array([m[a:b].tobytes() for a, b in some], pa.binary()),
             })
 
         for _, sets in _sets(batches):
@@ -186,6 +194,8 @@ def post(docs: DataFrame, order, ranges: int, percent: int) -> DataFrame:
                 owners.append(np.full(len(first), key, np.int64).view(np.uint64))
                 spread.append(np.maximum(1, -(-times[first] // SPLIT_LIST)))
                 sizes.append(np.full(len(first), len(s), np.uint32))
+                befores.append(np.concatenate([[_NONE], s[first[:-1]]]))
+                lefts.append((len(s) - np.arange(len(first))).astype(np.uint32))
                 size += len(first)
             if size > 1_000_000:
                 yield flush()
@@ -193,31 +203,33 @@ def post(docs: DataFrame, order, ranges: int, percent: int) -> DataFrame:
         if hashes:
             yield flush()
 
-    return docs.select("text").mapInArrow(run, "range int, split boolean, hashes binary, classes binary, sizes binary")
+    return docs.select("text").mapInArrow(run, "range int, split boolean, hashes binary, classes binary, sizes binary, befores binary, lefts binary")
 
 
 def merge_lists(posted: DataFrame, ranges: int, percent: int = PERCENT) -> DataFrame:
     """Rows (a, b, list): pairs of classes from short lists (list null), and members a of long ones (list: its shingle, b: its first member here).
 
-    Pairs whose sizes alone rule a link out are not made.
+    Pairs whose sizes alone rule a link out are not made, nor those that share the
+    shingle before or have too few shingles left. The first common shingle of two
+    classes that link passes all three.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, tuple[list[bytes], ...]] = {False: ([], [], []), True: ([], [], [])}
+        held: dict[bool, tuple[list[bytes], ...]] = {k: ([], [], [], [], []) for k in (False, True)}
         for batch in batches:
-            for split, *raw in zip(*(batch.column(k).to_pylist() for k in ("split", "hashes", "classes", "sizes"))):
+            for split, *raw in zip(*(batch.column(k).to_pylist() for k in ("split", "hashes", "classes", "sizes", "befores", "lefts"))):
                 for x, y in zip(held[split], raw):
                     x.append(y)
         for split, raw in held.items():
             h, c = longs(raw[0]), longs(raw[1]).view(np.int64)
-            n = np.frombuffer(b"".join(raw[2]), "<u4").astype(np.int64)
+            n, f, m = np.frombuffer(b"".join(raw[2]), "<u4").astype(np.int64), longs(raw[3]), np.frombuffer(b"".join(raw[4]), "<u4").astype(np.int64)
             for x in raw:
                 x.clear()
             o = np.lexsort((c, h))
-            h, c, n = h[o], c[o], n[o]
+            h, c, n, f, m = h[o], c[o], n[o], f[o], m[o]
             fresh = np.ones(len(h), bool)
             fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-            h, c, n = h[fresh], c[fresh], n[fresh]
+            h, c, n, f, m = h[fresh], c[fresh], n[fresh], f[fresh], m[fresh]
             cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) if len(h) else np.zeros(1, int)
             size, at = np.diff(cut), cut[:-1]
             pairs = []
@@ -225,7 +237,7 @@ def merge_lists(posted: DataFrame, ranges: int, percent: int = PERCENT) -> DataF
                 for k in np.unique(size[(size > 1) & (size <= PAIR_LIST)]):
                     lists = at[size == k][:, None] + np.arange(k)
                     i, j = (lists[:, x].ravel() for x in np.triu_indices(k, 1))
-                    fits = np.minimum(n[i], n[j]) >= least_overlap(n[i], n[j], percent)
+                    fits = (np.minimum(m[i], m[j]) >= least_overlap(n[i], n[j], percent)) & ((f[i] != f[j]) | (f[i] == _NONE))
                     pairs.append(np.stack([c[i[fits]], c[j[fits]]], axis=1))
             if pairs:
                 both = np.concatenate(pairs)
