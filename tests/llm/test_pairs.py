@@ -148,6 +148,78 @@ def test_passages(spark, docs, held, monkeypatch):
     assert not alone & set(covered)  # prose without copies is left alone
 
 
+def run_stretches(x, y, least, similar):
+    """Stretches of x between runs of common shingles that some stretch of y is similar to, by trying all."""
+    common, out = set(y), []
+    begins = [i for i in range(len(x)) if x[i] in common and (i == 0 or x[i - 1] not in common)]
+    ends = [i + 1 for i in range(len(x)) if x[i] in common and (i + 1 == len(x) or x[i + 1] not in common)]
+    for a in begins:
+        for b in (b for b in ends if b - a >= least):
+            mine, best = set(x[a:b]), 0
+            for c in range(len(y)):
+                theirs, both = set(), 0
+                for z in y[c:]:
+                    both += z in mine and z not in theirs
+                    theirs.add(z)
+                    best = max(best, both / (len(mine) + len(theirs) - both))
+            out += [(a, b)] if best >= similar else []
+    return out
+
+
+def passages_of(x, y, least=46, similar=0.8):
+    x, y = np.array(x, np.uint32), np.array(y, np.uint32)
+    return passage_dedup.shared_passages(x, y, passage_dedup.shingle_places(y), least, similar)
+
+
+def numbered(*texts):
+    seen = {}
+    return [[seen.setdefault(tuple(w[i : i + 5]), len(seen)) for i in range(len(w) - 4)] for w in texts]
+
+
+def test_passage_with_words_inserted_in_its_middle():
+    y = list(range(1000, 1090))
+    x = [1, 2, 3] + y[:45] + list(range(10, 19)) + y[45:] + [4, 5, 6]
+    assert [r[:2] for r in passages_of(*numbered(x, y))] == [(3, 98)]
+    assert [r[:2] for r in passages_of(*numbered(y, x))] == [(0, 86)]  # deleted words
+
+
+def test_passage_that_is_only_part_of_a_stretch():
+    y = list(range(1000, 1070))
+    x = list(y)
+    x[25], x[50] = 1, 2  # runs of 21, 20 and 15 shingles, 0.737 in all; the first two 0.804
+    assert [(*r[:4], round(r[4], 3)) for r in passages_of(*numbered(x, y))] == [(0, 46, 0, 46, 0.804)]
+
+
+def test_passages_are_all_run_bounded_stretches():
+    rng, wanted = random.Random(7), 0
+    for t in range(120):
+        words = range(6) if t % 4 == 0 else range(10_000)
+        y = [rng.choice(words) for _ in range(rng.randint(25, 60))]
+        x = list(y)
+        for _ in range(rng.randint(1, 4)):
+            k, n = rng.randrange(len(x)), rng.randint(1, 4)
+            kind = rng.choice("idcm")
+            if kind == "i":
+                x[k:k] = [rng.randrange(20_000, 30_000) for _ in range(n)]
+            elif kind == "d":
+                del x[k : k + n]
+            elif kind == "c":
+                x[k] = rng.randrange(20_000, 30_000)
+            else:  # moved
+                x = x[k:] + x[:k]
+        x, y = numbered(x, y)
+        if len(x) < 12 or len(y) < 12:
+            continue
+        found = passages_of(x, y, 12)
+        for a, b, c, d, value in found:
+            mine, theirs = set(x[a:b]), set(y[c:d])
+            assert b - a >= 12 and value >= 0.8 and len(mine & theirs) / len(mine | theirs) == pytest.approx(value)
+        expected = run_stretches(x, y, 12, 0.8)
+        wanted += len(expected)
+        assert all(any(a <= i and j <= b for a, b, *_ in found) for i, j in expected)
+    assert wanted > 100
+
+
 def test_cut_passages(spark, docs, no_docs):
     cut = passage_dedup.cut_passages(docs, passage_dedup.find_passages(docs))
     assert cut.columns == docs.columns
