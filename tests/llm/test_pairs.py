@@ -220,6 +220,26 @@ def test_passages_are_all_run_bounded_stretches():
     assert wanted > 100
 
 
+@pytest.mark.parametrize("held", [200_000, 300])
+def test_passages_of_a_common_template(spark, held, monkeypatch):
+    """Many texts share 44 to 48 words, a few of them 50 or more; members with other tails lie between."""
+    monkeypatch.setattr(passage_dedup, "HELD_WINDOWS", held)
+    rng, rows = random.Random(12), []
+    for t in range(6):
+        template = prose(rng, 44).split(" ")
+        tails = [prose(rng, 12).split(" ") for _ in range(12)]
+        for i in range(60):
+            words = template + rng.choice(tails)[: rng.choice([2, 4, 6, 8, 12])]
+            rows.append((len(rows), " ".join([*prose(rng, 30).split(" "), *words, *prose(rng, 30).split(" ")])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    covered = defaultdict(set)
+    for r in passage_dedup.find_passages(docs).collect():
+        covered[r["doc_id"]].update(range(r["begin"], r["end"]))
+    need = repeated_words(rows)
+    assert len(need) > 100
+    assert [i for i, words in need.items() if not words <= covered[i]] == []
+
+
 def test_cut_passages(spark, docs, no_docs):
     cut = passage_dedup.cut_passages(docs, passage_dedup.find_passages(docs))
     assert cut.columns == docs.columns
