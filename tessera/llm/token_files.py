@@ -45,14 +45,14 @@ class PieceEncoder:
     With byte-level pre-tokenisation a space before a non-space sign starts a
     pre-token whatever stands around it, so the ids of a text are those of its
     pieces in a row. Texts with other white space at a piece's border go to the
-    library whole. Strings of special tokens are ordinary text.
+    library whole, and so do texts that hold the string of an added token.
     """
 
     def __init__(self, path: str, cache: int = CACHE):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self._added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
         self._limit, self._tokens = cache, {}
         self._split = self.tokenizer.pre_tokenizer.pre_tokenize_str
@@ -103,7 +103,7 @@ class PieceEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not self._byte_level:
+        if not self._byte_level or any(t in text for t in self._added):
             return self.whole(text)
         head, *pieces = text.split(" ")
         if not pieces:

@@ -242,3 +242,12 @@ def test_piece_encoder_is_the_librarys():
     for _ in range(1500):
         t = "".join(rng.choice(parts) for _ in range(rng.randint(0, 40)))
         assert np.frombuffer(encode(t), encode.dtype).tolist() == encode.tokenizer.encode(t, add_special_tokens=False).ids
+
+
+def test_strings_of_added_tokens_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    encode, plain = token_files.PieceEncoder(GPT), Tokenizer.from_file(GPT)
+    for t in ("hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b c", "no <|endoftext| > here", "plain words, only"):
+        assert np.frombuffer(encode(t), encode.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids
+    assert 50256 in np.frombuffer(encode("hello <|endoftext|> world"), encode.dtype)
