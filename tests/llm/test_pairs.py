@@ -298,16 +298,100 @@ def test_decontamination_of_nothing(spark, docs, no_docs):
     assert decontaminate.find_contamination(no_docs, none).collect() == []
 
 
-def test_suffix_array_and_longest_match():
+def test_suffix_array_is_sorted():
     rng = np.random.default_rng(4)
-    words = np.concatenate([rng.integers(1, 4, 60).astype(np.uint64), np.zeros(12, np.uint64)])
-    array = decontaminate.suffix_array(words, np.arange(60), 12)
-    keys = [tuple(words[p : p + 12]) for p in array]
-    assert keys == sorted(keys)
-    text = "a b c d e f g h i j k l m n o"
-    tests = decontaminate.TestSuffixes(["x"], [text], 13)
-    counts, hits = decontaminate._shard_hits(pa.array([f"q {text} a b", "a b c", None]), tests)
-    assert counts.tolist() == [18, 3, 0] and hits == {0: ([(1, 16)], {0}, 15)}
+    words = rng.integers(1, 4, 80).astype(np.uint64)
+    gap = np.zeros(80, bool)
+    gap[[20, 33, 79]] = True
+    words[gap] = 0
+    shard = decontaminate.suffix_array(words, gap, 40)
+    keys = [tuple(words[p : p + 64].tolist()) for p in shard.array]
+    assert keys == sorted(keys) and len(keys) == 77
+
+
+def brute_matches(text, items):
+    """The longest match that begins at each word: its words, and whether some item has it so long."""
+    w, vs, out = alnum_words(text), [alnum_words(t) for _, t in items], []
+    for i in range(len(w)):
+        best = 0
+        for v in vs:
+            for j in range(len(v)):
+                k = 0
+                while i + k < len(w) and j + k < len(v) and w[i + k] == v[j + k]:
+                    k += 1
+                best = max(best, k)
+        out.append(best)
+    return out
+
+
+def test_longest_matches_and_their_places():
+    rng = random.Random(9)
+    for t in range(60):
+        words = "abc" if t % 2 else [f"w{i}" for i in range(30)]
+        items = [(str(i), " ".join(rng.choice(words) for _ in range(rng.randint(1, 30)))) for i in range(4)]
+        items += [("9", items[0][1])]
+        texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 40))) + " " + " ".join(items[1][1].split(" ")[rng.randint(0, 3) :]) for _ in range(5)] + [None, ""]
+        tests = decontaminate.TestSuffixes([i for i, _ in items], [x for _, x in items], 5)
+        counts, hits = decontaminate.shard_hits(pa.array(texts), tests)
+        assert counts.tolist() == [len(alnum_words(x)) for x in texts]
+        expected = {doc: row for doc, row in zip(range(len(texts)), brute_contamination_spans(texts, items, 5)) if row[0]}
+        assert {i: (h.spans, sorted(x for k in h.items for x in tests.names[k])) for i, h in hits.items()} == expected
+        for i, h in hits.items():
+            best = brute_matches(texts[i], items)
+            w = alnum_words(texts[i])
+            for (a, b), (item, item_begin, begin, length) in zip(h.spans, h.matches):
+                v = alnum_words(dict(items)[tests.names[item][0]])
+                assert w[begin : begin + length] == v[item_begin : item_begin + length] and length >= 1
+                assert length <= max(best[a:b])
+            if i == max(hits, key=lambda d: max(brute_matches(texts[d], items))) and max(brute_matches(texts[i], items)) >= 5:
+                assert max(m[3] for m in h.matches) == max(brute_matches(texts[i], items))  # the longest of the shard is found
+
+
+def window_grams(items, window):
+    grams = defaultdict(set)
+    for _, t in items:
+        v = alnum_words(t)
+        n = min(window, len(v))
+        if n:
+            grams[n] |= {tuple(v[k : k + n]) for k in range(len(v) - n + 1)}
+    return grams
+
+
+def brute_contamination_spans(texts, items, window):
+    out = []
+    for text in texts:
+        w, cover, ids = alnum_words(text), [], set()
+        for item, t in items:
+            for n, grams in window_grams([(item, t)], window).items():
+                found = [(k, k + n) for k in range(len(w) - n + 1) if tuple(w[k : k + n]) in grams]
+                cover += found
+                ids |= {item} if found else set()
+        cover = sorted(cover)
+        out.append((decontaminate.merge(np.array([c[0] for c in cover]), np.array([c[1] for c in cover])), sorted(ids)))
+    return out
+
+
+@pytest.mark.parametrize("kind", ["copies of a long item", "equal items", "near-equal items", "one word over and over"])
+def test_time_grows_with_the_words(kind):
+    """Each took minutes, or did not end, with suffixes compared word by word."""
+    import time
+
+    rng = random.Random(1)
+    long_ = " ".join(f"w{rng.randrange(5000)}" for _ in range(6000))
+    short = long_.split(" ")[:500]
+    if kind == "copies of a long item":
+        items, texts = [long_], [long_] * 40
+    elif kind == "equal items":
+        items, texts = [" ".join(short)] * 1000, [" ".join(short)] * 40
+    elif kind == "near-equal items":
+        items, texts = [" ".join([*short[:i], "x", *short[i + 1 :]]) for i in range(300)], [" ".join(short)] * 40
+    else:
+        items, texts = ["a " * 6000], ["a " * 6000] * 40
+    began = time.perf_counter()
+    tests = decontaminate.TestSuffixes([str(i) for i in range(len(items))], items, 13)
+    _, hits = decontaminate.shard_hits(pa.array(texts), tests)
+    assert time.perf_counter() - began < 8
+    assert len(hits) == 40 and all(len(h.spans) == 1 for h in hits.values())
 
 
 def test_words_and_shingles_of_one_text_do_not_run_into_the_next():
