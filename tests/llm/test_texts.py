@@ -110,7 +110,7 @@ def test_pieces_are_the_librarys():
         ids = model.encode(t)
         assert ids.tolist() == model.model.encode(t)
         assert model.decode(ids) == model.model.decode(ids.tolist())
-    assert len(list(model.search("quickbrown漢" * 300))) > 10  # long texts are committed bit by bit
+    assert len(model.search("quickbrown漢" * 300)) > 10  # long texts are committed bit by bit
 
 
 def test_unigram_paths_are_the_best_of_all():
@@ -127,10 +127,40 @@ def test_unigram_paths_are_the_best_of_all():
     def worth(parts):
         return sum(model.scores.get(p, model.floor if len(p) == 1 else -1e12) for p in parts)
 
-    for word in ["▁the", "▁thinking", "▁rivers", "▁zqxj", "▁in漢", "été"]:
-        got = [model.pieces[i] for some in model.search(word) for i in some if i not in model.bytes.values()]
+    words = ["▁the", "▁thinking", "▁rivers", "▁zqxj", "▁in漢", "été"]
+    together = dict(model.search_words(words))
+    for word in words:
         best = max(cuts(word), key=worth)
-        assert got == [p for p in best if p in model.ids]
+        for ids in (together[word], model._search_alone(word)):
+            got = [model.pieces[i] for i in np.frombuffer(b"".join(ids), "<i4") if i not in model.bytes.values()]
+            assert got == [p for p in best if p in model.ids]
+
+
+def test_long_words_are_searched_alike(monkeypatch):
+    """Thousands of stops and other words without a space, one by one and all at once, against the library."""
+    model, rng = sentence_pieces.SentencePieces(BPE), random.Random(4)
+    words = ["." * 600, "!" * 5001, "." * 100_000, "漢字" * 700, "".join(rng.choice("etaoin漢.") for _ in range(3000)), "=" * 70, "ab" * 40]
+    for few in (32, 0):
+        monkeypatch.setattr(sentence_pieces, "FEW", few)
+        model.release()
+        for w, ids in zip(words, model.encode_all(words if few else [w[:6000] for w in words])):
+            assert ids.tolist() == model.model.encode(w if few else w[:6000])
+    assert len(model.search("quickbrown漢" * 300)) > 10
+
+
+def test_pairs_of_pieces_stay_apart_as_merging_says():
+    model, rng = sentence_pieces.SentencePieces(BPE), random.Random(6)
+    ids, n = sorted(model.ids.values()), len(model.pieces)
+    pairs = [(rng.choice(some) + 1) * n + rng.choice(some) for some in (ids, ids[:600]) for _ in range(4000)] + [(i + 1) * n + i for i in ids[::7]] + ids[::5]
+    pairs += [(int(i) + 1) * n + rng.choice(ids) for i in np.flatnonzero(model._odd)] + [(n + 0x6F22 + 1) * n + rng.choice(ids) for _ in range(20)]
+    assert model._may_follow(np.array(pairs)).tolist() == [model._stay_apart(p) for p in pairs]
+
+
+def test_dots_through_spark(spark):
+    texts = ["." * 100_000, "x" + "!" * 700, "a. " * 300, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = sentence_pieces.decode_pieces(sentence_pieces.encode_pieces(docs, BPE, keep=["doc_id", "text"]), BPE).collect()
+    assert {r["doc_id"]: r["decoded"] for r in rows} == {i: t or "" for i, t in enumerate(texts)}
 
 
 def test_pieces_of_tables(spark, docs, no_docs):
