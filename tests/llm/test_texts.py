@@ -75,6 +75,88 @@ def test_wrappers_fold_and_align():
     assert "(<footer>" in html_wrapper.expression(html_wrapper.merge(html_wrapper.page_wrapper("<p>a</p><footer>z</footer>"), html_wrapper.page_wrapper("<p>b</p>")))
 
 
+def texts_of(pages, host="http://h.example/"):
+    """The main texts of pages of one host, without Spark."""
+    wrapper = html_wrapper.page_wrapper(pages[0])
+    for p in pages[1:]:
+        wrapper = html_wrapper.merge(wrapper, html_wrapper.page_wrapper(p))
+    roots = html_wrapper.main_paths(wrapper)
+    template = frozenset(map(tuple, html_wrapper.template_paths(wrapper, roots)))
+    return [html_wrapper.main_text(p, roots, template) for p in pages]
+
+
+def test_names_inside_an_article_need_evidence():
+    own = ['<div class="post related-work"><p>own {0}</p></div>', '<div class="social-history"><p>own {0}</p></div>', '<section id="discussion"><p>own {0}</p></section>', '<p class="notice">own {0}</p>', '<h2 id="share">own {0}</h2>', '<div class="ad-hoc"><p>own {0}</p></div>']
+    for body in own:
+        pages = [f"<body><article><h1>t{i}</h1>{body.format(i)}<p>more {i}</p></article></body>" for i in range(4)]
+        assert texts_of(pages) == [f"t{i}\nown {i}\nmore {i}" for i in range(4)], body
+        assert texts_of(pages[:1]) == ["t0\nown 0\nmore 0"], body
+    gone = ['<div class="ad">buy {0}</div>', '<div id="comments"><p>nice {0}</p></div>', '<div class="comment-list"><p>nice {0}</p></div>', '<div class="share-buttons">Share this</div>', '<div class="related"><a href="/{0}">see also {0}</a></div>', "<nav>menu {0}</nav>", "<aside>side {0}</aside>", "<form>mail {0}</form>", "<footer>foot {0}</footer>"]
+    for body in gone:
+        pages = [f"<body><article><h1>t{i}</h1>{body.format(i)}<p>more {i}</p></article></body>" for i in range(4)]
+        assert texts_of(pages) == [f"t{i}\nmore {i}" for i in range(4)], body
+
+
+def test_same_texts_of_a_host_without_regions():
+    pages = [f"<body><p>Welcome to our site</p><p>story {i} goes on and on</p>{'<p>extra</p>' if i == 2 else ''}<p>All rights reserved</p></body>" for i in range(5)]
+    wrapper = html_wrapper.page_wrapper(pages[0])
+    for p in pages[1:]:
+        wrapper = html_wrapper.merge(wrapper, html_wrapper.page_wrapper(p))
+    assert all(f"story {i} goes" in t for i, t in enumerate(texts_of(pages)))
+
+
+def test_alignment_keeps_a_longest_common_part():
+    from functools import cache
+
+    rng = random.Random(7)
+    for _ in range(200):
+        a, b = ([rng.choice("pqrs") for _ in range(rng.randint(0, 9))] for _ in range(2))
+
+        @cache
+        def common(i, j):
+            return 0 if i == len(a) or j == len(b) else max(common(i + 1, j), common(i, j + 1), 1 + common(i + 1, j + 1) if a[i] == b[j] else 0)
+
+        one, two = ([[k, "", [["#", "", [], 1, 1, 0, n]], 1, 0, 0, None] for n, k in enumerate(side)] for side in (a, b))
+        made = []
+        original, html_wrapper._fold_run = html_wrapper._fold_run, lambda items: items
+        try:
+            made = html_wrapper.align(one, two, True)
+        finally:
+            html_wrapper._fold_run = original
+        both = [x for x in made if x[3] == 2]
+        assert len(both) == common(0, 0) and len(made) == len(a) + len(b) - len(both)
+        for side in (a, b):  # each side is the whole, without some optional ones
+            rest = iter(made)
+            assert all(any(x[0] == k for x in rest) for k in side)
+        assert all(x[1] == "?" for x in made if x[3] == 1)
+
+
+def test_wrappers_do_not_grow_with_the_pages():
+    rng, sizes, wrapper = random.Random(3), [], None
+    for n in range(120):
+        body = "".join(f'<{t} class="k{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}">text {rng.random()}</{t}>' for t in rng.choices(["div", "ul", "section", "dl"], k=40))
+        one = html_wrapper.page_wrapper(PAGE.format("A", body))
+        wrapper = html_wrapper.merge(wrapper, one) if wrapper else one
+        sizes.append(len(json.dumps(wrapper)))
+    assert max(sizes[60:]) < 1.5 * sizes[40] and html_wrapper.main_paths(wrapper) == [["html", "body", "article"]]
+
+
+def test_very_deep_pages(spark):
+    deep = {"div": "<div>" * 100_000 + "deep", "ul": "<ul><li>" * 20_000 + "deep", "named": '<div class="ax">' * 5000 + "deep", "closed": "<article>" + "<div><p>x</p>" * 3000 + "</div>" * 3000, "never": "<div>" * 500 + "<nav>menu</nav><p>deep"}
+    table = spark.createDataFrame([(i, "http://deep.example/", h) for i, h in enumerate(deep.values())], "page_id long, url string, html string").repartition(2)
+    got = {r["page_id"]: r["text"] for r in html_wrapper.extract_main_text(table).collect()}
+    assert [got[i] for i in (0, 1, 2, 4)] == ["deep"] * 4
+    assert got[3] == "\n".join(["x"] * 3000)
+
+
+def test_hosts_with_many_partial_wrappers(spark, monkeypatch):
+    monkeypatch.setattr(html_wrapper, "FAN", 2)
+    rows = [(i, "http://big.example/x", PAGE.format(f"T{i}", f"<p>text {i}</p>")) for i in range(40)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(9)
+    assert html_wrapper.infer_wrappers(table).count() == 1
+    assert {r["page_id"]: r["text"] for r in html_wrapper.extract_main_text(table).collect()} == {i: f"T{i}\ntext {i}" for i in range(40)}
+
+
 def test_languages(spark):
     rng = random.Random(3)
     letters = {"en": "etaoinshr th", "fr": "éeauxoniqu l", "de": "ßüenrstich d"}
