@@ -1,30 +1,35 @@
 """Near-duplicate documents by an exact Jaccard join on word shingles.
 
 Two documents link when 100 * shared >= 80 * united distinct five-word shingles.
-A document with n shingles needs at least T = ceil(0.8 n) of them in a partner, so
-of all its inverted lists the T - 1 longest may be set aside and each partner must
-still occur in one of the other n - T + 1, the short ones. That is DivideSkip, with
-the lists spread over the cluster:
+A document with n shingles needs at least T = ceil(0.8 n) of them in a partner: the
+T-occurrence problem over its inverted lists. DivideSkip sets the L longest lists
+aside, merges the short ones, and probes the long ones by binary search for those
+documents only that occur T - L times in the short ones. It runs twice:
+
+* over the cluster, with L = T - 1: the n - T + 1 short lists of all documents are
+  merged in ranges of hashes, and every document that occurs in one is a candidate;
+* over the candidates of a document, which are sent to it with their sets: here L
+  follows from T and the longest list, and what remains reaches the overlap.
 
 1. Documents with equal sets become one class; only classes are compared.
 2. One order of shingles holds for all: those that tasks saw often come last. The
    counts cover all documents but only steer the order; any order is right.
-3. Short lists: each class posts its first n - T + 1 shingles to ranges of hashes;
-   a range's task merges the sorted postings into lists. Short lists give pairs
-   of classes, but not where both have one shingle just before this one in the
-   common order: the list of that one has the pair. Nor where too few shingles
-   follow: a pair that links has enough from its first common shingle on. Longer ones give a pair of each member with the list's first
-   member only, and their members are remembered (5).
+3. Each class posts its first n - T + 1 shingles to ranges of hashes; a range's task
+   merges the sorted postings into lists. Lists of up to PAIR_LIST classes give pairs,
+   but not where both have one shingle just before this one in the common order: the
+   list of that one has the pair. Nor where too few shingles follow: a pair that
+   links has enough from its first common shingle on. Longer lists give a pair of
+   each member with the list's first one only, and their members are remembered.
 4. Pairs whose sizes or parity bitmaps prove too little overlap go. For the rest,
-   partners are sent to the smaller class, which finds those that reach T by a
-   T-occurrence search over their lists: the short ones merged in a heap, the long
-   ones probed by binary search.
-5. Links make components. A long list with members in several components is
-   searched whole, in blocks: all members outside the list's largest component
-   against all members. So no link between two components is missed.
+   partners are sent to the smaller class, in groups of GROUP, and searched there.
+5. Links make components. A long list is open if its members lie in several. The
+   members of all open lists are joined once more, by themselves: with the exact
+   counts among them, what most of them share comes last and lists are short. Lists
+   that are open then go on to the next round, in which lists of twice the length
+   give all their pairs, so rounds end. No link between two components is missed.
 
-Lists of very frequent shingles are split by class over several tasks. Postings
-of a class are sent once a task. Nothing is dropped or capped.
+Postings of a class are sent once a task. Lists of shingles that tasks saw often are
+split by class over several tasks. Nothing is dropped or capped.
 
 Null text and texts without words have no shingles and are their own component;
 fewer than five words count as one shingle. Rows of one id are each their own
@@ -34,8 +39,6 @@ that a component has. Other columns than doc_id and text are not read.
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +47,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit as K
-from tessera.llm.components import Union, components, longs
+from tessera.llm.components import components, longs
 from tessera.llm.shared import stored
 
 PERCENT = 80
@@ -53,7 +56,8 @@ ORDER_ROWS = 500_000  # reported shingles whose order is known in every task, th
 PAIR_LIST = 48  # longest list of which all pairs are made
 SPLIT_LIST = 2000  # classes of a list in one task
 RANGE_POSTINGS = 400_000  # postings in one range of hashes
-BLOCK = 256  # classes on either side of a block
+GROUP = 64  # partners that are searched with one copy of a class
+SEARCHED = 1_000_000  # shingles of partners that a task searches at once
 BROADCAST_ROWS = 1_000_000
 _NONE = np.uint64(0)
 
@@ -148,71 +152,125 @@ class Order:
         return np.where(self.often[at] == members, self.times[at], 0)
 
 
-def post(docs: DataFrame, order, ranges: int, percent: int) -> DataFrame:
-    """(range, split, hashes, classes, sizes, befores, lefts): the short-list postings of each class, as packed numbers.
+class Postings:
+    """The short-list postings of classes, packed by range of hashes.
 
     before: the class's shingle before this one in the common order, 0 for its first.
     left: how many of the class's shingles come from this one on.
     split: the shingles are so frequent that their lists lie in several ranges.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        hashes: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
-        spread: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
-        befores: list[np.ndarray] = []
-        lefts: list[np.ndarray] = []
-        size = 0
+    SCHEMA = "range int, split boolean, hashes binary, classes binary, sizes binary, befores binary, lefts binary"
 
-        def flush() -> pa.RecordBatch:
-            h, c, s, n, f, m = (np.concatenate(x) for x in (hashes, owners, spread, sizes, befores, lefts))
-            for x in (hashes, owners, spread, sizes, befores, lefts):
-                x.clear()
-            piece = K.mix(c ^ np.uint64(0xA5A5A5A5)) % s.astype(np.uint64)
-            at = ((h >> np.uint64(16)) + piece * np.uint64(0x9E3779B1)) % np.uint64(ranges) * np.uint64(2) + (s > 1)
-            o = np.argsort(at, kind="stable")
-            h, c, n, f, m, at = h[o], c[o], n[o], f[o], m[o], at[o]
-            cut = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
-            some = list(zip(cut, cut[1:]))
-            return pa.RecordBatch.from_pydict({
-                "range": pa.array([int(at[a]) // 2 for a, _ in some], pa.int32()), "split": pa.array([bool(at[a] % 2) for a, _ in some]),
-                "hashes": pa.array([h[a:b].tobytes() for a, b in some], pa.binary()), "classes": pa.array([c[a:b].tobytes() for a, b in some], pa.binary()),
-                "sizes": pa.array([n[a:b].tobytes() for a, b in some], pa.binary()), "befores": pa.array([f[a:b].tobytes() for a, b in some], pa.binary()),
-                "lefts": pa.array([m[a:b].tobytes() for a, b in some], pa.binary()),
-            })
+    def __init__(self, ranges: int, percent: int):
+        self.ranges, self.percent, self.size = ranges, percent, 0
+        self.held: list[tuple[np.ndarray, ...]] = []
+
+    def add(self, key: int, members: np.ndarray, times: np.ndarray) -> None:
+        first = np.lexsort((K.mix(members), times))[: short_lists(len(members), self.percent)]
+        n = len(first)
+        spread = np.maximum(1, -(-times[first] // SPLIT_LIST))
+        self.held.append((members[first], np.full(n, key, np.int64).view(np.uint64), spread, np.full(n, len(members), np.uint32), np.concatenate([[_NONE], members[first[:-1]]]), (len(members) - np.arange(n)).astype(np.uint32)))
+        self.size += n
+
+    def flush(self) -> pa.RecordBatch:
+        h, c, s, n, f, m = (np.concatenate(x) for x in zip(*self.held))
+        self.held, self.size = [], 0
+        piece = K.mix(c ^ np.uint64(0xA5A5A5A5)) % s.astype(np.uint64)
+        at = ((h >> np.uint64(16)) + piece * np.uint64(0x9E3779B1)) % np.uint64(self.ranges) * np.uint64(2) + (s > 1)
+        o = np.argsort(at, kind="stable")
+        h, c, n, f, m, at = h[o], c[o], n[o], f[o], m[o], at[o]
+        cut = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
+        some = list(zip(cut, cut[1:]))
+        packed = {k: pa.array([x[a:b].tobytes() for a, b in some], pa.binary()) for k, x in (("hashes", h), ("classes", c), ("sizes", n), ("befores", f), ("lefts", m))}
+        return pa.RecordBatch.from_pydict({"range": pa.array([int(at[a]) // 2 for a, _ in some], pa.int32()), "split": pa.array([bool(at[a] % 2) for a, _ in some]), **packed})
 
+
+def post(docs: DataFrame, order, ranges: int, percent: int) -> DataFrame:
+    """The postings of the classes of all texts, in the common order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        postings = Postings(ranges, percent)
         for _, sets in _sets(batches):
             for s in sets:
-                if not len(s) or (key := class_of(s)) in seen:
-                    continue
-                seen.add(key)
-                times = order.value.seen(s)
-                first = np.lexsort((K.mix(s), times))[: short_lists(len(s), percent)]
-                hashes.append(s[first])
-                owners.append(np.full(len(first), key, np.int64).view(np.uint64))
-                spread.append(np.maximum(1, -(-times[first] // SPLIT_LIST)))
-                sizes.append(np.full(len(first), len(s), np.uint32))
-                befores.append(np.concatenate([[_NONE], s[first[:-1]]]))
-                lefts.append((len(s) - np.arange(len(first))).astype(np.uint32))
-                size += len(first)
-            if size > 1_000_000:
-                yield flush()
-                size = 0
-        if hashes:
-            yield flush()
+                if len(s) and (key := class_of(s)) not in seen:
+                    seen.add(key)
+                    postings.add(key, s, order.value.seen(s))
+            if postings.size > 1_000_000:
+                yield postings.flush()
+        if postings.held:
+            yield postings.flush()
+
+    return docs.select("text").mapInArrow(run, Postings.SCHEMA)
 
-    return docs.select("text").mapInArrow(run, "range int, split boolean, hashes binary, classes binary, sizes binary, befores binary, lefts binary")
 
+def post_again(sets: DataFrame, ranges: int, percent: int) -> DataFrame:
+    """The postings of classes (class, members) in the order of the exact counts among themselves.
 
-def merge_lists(posted: DataFrame, ranges: int, percent: int = PERCENT) -> DataFrame:
+    All shingles go to ranges of hashes, which count them, and back to their classes.
+    """
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 2000):
+                part = batch.slice(a, 2000)
+                raw = part.column("members").to_pylist()
+                h = longs(raw)
+                c = np.repeat(part.column("class").to_numpy(), [len(x) // 8 for x in raw])
+                at = ((h >> np.uint64(16)) % np.uint64(ranges)).astype(np.int32)
+                o = np.argsort(at, kind="stable")
+                h, c, at = h[o], c[o], at[o]
+                cut = np.flatnonzero(np.diff(at, prepend=-1, append=-1)).tolist()
+                yield pa.RecordBatch.from_pydict({"range": pa.array(at[cut[:-1]]), "hashes": pa.array([h[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary()), "classes": pa.array([c[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw: tuple[list[bytes], list[bytes]] = ([], [])
+        for batch in batches:
+            for held, name in zip(raw, ("hashes", "classes")):
+                held += batch.column(name).to_pylist()
+        h, c = longs(raw[0]), longs(raw[1]).view(np.int64)
+        _, which, counts = np.unique(h, return_inverse=True, return_counts=True)
+        o = np.argsort(c, kind="stable")
+        h, c, times = h[o], c[o], counts[which][o].astype(np.int64)
+        cut = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1], [True]])) if len(c) else np.zeros(1, int)
+        for k in range(0, len(cut) - 1, 20_000):
+            some = list(zip(cut[k : k + 20_000].tolist(), cut[k + 1 : k + 20_001].tolist()))
+            yield pa.RecordBatch.from_pydict({"class": pa.array(c[[a for a, _ in some]]), "hashes": pa.array([h[a:b].tobytes() for a, b in some], pa.binary()), "times": pa.array([times[a:b].tobytes() for a, b in some], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        postings, now, hashes, times = Postings(ranges, percent), None, [], []
+
+        def add() -> None:
+            if now is not None:
+                postings.add(now, longs(hashes), longs(times).view(np.int64))
+
+        for batch in batches:
+            for key, h, t in zip(*(batch.column(k).to_pylist() for k in ("class", "hashes", "times"))):
+                if key != now:
+                    add()
+                    now, hashes, times = key, [], []
+                hashes.append(h)
+                times.append(t)
+            if postings.size > 1_000_000:
+                yield postings.flush()
+        add()
+        if postings.held:
+            yield postings.flush()
+
+    counted = sets.mapInArrow(scatter, "range int, hashes binary, classes binary").repartitionById(ranges, F.col("range")).mapInArrow(count, "class long, hashes binary, times binary")
+    return counted.repartition(ranges, "class").sortWithinPartitions("class").mapInArrow(run, Postings.SCHEMA)
+
+
+def merge_lists(posted: DataFrame, ranges: int, percent: int = PERCENT, pair_list: int | None = None) -> DataFrame:
     """Rows (a, b, list): pairs of classes from short lists (list null), and members a of long ones (list: its shingle, b: its first member here).
 
     Pairs whose sizes alone rule a link out are not made, nor those that share the
     shingle before or have too few shingles left. The first common shingle of two
-    classes that link passes all three.
+    classes that link passes all three. Members of a long list that no other one
+    can link to from there on are left out.
     """
+    pair_list = pair_list or PAIR_LIST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bool, tuple[list[bytes], ...]] = {k: ([], [], [], [], []) for k in (False, True)}
@@ -232,26 +290,65 @@ def merge_lists(posted: DataFrame, ranges: int, percent: int = PERCENT) -> DataF
             h, c, n, f, m = h[fresh], c[fresh], n[fresh], f[fresh], m[fresh]
             cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) if len(h) else np.zeros(1, int)
             size, at = np.diff(cut), cut[:-1]
-            pairs = []
-            if not split:
-                for k in np.unique(size[(size > 1) & (size <= PAIR_LIST)]):
-                    lists = at[size == k][:, None] + np.arange(k)
-                    i, j = (lists[:, x].ravel() for x in np.triu_indices(k, 1))
-                    fits = (np.minimum(m[i], m[j]) >= least_overlap(n[i], n[j], percent)) & ((f[i] != f[j]) | (f[i] == _NONE))
-                    pairs.append(np.stack([c[i[fits]], c[j[fits]]], axis=1))
-            if pairs:
-                both = np.concatenate(pairs)
-                both = np.unique(both.view([("a", np.int64), ("b", np.int64)]).ravel())
-                for k in range(0, len(both), 100_000):
-                    some = both[k : k + 100_000]
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(some["a"].copy()), "b": pa.array(some["b"].copy()), "list": pa.nulls(len(some), pa.int64())})
-            for k in np.flatnonzero((size > PAIR_LIST) | (split & (size > 0))):
-                members = c[at[k] : at[k] + size[k]]
-                yield pa.RecordBatch.from_pydict({"a": pa.array(members), "b": pa.array(np.full(len(members), members[0])), "list": pa.array(np.full(len(members), h[at[k]].view(np.int64)))})
+            pairs, held_pairs = [], 0
+            for k in np.unique(size[(size > 1) & (size <= pair_list)]) if not split else ():
+                i, j = np.triu_indices(k, 1)
+                for lists in np.array_split(at[size == k], -(-len(at[size == k]) * len(i) // 2_000_000)):
+                    x, y = (lists[:, None] + i).ravel(), (lists[:, None] + j).ravel()
+                    fits = (np.minimum(m[x], m[y]) >= least_overlap(n[x], n[y], percent)) & ((f[x] != f[y]) | (f[x] == _NONE))
+                    pairs.append(np.stack([c[x[fits]], c[y[fits]]], axis=1))
+                    held_pairs += len(pairs[-1])
+                    if held_pairs > 2_000_000:
+                        yield from _pair_rows(pairs)
+                        pairs, held_pairs = [], 0
+            yield from _pair_rows(pairs)
+            for k in np.flatnonzero((size > pair_list) | (split & (size > 0))):
+                own = slice(at[k], at[k] + size[k])
+                members = c[own] if split else c[own][_wanted(n[own], m[own], percent)]
+                if len(members) > 1 or split:
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(members), "b": pa.array(np.full(len(members), members[0])), "list": pa.array(np.full(len(members), h[at[k]].view(np.int64)))})
 
     return posted.repartitionById(ranges, F.col("range")).mapInArrow(run, "a long, b long, list long")
 
 
+def _pair_rows(pairs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    both = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
+    both = np.unique(np.ascontiguousarray(both).view([("a", np.int64), ("b", np.int64)]).ravel()) if len(both) else np.zeros(0, [("a", np.int64), ("b", np.int64)])
+    for k in range(0, len(both), 100_000):
+        some = both[k : k + 100_000]
+        yield pa.RecordBatch.from_pydict({"a": pa.array(some["a"].copy()), "b": pa.array(some["b"].copy()), "list": pa.nulls(len(some), pa.int64())})
+
+
+def _wanted(n: np.ndarray, left: np.ndarray, percent: int) -> np.ndarray:
+    """Which members of a list have another one there that they can link to, by sizes n and shingles left from the list's on.
+
+    Members a and b can if least_overlap(a, b) is no more than what either has left,
+    so if b has no more than `most` shingles, and a no more than b allows.
+    """
+    most = left * (100 + percent) // percent - n
+    order = np.argsort(n, kind="stable")
+    n, most = n[order], most[order]
+    upto = np.searchsorted(n, most, side="right")  # partners small enough: the first so many
+    # the two largest allowances among them, as one may be the member's own
+    place = np.arange(len(n))
+    best = np.maximum.accumulate(most)
+    is_new = np.concatenate([[True], most[1:] > best[:-1]])
+    holder = np.maximum.accumulate(np.where(is_new, place, 0))
+    second = np.full(len(n), np.iinfo(np.int64).min)
+    first_two = [np.iinfo(np.int64).min] * 2
+    for i, x in enumerate(most.tolist()):
+        if x > first_two[0]:
+            first_two = [x, first_two[0]]
+        elif x > first_two[1]:
+            first_two[1] = x
+        second[i] = first_two[1]
+    last = np.maximum(upto - 1, 0)
+    allows = np.where(holder[last] == place, second[last], best[last])
+    out = np.zeros(len(n), bool)
+    out[order] = (upto > 0) & (allows >= n)
+    return out
+
+
 def _plausible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n_a, n_b = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
@@ -261,53 +358,71 @@ def _plausible(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.R
         for i in np.flatnonzero(keep):
             a, b = (np.frombuffer(x[int(i)].as_buffer(), np.uint8) for x in (bits_a, bits_b))
             keep[i] = most_overlap(a, b, int(n_a[i]), int(n_b[i])) >= need[i]
-        yield batch.select(["a", "b", "doc_a", "doc_b"]).filter(pa.array(keep))
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def divide_skip(query: np.ndarray, others: list[np.ndarray], percent: int = PERCENT) -> list[int]:
-    """Which of the other sets reach the required overlap with the query.
+def t_occurrence(queries: list[np.ndarray], partners: list[np.ndarray], query: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Which partners reach the required overlap with their query; `query` has the number of each partner's.
 
-    The inverted lists of the query's members are divided: L long ones, and short
-    ones that a heap merges in order of the sets. A set that occurs T - L times in
-    the short ones is probed in the long ones by binary search.
+    The partners of a query are indexed by its members. Of these inverted lists L
+    long ones are set aside. The short ones are merged, for all queries at once, by
+    counting; a partner that occurs T - L times in them is probed in each long list
+    by binary search.
     """
-    owner = np.repeat(np.arange(len(others)), [len(s) for s in others])
-    members = np.concatenate(others) if others else np.zeros(0, np.uint64)
-    at = np.searchsorted(query, members)
-    has = (at < len(query)) & (query[np.minimum(at, len(query) - 1)] == members)
-    at, owner = at[has], owner[has]
-    order = np.lexsort((owner, at))
-    lists = np.split(owner[order], np.flatnonzero(np.diff(at[order])) + 1) if len(order) else []
-    need = [int(least_overlap(len(query), len(s), percent)) for s in others]
-    t = min((n for n, s in zip(need, others) if n <= min(len(query), len(s))), default=None)
-    if t is None or len(lists) < t:
-        return []
-    lists.sort(key=len)
-    aside = min(t - 1, max(1, int(t / (0.01 * np.log2(len(lists[-1]) + 1) + 1))))
-    short, long_ = [x.tolist() for x in lists[: len(lists) - aside]], [x.tolist() for x in lists[len(lists) - aside :]]
-    found, times, last = [], 0, -1
-    for one in heapq.merge(*short, [len(others)]):
-        if one == last:
-            times += 1
-            continue
-        if last >= 0 and times >= need[last] - aside:
-            count, left = times, aside
-            for x in long_:
-                k = bisect_left(x, last)
-                count += k < len(x) and x[k] == last
-                left -= 1
-                if count >= need[last] or count + left < need[last]:
-                    break
-            if count >= need[last]:
-                found.append(last)
-        last, times = one, 1
-    return found
-
-
-def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of `wanted` with the set of shingles of their document; wanted has doc, class and others.
-
-    Several texts may share an id: only the one with the wanted class answers.
+    n_q, n_p = (np.array([len(x) for x in some], np.int64) for some in (queries, partners))
+    if not len(partners) or not n_q.sum():
+        return np.zeros(len(partners), bool)
+    need = least_overlap(n_q[query], n_p, percent)
+    possible = need <= np.minimum(n_q[query], n_p)
+    # lists are numbered as the members of the queries stand in a row
+    salt = np.uint64(0x9E3779B97F4A7C15)
+    of = np.repeat(np.arange(len(queries)), n_q)
+    keys = K.mix(np.concatenate(queries) ^ (of.astype(np.uint64) * salt))
+    order = np.argsort(keys)
+    keys = keys[order]
+    owner = np.repeat(np.arange(len(partners)), n_p)
+    wanted = K.mix(np.concatenate(partners) ^ (query[owner].astype(np.uint64) * salt))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    has = keys[at] == wanted
+    lists, owner = order[at[has]], owner[has]
+    size = np.bincount(lists, minlength=len(of))
+
+    least = np.full(len(queries), np.iinfo(np.int64).max)
+    np.minimum.at(least, query[possible], need[possible])
+    longest = np.zeros(len(queries), np.int64)
+    np.maximum.at(longest, of, size)
+    aside = np.minimum(least - 1, np.maximum(1, (np.minimum(least, 1 << 40) / (0.01 * np.log2(longest + 1) + 1)).astype(np.int64)))
+    by_size = np.lexsort((-size, of))
+    rank = np.empty(len(of), np.int64)
+    rank[by_size] = np.arange(len(of)) - (np.cumsum(n_q) - n_q)[of]
+    long_ = rank < aside[of]
+
+    short = ~long_[lists]
+    times = np.bincount(owner[short], minlength=len(partners))
+    left = np.flatnonzero(possible & (times >= need - aside[query]))
+    postings = np.sort(lists[~short] * len(partners) + owner[~short])
+    some = np.flatnonzero(long_)
+    count = np.bincount(of[some], minlength=len(queries))
+    first, probes = (np.cumsum(count) - count)[query[left]], count[query[left]]
+    probe = some[np.repeat(first, probes) + np.arange(int(probes.sum())) - np.repeat(np.cumsum(probes) - probes, probes)] if len(some) else some
+    who = np.repeat(left, probes)
+    asked = probe * len(partners) + who
+    at = np.minimum(np.searchsorted(postings, asked), max(len(postings) - 1, 0))
+    times += np.bincount(who[postings[at] == asked], minlength=len(partners)) if len(postings) else 0
+    out = np.zeros(len(partners), bool)
+    out[left] = times[left] >= need[left]
+    return out
+
+
+def divide_skip(query: np.ndarray, others: list[np.ndarray], percent: int = PERCENT) -> list[int]:
+    """Which of the other sets reach the required overlap with the query."""
+    return np.flatnonzero(t_occurrence([query], others, np.zeros(len(others), np.int64), percent)).tolist()
+
+
+def _set_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(class, members) of the wanted (class, doc), each once; several texts may share an id, only one with the class answers.
+
+    wanted may have other columns, which are carried along.
     """
     small = wanted.count() <= BROADCAST_ROWS
     wanted = F.broadcast(wanted) if small else wanted
@@ -323,80 +438,69 @@ def _fetch(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in keep] + ["members binary"]))
 
 
-def verify(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. Partners go to class a, in groups of a bounded size; a's own set goes to each group."""
-    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    grouped = pairs.join(degree, "a").select(*pairs.columns, F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
-    partner = grouped.select("a", "part", F.col("b").alias("class"), F.col("doc_b").alias("doc"))
-    center = grouped.select("a", "part", F.col("a").alias("class"), F.col("doc_a").alias("doc")).distinct()
-    rows = _fetch(docs, stored(center.unionByName(partner), "partners"))
+def verify(pairs: DataFrame, classes: DataFrame, fetch, percent: int) -> DataFrame:
+    """The pairs (a, b) that link. Partners go to class a in groups; a's own set goes to each group.
+
+    fetch: gives rows of (class, doc, groups) their members. A class is fetched once,
+    with all groups of up to GROUP that it goes to at a time.
+    """
+    degree = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
+    grouped = pairs.join(degree, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
+    group = F.struct("a", "part")
+    goes = grouped.select(F.col("b").alias("class"), group.alias("group")).unionByName(grouped.select(F.col("a").alias("class"), group.alias("group")).distinct())
+    lists = goes.groupBy("class", F.pmod(F.xxhash64("group"), F.lit(256)).alias("some")).agg(F.collect_list("group").alias("groups"))
+    rows = fetch(stored(lists.join(classes.select("class", "doc"), "class").select("class", "doc", "groups"), "partners"))
+    rows = rows.select("class", "members", F.explode("groups").alias("g")).select("g.a", "g.part", "class", "members")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, own, others, names = None, None, [], []
+        queries, names, partners, others, query, size, group = [], [], [], [], [], 0, None
 
         def answer() -> pa.RecordBatch:
-            found = divide_skip(own, others, percent) if own is not None else []
-            return pa.RecordBatch.from_pydict({"a": pa.array([group[0]] * len(found), pa.int64()), "b": pa.array([names[i] for i in found], pa.int64())})
+            found = np.flatnonzero(t_occurrence(queries, partners, np.array(query, np.int64), percent))
+            return pa.RecordBatch.from_pydict({"a": pa.array([names[query[i]] for i in found], pa.int64()), "b": pa.array([others[i] for i in found], pa.int64())})
 
         for batch in batches:
             for a, part, key, raw in zip(*(batch.column(c).to_pylist() for c in ("a", "part", "class", "members"))):
                 if group != (a, part):
-                    if others:
+                    if size > SEARCHED:
                         yield answer()
-                    group, own, others, names = (a, part), None, [], []
+                        queries, names, partners, others, query, size = [], [], [], [], [], 0
+                    group = (a, part)
+                    queries.append(np.zeros(0, np.uint64))
+                    names.append(a)
+                members = np.frombuffer(raw, "<u8")
                 if key == a:
-                    own = np.frombuffer(raw, "<u8")
+                    queries[-1] = members
                 else:
-                    others.append(np.frombuffer(raw, "<u8"))
-                    names.append(key)
-                    if len(others) >= BLOCK:
-                        yield answer()
-                        others, names = [], []
-        if others:
+                    partners.append(members)
+                    others.append(key)
+                    query.append(len(queries) - 1)
+                    size += len(members)
+        if partners:
             yield answer()
 
     dealt = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("class") != F.col("a"))
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def search_blocks(docs: DataFrame, open_lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) between components within lists: all members outside of a list's largest component against all members.
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
-    open_lists: (list, class, label) of lists with several labels.
-    """
-    counts = open_lists.groupBy("list", "label").count()
-    largest = counts.groupBy("list").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.sum("count").alias("all"), (F.sum("count") - F.max("count")).alias("rest"))
-    rows = open_lists.join(largest, "list").join(classes.select("class", "doc"), "class")
-    wide = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    mine = lambda c: F.pmod(F.xxhash64("class"), wide(c)).cast("int")
-    asks = rows.where(F.col("label") != F.col("main")).select("list", "class", "label", "doc", mine("rest").alias("q"), F.explode(F.sequence(F.lit(0), wide("all") - 1)).alias("m"), F.lit(True).alias("asks"))
-    answers = rows.select("list", "class", "label", "doc", F.explode(F.sequence(F.lit(0), wide("rest") - 1)).alias("q"), mine("all").alias("m"), F.lit(False).alias("asks"))
-    sets = _fetch(docs, stored(asks.unionByName(answers), "blocks"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, sides = None, {True: {}, False: {}}
 
-        def answer() -> pa.RecordBatch:
-            union, links = Union(), []
-            for a, (label, own) in sides[True].items():
-                left = [(b, other) for b, (l, other) in sides[False].items() if b != a and union.root(l) != union.root(label)]
-                for i in divide_skip(own, [x[1] for x in left], percent):
-                    if union.join(label, sides[False][left[i][0]][0]):
-                        links.append((a, left[i][0]))
-            return pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
+def _search(merged: DataFrame, classes: DataFrame, fetch, percent: int) -> DataFrame:
+    """Links (a, b) among the pairs of short lists and of members of long ones with the first member."""
+    heads = merged.where(F.col("list").isNotNull()).select("list", "b").distinct()
+    first = heads.groupBy("list").agg(F.min("b").alias("a"))
+    pairs = merged.select("a", "b").unionByName(heads.join(first, "list").select("a", "b")).where(F.col("a") != F.col("b"))
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    side = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
+    judged = pairs.join(side("a"), "a").join(side("b"), "b")
+    close = stored(judged.mapInArrow(lambda batches: _plausible(batches, percent), "a long, b long"), "pairs")
+    return stored(verify(close, classes, fetch, percent), "links")
 
-        for batch in batches:
-            for which, asks_, key, label, raw in zip(zip(*(batch.column(c).to_pylist() for c in ("list", "q", "m"))), *(batch.column(c).to_pylist() for c in ("asks", "class", "label", "members"))):
-                if block != which:
-                    if block is not None:
-                        yield answer()
-                    block, sides = which, {True: {}, False: {}}
-                sides[asks_][key] = (label, np.frombuffer(raw, "<u8"))
-        if block is not None:
-            yield answer()
 
-    dealt = sets.repartition("list", "q", "m").sortWithinPartitions("list", "q", "m")
-    return dealt.mapInArrow(run, "a long, b long")
+def _open_members(merged: DataFrame, labels: DataFrame) -> DataFrame:
+    """(class) of long lists whose members lie in several components."""
+    long_lists = merged.where(F.col("list").isNotNull()).select("list", F.col("a").alias("class")).distinct()
+    named = long_lists.join(labels.withColumnRenamed("node", "class"), "class", "left").select("list", "class", F.coalesce("label", "class").alias("label"))
+    several = named.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("list")
+    return named.join(several, "list").select("class").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -413,23 +517,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // RANGE_POSTINGS))
     merged = stored(merge_lists(post(docs, order, ranges, percent), ranges, percent), "lists")
 
-    long_lists = merged.where(F.col("list").isNotNull())
-    heads = long_lists.select("list", "b").distinct()
-    first = heads.groupBy("list").agg(F.min("b").alias("a"))
-    pairs = merged.select("a", "b").unionByName(heads.join(first, "list").select("a", "b")).where(F.col("a") != F.col("b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    side = lambda x: classes.select(F.col("class").alias(x), F.col("doc").alias(f"doc_{x}"), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    judged = pairs.join(side("a"), "a").join(side("b"), "b")
-    ids = docs.schema["doc_id"].dataType.simpleString()
-    close = judged.mapInArrow(lambda batches: _plausible(batches, percent), f"a long, b long, doc_a {ids}, doc_b {ids}")
-    links = stored(verify(docs, stored(close, "pairs"), percent), "links")
+    links = _search(merged, classes, lambda wanted: _set_rows(docs, wanted), percent)
     labels = components(links, "a", "b")
 
-    named = long_lists.select("list", F.col("a").alias("class")).distinct().join(labels.withColumnRenamed("node", "class"), "class", "left").select("list", "class", F.coalesce("label", "class").alias("label"))
-    several = named.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("list")
-    open_lists = stored(named.join(several, "list"), "open-lists")
-    if not open_lists.isEmpty():
-        links = stored(links.unionByName(search_blocks(docs, open_lists, classes, percent)), "links")
+    pair_list = PAIR_LIST
+    while not (open_ := stored(_open_members(merged, labels), "open-members")).isEmpty():
+        known = classes.join(open_, "class")
+        sets = stored(_set_rows(docs, known.select("class", "doc")).dropDuplicates(["class"]), "open-sets")
+        pair_list *= 2
+        merged = stored(merge_lists(post_again(sets, ranges, percent), ranges, percent, pair_list), "lists")
+        links = stored(links.unionByName(_search(merged, known, lambda wanted, sets=sets: wanted.join(sets, "class"), percent)), "links")
         labels = components(links, "a", "b")
 
     labelled = classes.select("class", "doc").join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "doc", F.coalesce("label", "class").alias("label"))

@@ -40,7 +40,7 @@ def brute_components(rows):
 @pytest.mark.parametrize("small", [False, True])
 def test_jaccard_join(spark, docs, small, monkeypatch):
     if small:  # every list is long, lists are split, blocks are small
-        for name, value in {"PAIR_LIST": 2, "SPLIT_LIST": 2, "OFTEN": 2, "BLOCK": 2, "RANGE_POSTINGS": 50}.items():
+        for name, value in {"PAIR_LIST": 2, "SPLIT_LIST": 2, "OFTEN": 2, "GROUP": 2, "SEARCHED": 500, "RANGE_POSTINGS": 50}.items():
             monkeypatch.setattr(jaccard_join, name, value)
     found = jaccard_join.near_duplicates(docs)
     assert found.columns == ["doc_id", "n_shingles", "component_id"]
