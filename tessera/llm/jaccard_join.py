@@ -18,15 +18,17 @@ documents only that occur T - L times in the short ones. It runs twice:
    merges the sorted postings into lists. Lists of up to PAIR_LIST classes give pairs,
    but not where both have one shingle just before this one in the common order: the
    list of that one has the pair. Nor where too few shingles follow: a pair that
-   links has enough from its first common shingle on. Longer lists give a pair of
-   each member with the list's first one only, and their members are remembered.
+   links has enough from its first common shingle on. Longer lists give pairs of
+   each member with HEADS of the list only, and their members are remembered.
 4. Pairs whose sizes or parity bitmaps prove too little overlap go. For the rest,
    partners are sent to the smaller class, in groups of GROUP, and searched there.
 5. Links make components. A long list is open if its members lie in several. The
    members of all open lists are joined once more, by themselves: with the exact
-   counts among them, what most of them share comes last and lists are short. Lists
-   that are open then go on to the next round, in which lists of twice the length
-   give all their pairs, so rounds end. No link between two components is missed.
+   counts among them, what most of them share comes last and lists are short. Now
+   only pairs between components are made, and of all lists that have no more than
+   `pair_list` of them a member. Lists that are open then go on to the next round, in
+   which the bound is twice as high, so rounds end. No link between two components
+   is missed.
 
 Postings of a class are sent once a task. Lists of shingles that tasks saw often are
 split by class over several tasks. Nothing is dropped or capped.
@@ -48,7 +50,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textkit as K
 from tessera.llm.components import components, longs
-from tessera.llm.shared import stored
+from tessera.llm.shared import drop_stored, free_name, narrow, stored
 
 PERCENT = 80
 OFTEN = 4  # a task reports shingles that it saw in so many classes
@@ -56,9 +58,9 @@ ORDER_ROWS = 500_000  # reported shingles whose order is known in every task, th
 PAIR_LIST = 48  # longest list of which all pairs are made
 SPLIT_LIST = 2000  # classes of a list in one task
 RANGE_POSTINGS = 400_000  # postings in one range of hashes
+HEADS = 6  # members of a long list that all others are paired with
 GROUP = 64  # partners that are searched with one copy of a class
 SEARCHED = 1_000_000  # shingles of partners that a task searches at once
-BROADCAST_ROWS = 1_000_000
 _NONE = np.uint64(0)
 
 
@@ -103,7 +105,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, l
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, n, class, bits) of each document, and rows (often, times) of shingles that tasks saw often."""
+    """Rows (doc_id, text_key, n, class, bits) of each document, and rows (often, times) of shingles that tasks saw often."""
     ids = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,14 +118,14 @@ def survey(docs: DataFrame) -> DataFrame:
             keep = times >= OFTEN
             n = int(keep.sum())
             held.clear()
-            return row(pa.nulls(n, schema[0].type), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.array(values[keep].view(np.int64)), pa.array(times[keep]))
+            return row(pa.nulls(n, schema[0].type), *[pa.nulls(n, pa.int64())] * 3, pa.nulls(n, pa.binary()), pa.array(values[keep].view(np.int64)), pa.array(times[keep]))
 
         for part, sets in _sets(batches):
             keys = [class_of(s) if len(s) else None for s in sets]
             n = len(sets)
             schema = part.schema
-            row = lambda *c: pa.RecordBatch.from_arrays(list(c), names=["doc_id", "n", "class", "bits", "often", "times"])
-            yield row(part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()))
+            row = lambda *c: pa.RecordBatch.from_arrays(list(c), names=["doc_id", "text_key", "n", "class", "bits", "often", "times"])
+            yield row(part.column("doc_id"), part.column("text_key"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), pa.array([bitmap(s).tobytes() for s in sets], pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()))
             for s, key in zip(sets, keys):
                 if key is not None and key not in seen:
                     seen.add(key)
@@ -135,7 +137,7 @@ def survey(docs: DataFrame) -> DataFrame:
         if held:
             yield report()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, n long, class long, bits binary, often long, times long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, f"doc_id {ids}, text_key long, n long, class long, bits binary, often long, times long")
 
 
 class Order:
@@ -158,31 +160,33 @@ class Postings:
     before: the class's shingle before this one in the common order, 0 for its first.
     left: how many of the class's shingles come from this one on.
     split: the shingles are so frequent that their lists lie in several ranges.
+    labels: the components of the classes, where they are known.
     """
 
-    SCHEMA = "range int, split boolean, hashes binary, classes binary, sizes binary, befores binary, lefts binary"
+    SCHEMA = "range int, split boolean, hashes binary, classes binary, sizes binary, befores binary, lefts binary, labels binary"
 
     def __init__(self, ranges: int, percent: int):
         self.ranges, self.percent, self.size = ranges, percent, 0
         self.held: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, key: int, members: np.ndarray, times: np.ndarray) -> None:
+    def add(self, key: int, members: np.ndarray, times: np.ndarray, label: int | None = None) -> None:
         first = np.lexsort((K.mix(members), times))[: short_lists(len(members), self.percent)]
         n = len(first)
-        spread = np.maximum(1, -(-times[first] // SPLIT_LIST))
-        self.held.append((members[first], np.full(n, key, np.int64).view(np.uint64), spread, np.full(n, len(members), np.uint32), np.concatenate([[_NONE], members[first[:-1]]]), (len(members) - np.arange(n)).astype(np.uint32)))
+        # where components are known, a list must be seen whole
+        spread = np.maximum(1, -(-times[first] // SPLIT_LIST)) if label is None else np.ones(n, np.int64)
+        self.held.append((members[first], np.full(n, key, np.int64).view(np.uint64), spread, np.full(n, len(members), np.uint32), np.concatenate([[_NONE], members[first[:-1]]]), (len(members) - np.arange(n)).astype(np.uint32), np.full(n if label is not None else 0, label or 0, np.int64)))
         self.size += n
 
     def flush(self) -> pa.RecordBatch:
-        h, c, s, n, f, m = (np.concatenate(x) for x in zip(*self.held))
+        h, c, s, n, f, m, l = (np.concatenate(x) for x in zip(*self.held))
         self.held, self.size = [], 0
         piece = K.mix(c ^ np.uint64(0xA5A5A5A5)) % s.astype(np.uint64)
         at = ((h >> np.uint64(16)) + piece * np.uint64(0x9E3779B1)) % np.uint64(self.ranges) * np.uint64(2) + (s > 1)
         o = np.argsort(at, kind="stable")
-        h, c, n, f, m, at = h[o], c[o], n[o], f[o], m[o], at[o]
+        h, c, n, f, m, at, l = h[o], c[o], n[o], f[o], m[o], at[o], l[o] if len(l) else l
         cut = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
         some = list(zip(cut, cut[1:]))
-        packed = {k: pa.array([x[a:b].tobytes() for a, b in some], pa.binary()) for k, x in (("hashes", h), ("classes", c), ("sizes", n), ("befores", f), ("lefts", m))}
+        packed = {k: pa.array([x[a:b].tobytes() for a, b in some], pa.binary()) for k, x in (("hashes", h), ("classes", c), ("sizes", n), ("befores", f), ("lefts", m), ("labels", l))}
         return pa.RecordBatch.from_pydict({"range": pa.array([int(at[a]) // 2 for a, _ in some], pa.int32()), "split": pa.array([bool(at[a] % 2) for a, _ in some]), **packed})
 
 
@@ -206,7 +210,7 @@ def post(docs: DataFrame, order, ranges: int, percent: int) -> DataFrame:
 
 
 def post_again(sets: DataFrame, ranges: int, percent: int) -> DataFrame:
-    """The postings of classes (class, members) in the order of the exact counts among themselves.
+    """The postings of classes (class, members, label) in the order of the exact counts among themselves.
 
     All shingles go to ranges of hashes, which count them, and back to their classes.
     """
@@ -239,19 +243,22 @@ def post_again(sets: DataFrame, ranges: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"class": pa.array(c[[a for a, _ in some]]), "hashes": pa.array([h[a:b].tobytes() for a, b in some], pa.binary()), "times": pa.array([times[a:b].tobytes() for a, b in some], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        postings, now, hashes, times = Postings(ranges, percent), None, [], []
+        postings, now, label, hashes, times = Postings(ranges, percent), None, None, [], []
 
         def add() -> None:
-            if now is not None:
-                postings.add(now, longs(hashes), longs(times).view(np.int64))
+            if hashes:
+                postings.add(now, longs(hashes), longs(times).view(np.int64), label)
 
         for batch in batches:
-            for key, h, t in zip(*(batch.column(k).to_pylist() for k in ("class", "hashes", "times"))):
+            for key, h, t, own in zip(*(batch.column(k).to_pylist() for k in ("class", "hashes", "times", "label"))):
                 if key != now:
                     add()
-                    now, hashes, times = key, [], []
-                hashes.append(h)
-                times.append(t)
+                    now, label, hashes, times = key, None, [], []
+                if own is not None:
+                    label = own
+                else:
+                    hashes.append(h)
+                    times.append(t)
             if postings.size > 1_000_000:
                 yield postings.flush()
         add()
@@ -259,7 +266,8 @@ def post_again(sets: DataFrame, ranges: int, percent: int) -> DataFrame:
             yield postings.flush()
 
     counted = sets.mapInArrow(scatter, "range int, hashes binary, classes binary").repartitionById(ranges, F.col("range")).mapInArrow(count, "class long, hashes binary, times binary")
-    return counted.repartition(ranges, "class").sortWithinPartitions("class").mapInArrow(run, Postings.SCHEMA)
+    rows = counted.unionByName(sets.select("class", "label"), allowMissingColumns=True)
+    return rows.repartition(ranges, "class").sortWithinPartitions("class").mapInArrow(run, Postings.SCHEMA)
 
 
 def merge_lists(posted: DataFrame, ranges: int, percent: int = PERCENT, pair_list: int | None = None) -> DataFrame:
@@ -273,40 +281,61 @@ def merge_lists(posted: DataFrame, ranges: int, percent: int = PERCENT, pair_lis
     pair_list = pair_list or PAIR_LIST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, tuple[list[bytes], ...]] = {k: ([], [], [], [], []) for k in (False, True)}
+        held: dict[bool, tuple[list[bytes], ...]] = {k: ([], [], [], [], [], []) for k in (False, True)}
         for batch in batches:
-            for split, *raw in zip(*(batch.column(k).to_pylist() for k in ("split", "hashes", "classes", "sizes", "befores", "lefts"))):
+            for split, *raw in zip(*(batch.column(k).to_pylist() for k in ("split", "hashes", "classes", "sizes", "befores", "lefts", "labels"))):
                 for x, y in zip(held[split], raw):
                     x.append(y)
         for split, raw in held.items():
             h, c = longs(raw[0]), longs(raw[1]).view(np.int64)
             n, f, m = np.frombuffer(b"".join(raw[2]), "<u4").astype(np.int64), longs(raw[3]), np.frombuffer(b"".join(raw[4]), "<u4").astype(np.int64)
+            labels = longs(raw[5]).view(np.int64)
+            l = labels if len(labels) else c
             for x in raw:
                 x.clear()
-            o = np.lexsort((c, h))
-            h, c, n, f, m = h[o], c[o], n[o], f[o], m[o]
+            o = np.lexsort((c, l, h))
+            h, c, n, f, m, l = h[o], c[o], n[o], f[o], m[o], l[o]
             fresh = np.ones(len(h), bool)
             fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-            h, c, n, f, m = h[fresh], c[fresh], n[fresh], f[fresh], m[fresh]
+            h, c, n, f, m, l = h[fresh], c[fresh], n[fresh], f[fresh], m[fresh], l[fresh]
             cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) if len(h) else np.zeros(1, int)
             size, at = np.diff(cut), cut[:-1]
-            pairs, held_pairs = [], 0
-            for k in np.unique(size[(size > 1) & (size <= pair_list)]) if not split else ():
-                i, j = np.triu_indices(k, 1)
-                for lists in np.array_split(at[size == k], -(-len(at[size == k]) * len(i) // 2_000_000)):
-                    x, y = (lists[:, None] + i).ravel(), (lists[:, None] + j).ravel()
-                    fits = (np.minimum(m[x], m[y]) >= least_overlap(n[x], n[y], percent)) & ((f[x] != f[y]) | (f[x] == _NONE))
-                    pairs.append(np.stack([c[x[fits]], c[y[fits]]], axis=1))
-                    held_pairs += len(pairs[-1])
-                    if held_pairs > 2_000_000:
-                        yield from _pair_rows(pairs)
-                        pairs, held_pairs = [], 0
-            yield from _pair_rows(pairs)
-            for k in np.flatnonzero((size > pair_list) | (split & (size > 0))):
+            # members stand by component; each is paired with all of the list that come after its own
+            run = np.ones(len(h), bool)
+            run[1:] = (h[1:] != h[:-1]) | (l[1:] != l[:-1])
+            ends = np.append(np.flatnonzero(run)[1:], len(h))[np.cumsum(run) - 1] if len(h) else np.zeros(0, int)
+            after = np.repeat(cut[1:], size) - ends
+            all_ = np.add.reduceat(after, at) if len(at) else size
+            short = (all_ <= pair_list * size // (2 if l is c else 1)) & (all_ > 0) & (not split)
+            whose = np.flatnonzero(short[np.repeat(np.arange(len(size)), size)] & (after > 0))
+            pairs: list[np.ndarray] = []
+            for some in np.split(whose, np.flatnonzero(np.diff(np.cumsum(after[whose]) // 2_000_000)) + 1) if len(whose) else ():
+                x = np.repeat(some, after[some])
+                y = np.repeat(ends[some], after[some]) + np.arange(len(x)) - np.repeat(np.cumsum(after[some]) - after[some], after[some])
+                fits = (np.minimum(m[x], m[y]) >= least_overlap(n[x], n[y], percent)) & ((f[x] != f[y]) | (f[x] == _NONE))
+                pairs.append(np.stack([np.minimum(c[x[fits]], c[y[fits]]), np.maximum(c[x[fits]], c[y[fits]])], axis=1))
+                if sum(map(len, pairs)) > 2_000_000:
+                    yield from _pair_rows(pairs)
+                    pairs = []
+            for k in np.flatnonzero(~short & (all_ > 0) | (split & (size > 0))):
                 own = slice(at[k], at[k] + size[k])
                 members = c[own] if split else c[own][_wanted(n[own], m[own], percent)]
                 if len(members) > 1 or split:
+                    # some members stand for the list, or for its largest components
+                    own_labels, place = np.unique(l[own], return_inverse=True)
+                    by_hash = np.argsort(K.mix(c[own].view(np.uint64)), kind="stable")
+                    if l is c:
+                        heads = c[own][by_hash[:HEADS]]
+                    else:
+                        _, firsts = np.unique(place[by_hash], return_index=True)
+                        heads = c[own][by_hash[firsts]][np.argsort(-np.bincount(place), kind="stable")[:HEADS]]
+                    x, y = np.tile(members, len(heads)), np.repeat(heads, len(members))
+                    pairs.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1)[x != y])
+                    if sum(map(len, pairs)) > 2_000_000:
+                        yield from _pair_rows(pairs)
+                        pairs = []
                     yield pa.RecordBatch.from_pydict({"a": pa.array(members), "b": pa.array(np.full(len(members), members[0])), "list": pa.array(np.full(len(members), h[at[k]].view(np.int64)))})
+            yield from _pair_rows(pairs)
 
     return posted.repartitionById(ranges, F.col("range")).mapInArrow(run, "a long, b long, list long")
 
@@ -424,9 +453,7 @@ def _set_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     wanted may have other columns, which are carried along.
     """
-    small = wanted.count() <= BROADCAST_ROWS
-    wanted = F.broadcast(wanted) if small else wanted
-    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(wanted, F.col("_id").eqNullSafe(F.col("doc")))
+    rows = docs.select(F.col("doc_id").alias("_id"), "text").join(narrow(wanted), F.col("_id").eqNullSafe(F.col("doc")))
     keep = [f for f in rows.schema if f.name not in ("_id", "doc", "text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -492,23 +519,33 @@ def _search(merged: DataFrame, classes: DataFrame, fetch, percent: int) -> DataF
     side = lambda x: classes.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     judged = pairs.join(side("a"), "a").join(side("b"), "b")
     close = stored(judged.mapInArrow(lambda batches: _plausible(batches, percent), "a long, b long"), "pairs")
-    return stored(verify(close, classes, fetch, percent), "links")
+    links = stored(verify(close, classes, fetch, percent), "links")
+    drop_stored(close)
+    return links
 
 
 def _open_members(merged: DataFrame, labels: DataFrame) -> DataFrame:
-    """(class) of long lists whose members lie in several components."""
+    """(class, label) of long lists whose members lie in several components."""
     long_lists = merged.where(F.col("list").isNotNull()).select("list", F.col("a").alias("class")).distinct()
     named = long_lists.join(labels.withColumnRenamed("node", "class"), "class", "left").select("list", "class", F.coalesce("label", "class").alias("label"))
     several = named.groupBy("list").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("list")
-    return named.join(several, "list").select("class").distinct()
+    return named.join(several, "list").select("class", "label").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document row."""
+    return with_components(docs, percent).select("doc_id", "n_shingles", "component_id")
+
+
+def with_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id, component) of every document row.
+
+    text_key tells the texts of one id apart, component (null for rows without shingles) the components.
+    """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     surveyed = stored(survey(docs), "survey")
-    base = surveyed.where(F.col("n").isNotNull()).select("doc_id", "n", "class", "bits")
+    base = surveyed.where(F.col("n").isNotNull()).select("doc_id", "text_key", "n", "class", "bits")
     classes = stored(base.where(F.col("class").isNotNull()).groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), F.col("doc_id").alias("doc"), "n", "bits")).alias("s")).select("class", "s.doc", "s.n", "s.bits"), "classes")
 
     often = surveyed.where(F.col("often").isNotNull()).groupBy("often").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "often").limit(ORDER_ROWS).toArrow()
@@ -522,32 +559,41 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     pair_list = PAIR_LIST
     while not (open_ := stored(_open_members(merged, labels), "open-members")).isEmpty():
-        known = classes.join(open_, "class")
-        sets = stored(_set_rows(docs, known.select("class", "doc")).dropDuplicates(["class"]), "open-sets")
+        known = classes.join(narrow(open_), "class")
+        done = merged, links
+        sets = stored(_set_rows(docs, known.select("class", "label", "doc")).dropDuplicates(["class"]), "open-sets")
         pair_list *= 2
         merged = stored(merge_lists(post_again(sets, ranges, percent), ranges, percent, pair_list), "lists")
-        links = stored(links.unionByName(_search(merged, known, lambda wanted, sets=sets: wanted.join(sets, "class"), percent)), "links")
+        links = stored(links.unionByName(_search(merged, known, lambda wanted, sets=sets: wanted.join(sets.drop("label"), "class"), percent)), "links")
         labels = components(links, "a", "b")
+        drop_stored(*done, sets)
 
     labelled = classes.select("class", "doc").join(labels.withColumnRenamed("node", "class"), "class", "left").select("class", "doc", F.coalesce("label", "class").alias("label"))
     smallest = labelled.groupBy("label").agg(F.min("doc").alias("component"))
-    by_class = stored(labelled.join(smallest, "label").select("class", "component"), "components")
-    return base.join(by_class, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    by_class = stored(labelled.join(smallest, "label").select("class", "component", "label"), "components")
+    return base.join(by_class, "class", "left").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.col("label").alias("component"))
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents of each component's smallest id, with all their columns; of wholly repeated rows of one id, one.
+    """One document of each component, that of the smallest id, with all its columns.
 
-    Rows with a null id stay.
+    Rows are told apart by id and text: of several texts of that id one stays, and of
+    rows of one id and text the one with the least other columns. Rows without an id
+    go if their component has one, else all stay.
     """
-    found = stored(near_duplicates(docs, percent), "near-duplicates")
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    again = found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again")
-    gone, again = stored(gone, "gone"), stored(again, "again")
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-    left = docs.join(small(gone), F.col("doc_id") == F.col("_gone"), "left_anti")
-    if again.isEmpty():
+    found = stored(with_components(docs, percent).select("doc_id", "text_key", "component_id", "component"), "near-duplicates")
+    same = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    firsts = found.where(same & F.col("doc_id").isNotNull() & F.col("component").isNotNull())
+    several = stored(firsts.groupBy("doc_id", "component").agg(F.count("*").alias("rows"), F.min("text_key").alias("stays")).where("rows > 1"), "several-rows")
+    other_texts = firsts.join(several, ["doc_id", "component"]).where(F.col("text_key") != F.col("stays")).select("doc_id", "text_key")
+    id_, key = (free_name(x, docs.columns) for x in ("gone_id", "gone_text"))
+    on = F.col("doc_id").eqNullSafe(F.col(id_)) & F.xxhash64("text").eqNullSafe(F.col(key))
+    gone = stored(found.where(~same).select("doc_id", "text_key").unionByName(other_texts).distinct().toDF(id_, key), "gone")
+    left = docs.join(narrow(gone), on, "left_anti")
+    if several.isEmpty():
         return left
-    rows = left.join(small(again), F.col("doc_id") == F.col("_again"), "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])).alias("_rest"))
-    once = rows.select("doc_id", "text", "_rest.*").select(*docs.columns)
-    return left.join(small(again), F.col("doc_id") == F.col("_again"), "left_anti").unionByName(once)
+    again = narrow(several.select(F.col("doc_id").alias(id_), F.col("stays").alias(key)))
+    rest = free_name("rest", docs.columns)
+    rows = left.join(again, on, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])).alias(rest))
+    once = rows.select("doc_id", "text", f"{rest}.*").select(*docs.columns)
+    return left.join(again, on, "left_anti").unionByName(once)
