@@ -108,7 +108,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passage_dedup.find_passages(_table(spark, sf_dir, "documents"))
+    return passage_dedup.find_passages(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

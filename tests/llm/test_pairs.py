@@ -67,7 +67,82 @@ def test_jaccard_empty_and_keep_first(spark, docs, no_docs):
     expected = {r[0] for r in brute_components(make_docs()) if r[0] is not None and r[0] == r[2]}
     ids = [r["doc_id"] for r in kept.collect()]
     assert {i for i in ids if i is not None} == expected
-    assert ids.count(2) == 1 and ids.count(None) == 2  # repeated rows once; rows without an id stay
+    assert ids.count(2) == 1 and ids.count(None) == 1  # repeated rows once; a row without an id goes as a copy of document 1
+
+
+def test_keep_first_tells_texts_of_one_id_apart(spark):
+    rng = random.Random(21)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    near = " ".join([*a.split(" ")[:-1], "changed"])
+    rows = [(1, a, "x", "g"), (5, near, "x", "g"), (5, b, "x", "g"), (6, c, "y", "g"), (6, c, "x", "h"), (7, b + " more", "x", "g"), (8, "", "x", "g"), (8, None, "x", "g"), (8, "", "x", "g"), (9, c[::-1], "x", "g"), (9, a[::-1], "x", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_id string, rest string").repartition(3)
+    kept = sorted(map(tuple, jaccard_join.keep_first(docs).collect()), key=repr)
+    stay = [(1, a, "x", "g"), (5, b, "x", "g"), (6, c, "x", "h"), (8, "", "x", "g"), (8, "", "x", "g"), (8, None, "x", "g"), (9, c[::-1], "x", "g"), (9, a[::-1], "x", "g")]
+    assert kept == sorted(stay, key=repr)
+
+
+def test_members_of_a_list_that_others_can_link_to():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n = rng.integers(1, 40, rng.integers(1, 12))
+        left = np.array([rng.integers(1, x + 1) for x in n])
+        expected = [any(i != j and min(left[i], left[j]) >= jaccard_join.least_overlap(n[i], n[j]) for j in range(len(n))) for i in range(len(n))]
+        assert jaccard_join._wanted(n, left, 80).tolist() == expected
+
+
+def test_windows_that_meet_find_a_partner():
+    """Windows of one value and side, with any extents, in tasks of any size: each that meets an earlier one gets such a partner."""
+    rng = np.random.default_rng(5)
+    for t in range(150):
+        least, n = 46, int(rng.integers(2, 14))
+        windows = np.zeros(n, passage_dedup._WINDOW)
+        windows["value"], windows["sides"], windows["doc"] = 7, 1, rng.permutation(n)
+        windows["left"] = [60, 0] * (n // 2) + [60] * (n % 2) if t == 0 else rng.integers(0, 61, n)
+        windows["right"] = np.maximum(0, least - 1 - windows["left"].astype(int)) + rng.integers(0, 3, n)
+        held, pairs = int(rng.integers(1, n + 1)), []
+        sent = []
+        for a in range(0, n, held):
+            some = windows[a : a + held]
+            found, stands, _ = passage_dedup.join_windows(some, least)
+            pairs += found.tolist()
+            sent.append(some[stands])
+        pairs += passage_dedup.join_windows(np.concatenate(sent), least)[0].tolist()
+        meets = lambda x, y: min(x["left"], y["left"]) + min(x["right"], y["right"]) + 1 >= least
+        by_doc = {int(w["doc"]): w for w in windows}
+        assert all(a > b and meets(by_doc[a], by_doc[b]) for a, b in pairs)
+        for a in by_doc:
+            if any(b < a and meets(by_doc[a], by_doc[b]) for b in by_doc):
+                assert any(x == a for x, _ in pairs)
+
+
+def test_near_passages_are_found(spark):
+    """Passages of 70 words with up to two changed words among other text, against the rule by brute force."""
+    rng, rows = random.Random(17), []
+    for t in range(40):
+        passage = prose(rng, 70).split(" ")
+        for i in range(3):
+            own = list(passage)
+            for _ in range(i):
+                own[rng.randrange(len(own))] = f"new{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join([*prose(rng, 40).split(" "), *own, *prose(rng, 40).split(" ")])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id")
+    found = {r["doc_id"] for r in passage_dedup.find_passages(docs).collect()}
+    sequences, wanted = numbered(*[space_words(t) for _, t in rows]), set()
+    for a in range(len(rows)):
+        for b in range(a):
+            x, y = np.array(sequences[a], np.uint32), np.array(sequences[b], np.uint32)
+            if len(np.intersect1d(x, y)) >= 37 and passage_dedup.shared_passages(x, y, passage_dedup.shingle_places(y), 46, 0.8):
+                wanted.add(a)
+    assert len(wanted) >= 60 and len(wanted & found) >= 0.95 * len(wanted)
+
+
+def test_cut_passages_cuts_only_the_text_it_was_found_in(spark):
+    rng = random.Random(23)
+    passage, own = prose(rng, 60), prose(rng, 150)
+    rows = [(1, f"{prose(rng, 20)} {passage}", "a"), (2, f"{prose(rng, 20)} {passage}", "b"), (2, own, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cut_spans string")
+    left = {r["cut_spans"]: r["text"] for r in passage_dedup.cut_passages(docs, passage_dedup.find_passages(docs)).collect()}
+    assert left["a"] == rows[0][1] and left["c"] == own and passage not in left["b"]
 
 
 def test_divide_skip_equals_counting():
