@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -31,12 +32,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm import textkit as K
+
 NULL_ID = np.iinfo(np.int64).min
 CACHE = 300_000
-
-
-class _Split(Exception):
-    """White space touches the border of a piece: the text must be encoded as a whole."""
+PART_BYTES = 2 << 20  # text whose new pieces are encoded together
 
 
 class PieceEncoder:
@@ -54,7 +54,8 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self._added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 65536 else "<u4")
-        self._limit, self._tokens = cache, {}
+        # pieces and tokens with their ids, in two generations: what is not used again leaves with the older one
+        self._limit, self._pieces, self._old, self._tokens = cache, {}, {}, {}
         self._split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self._model = self.tokenizer.model.tokenize
         self._byte_level = "ByteLevel" in json.dumps(json.loads(self.tokenizer.to_str())["pre_tokenizer"]) and self.tokenizer.normalizer is None
@@ -69,27 +70,31 @@ class PieceEncoder:
                 self[sign] = found = "".join(t for t, _ in outer._split(sign))
                 return found
 
-        class Pieces(dict):
-            def __missing__(self, piece: str) -> bytes:
-                if not piece or piece[0].isspace() or piece[-1].isspace():
-                    raise _Split
-                if len(self) >= outer._limit:
-                    self.clear()
-                self[piece] = ids = outer._after_space(piece)
-                return ids
-
-        self._signs, self._pieces = Signs(), Pieces()
+        self._signs = Signs()
 
-    def _encode_piece(self, text: str) -> bytes:
+    def _by_library(self, text: str) -> bytes:
         return b"".join([self._token(token) for token, _ in self._split(text)])
 
-    def _after_space(self, piece: str) -> bytes:
-        """The ids of a space and a piece; letters and a tail of commas and stops are pre-tokens for certain."""
-        word = piece.rstrip(",.")
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a space and a piece; its lines are pre-tokens of their own."""
+        first, *lines = piece.split("\n")
+        if not lines:
+            return self._words(self._space, piece)
+        if not (first and all(lines)):
+            return self._by_library(" " + piece)
+        newline = self._token(self._signs["\n"])
+        return self._words(self._space, first) + b"".join([newline + self._words("", x) for x in lines])
+
+    def _words(self, space: str, text: str) -> bytes:
+        """Letters, and marks after them, are pre-tokens for certain."""
+        word = text.rstrip(string.punctuation)
         if not word.isalpha():
-            return self._encode_piece(" " + piece)
-        ids = self._token(self._space + (word if word.isascii() else "".join(map(self._signs.__getitem__, word))))
-        return ids if len(word) == len(piece) else ids + self._token(piece[len(word) :])
+            return self._by_library((" " if space else "") + text)
+        token = space + (word if word.isascii() else "".join(map(self._signs.__getitem__, word)))
+        ids = self._tokens.get(token) or self._token(token)
+        if len(word) == len(text):
+            return ids
+        return ids + self._token(text[len(word) :])
 
     def _token(self, token: str) -> bytes:
         ids = self._tokens.get(token)
@@ -103,17 +108,28 @@ class PieceEncoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not self._byte_level or any(t in text for t in self._added):
-            return self.whole(text)
-        head, *pieces = text.split(" ")
-        if not pieces:
-            return self._encode_piece(text) if text else b""
-        if not head or head[-1].isspace() or head[0].isspace():
-            return self.whole(text)
-        try:
-            return self._encode_piece(head) + b"".join(map(self._pieces.__getitem__, pieces))
-        except _Split:
-            return self.whole(text)
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text; pieces that are new to the cache are encoded once for all."""
+        if not self._byte_level:
+            return [self.whole(x) for x in texts]
+        cut = [x.split(" ") for x in texts]
+        pieces, old, odd = self._pieces, self._old, set()
+        for piece in set().union(*[x[1:] for x in cut]) - pieces.keys():
+            if not piece or piece[0].isspace() or piece[-1].isspace():
+                odd.add(piece)
+            else:
+                pieces[piece] = old.get(piece) or self._piece(piece)
+        out = []
+        for text, (head, *rest) in zip(texts, cut):
+            if any(t in text for t in self._added) or rest and (not head or head[0].isspace() or head[-1].isspace() or not odd.isdisjoint(rest)):
+                out.append(self.whole(text))
+            else:
+                out.append((self._by_library(head) if head else b"") + b"".join(map(pieces.__getitem__, rest)))
+        if len(pieces) >= self._limit:
+            self._old, self._pieces = pieces, {}
+        return out
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
@@ -136,9 +152,10 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int, bounds: list[int]) -> D
         for batch in batches:
             keys = batch.column(0).fill_null(int(NULL_ID))
             shard = np.searchsorted(edges, keys.to_numpy(), side="right").astype(np.int32)
-            for a in range(0, batch.num_rows, 512):
-                texts = batch.column(1).slice(a, 512).to_pylist()
-                yield pa.RecordBatch.from_pydict({"doc_id": keys.slice(a, 512), "ids": pa.array([encode_(x or "") + end for x in texts], pa.binary()), "shard": pa.array(shard[a : a + 512])})
+            known = pa.RecordBatch.from_pydict({"doc_id": keys, "text": batch.column(1), "shard": pa.array(shard)})
+            for part in K.chunks(known, size=PART_BYTES):
+                ids = encode_.encode_all([x or "" for x in part.column("text").to_pylist()])
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "ids": pa.array([x + end for x in ids], pa.binary()), "shard": part.column("shard")})
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary, shard int")
 
