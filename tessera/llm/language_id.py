@@ -15,16 +15,17 @@ learned, every text is `und`; with one language, all others get it.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit as K
-from tessera.llm.shared import remainder
+from tessera.llm.shared import narrow, remainder, stored
 
 TRAIN_ROWS = 3000
 BUCKETS = 4096
@@ -106,19 +107,26 @@ def train(docs: DataFrame, where: Column | None = None, rows: int = TRAIN_ROWS)
     if where is not None:
         known = known.where(where)
     known = known.groupBy("doc_id").agg(F.min("lang").alias("lang"))
-    n = max(1, known.select("lang").distinct().count())
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= max(1, rows // n)).drop("rank")
+    known = known.withColumn("hash", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)))
+    sizes = stored(known.groupBy("lang").agg(F.count("*").alias("size")), "language-sizes")
+    each = max(1, rows // max(1, sizes.count()))
+    # about as many of each language as are wanted, and a few more, by a bound on the hash; the rest is cut below
+    share = F.least(F.lit(1.0), (each + 4 * F.sqrt(F.lit(each)) + 8) / F.col("size"))
+    picked = stored(known.join(narrow(sizes), "lang").where(F.col("hash") < share * (1 << 40)).select("doc_id", "lang", "hash"), "language-sample")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in K.chunks(batch):
                 x = (counts(part.column("text")) * 65535).astype("<u2")
-                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "lang": part.column("lang"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
-
-    sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select(F.col("doc_id").cast("string"), "lang", "text")
-    seen = sample.mapInArrow(run, "doc_id string, lang string, x binary").groupBy("doc_id").agg(F.min(F.struct("lang", "x")).alias("r")).orderBy("doc_id").toArrow()  # bounded by rows
-    pairs = seen.column("r").to_pylist()
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "hash": part.column("hash"), "lang": part.column("lang"), "x": pa.array([r.tobytes() for r in x], pa.binary())})
+
+    sample = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(narrow(picked), "doc_id").select(F.col("doc_id").cast("string"), "hash", "lang", "text")
+    seen = sample.mapInArrow(run, "doc_id string, hash long, lang string, x binary").groupBy("doc_id").agg(F.min(F.struct("hash", "lang", "x")).alias("r")).orderBy("r.hash", "doc_id").toArrow()  # about `rows` rows
+    pairs, taken = [], Counter()
+    for r in seen.column("r").to_pylist():
+        taken[r["lang"]] += 1
+        if taken[r["lang"]] <= each:
+            pairs.append(r)
     x = np.stack([np.frombuffer(r["x"], "<u2") for r in pairs]).astype(np.float32) / 65535 if pairs else np.zeros((0, BUCKETS), np.float32)
     return fit(x, [r["lang"] for r in pairs])
 
