@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import base, cards, more, records, retrieval, telemetry, texts, upkeep  # noqa: F401  (each registers its queries)
+from tessera.plans import base, cards, more, profile, records, retrieval, telemetry, texts, upkeep  # noqa: F401  (each registers its queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

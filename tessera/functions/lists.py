@@ -11,9 +11,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
 
 
-def distinct_ignoring_case(values: Column) -> Column:
-    """The first spelling of each value, in order; blanks go."""
+def distinct_ignoring_case(values: Column, skip: Column | None = None) -> Column:
+    """The first spelling of each value, in order; blanks go, and so does what `skip` has in any case."""
     clean = F.filter(F.transform(values, lambda v: F.trim(F.regexp_replace(v, r"\s+", " "))), lambda v: v != "")
+    if skip is not None:
+        low = F.transform(F.coalesce(skip, F.array().cast("array<string>")), lambda v: F.lower(F.trim(F.regexp_replace(v, r"\s+", " "))))
+        clean = F.filter(clean, lambda v: ~F.array_contains(low, F.lower(v)))
     empty = F.array().cast("array<string>")
     return F.aggregate(clean, empty, lambda kept, v: F.when(F.exists(kept, lambda k: F.lower(k) == F.lower(v)), kept).otherwise(F.concat(kept, F.array(v))))
 

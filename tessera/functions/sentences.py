@@ -156,9 +156,11 @@ def draft_faults(subject: Column, body: Column, title: Column, person: Column, i
     word = lambda w: rf"\b{w}\b"
     attached = whole.rlike(r"(?i)\battach(?:ed|ment|ments|ing)?\b")
     n, blocks = F.size(T.words(body)), F.size(F.filter(F.split(body, "\n\n"), lambda b: F.trim(b) != ""))
-    claim = F.regexp_extract(whole, r"(?i)\b(?:I am|I'm)\b([^.!?]{0,90}?)\bat (?:the )?([\p{L} ]+)", 1)
-    place = F.regexp_extract(whole, r"(?i)\b(?:I am|I'm)\b([^.!?]{0,90}?)\bat (?:the )?([\p{L} ]+)", 2)
-    attends = (F.length(place) > 0) & F.startswith(F.lower(place), F.lower(F.trim(institution))) & ~claim.rlike(r"(?i)\byour\s+(?:lab|laboratory|group|team|research|work)\b")
+    # "I am ... at <institution>" in one sentence, unless what stands between speaks of the reader's group
+    clauses = F.transform(F.regexp_extract_all(low, F.lit(r"\bi(?:'m| am)\b[^.!?]*"), F.lit(0)), lambda c: F.regexp_replace(c, r"\bat the\b", "at"))
+    spot = F.concat(F.lit(" at "), F.lower(F.trim(institution)))
+    readers = r"\byour (?:group|lab|laboratory|research|team|work)\b"
+    attends = (F.trim(institution) != "") & F.exists(clauses, lambda c: F.contains(c, spot) & ~F.split_part(c, spot, F.lit(1)).rlike(readers))
     hard = [("dollar_amount", whole.rlike(r"\$\s*\d")), ("title_quoted", (F.size(T.words(title)) >= 4) & F.contains(low, F.lower(title)))]
     hard += [(f"word_{w}", low.rlike(word(w)) & ~named.rlike(word(w))) for w in AWARD_WORDS]
     hard += [(f"agency_{a}", whole.rlike(word(a))) for a in AGENCIES]

@@ -64,6 +64,7 @@ def cards(awards: DataFrame, terms: list[str], today: Column) -> DataFrame:
     )
 
 
+#: Where a student's term can come from (fixed values).
 ORIGINS = ("student_added", "keyword_scan", "narrative", "cv", "ai_suggested")
 
 

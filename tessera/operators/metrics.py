@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# Stages, pages, allowed keys and the events that reach a stage (fixed values).
 STAGES = ("Landed (Onboarding)", "Finished Onboarding (Reached Swiper)", "Opened Outreach Composer", "Copied Pitch", "Marked as Reached Out")
 PAGES = ("onboarding", "dashboard", "email_review", "analytics")
 SAFE_KEYS = ("is_test", "tester_name", "variant", "answer", "price", "target", "save_method", "has_parser_error", "synthesis_duration_ms", "decision_duration_ms", "draft_modified_chars_diff")

@@ -130,10 +130,17 @@ def key_faults(rows: DataFrame, key: list[str], required: list[str], allowed: di
 
 
 def batches(items: DataFrame, size: int, key: str) -> DataFrame:
-    """Items with the number of their batch of `size`, in order of key; positions come from counts of ranges, not one sorted task."""
-    spread = items.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id())
+    """Items with the number of their batch of `size`, in order of key.
+
+    Bounds of ranges are fixed first, so that counting the ranges and numbering the
+    rows in them agree; a range is numbered in one task.
+    """
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(items.select(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []))
+    part = F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0), lambda k, b: k + F.coalesce(F.col(key) >= b, F.lit(False)).cast("int")) if bounds else F.lit(0)
+    spread = items.withColumn("_part", part)
     counts = spread.groupBy("_part").count()
-    before = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_base"))  # a row a partition
+    before = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_base"))  # a row a range
     placed = spread.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(key)))
     return placed.join(F.broadcast(before), "_part").withColumn("batch", F.floor((F.col("_base") + F.col("_n") - 1) / size)).drop("_part", "_n", "_base")
 
@@ -172,3 +179,50 @@ def answer_faults(asked: DataFrame, answered: DataFrame, required: list[str], sh
 def quotes(evidence: DataFrame) -> DataFrame:
     """(award, sentence, terms): each quoted sentence once, with the terms found in it in order."""
     return evidence.groupBy("award", "sentence").agg(F.array_sort(F.collect_set("term")).alias("terms"))  # the student's terms at most
+
+
+def undo(matches: DataFrame, wanted: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Matches without those to be undone, and the refused ones: who was written to stays."""
+    asked = matches.join(wanted.select(*keys).distinct(), keys, "left_semi")
+    refused = asked.where(F.coalesce(F.col("status") == "emailed", F.lit(False)))
+    return matches.join(asked.where(F.coalesce(F.col("status") != "emailed", F.lit(True))).select(*keys), keys, "left_anti"), refused
+
+
+def set_null(children: DataFrame, parents: DataFrame, child: str, parent: str) -> DataFrame:
+    """Children whose parent is gone lose the reference and stay."""
+    known = parents.select(F.col(parent).alias("_parent")).distinct()
+    joined = children.join(known, F.col(child) == F.col("_parent"), "left")
+    return joined.withColumn(child, F.col("_parent")).select(*children.columns)
+
+
+def touched(old: DataFrame, new: DataFrame, key: str, columns: list[str], stamp: str, now: Column) -> DataFrame:
+    """New rows; the stamp is renewed where a column differs from the old row or there was none."""
+    before = old.select(F.col(key).alias("_key"), F.col(stamp).alias("_stamp"), F.struct(*columns).alias("_old"))
+    same = F.col("_old").eqNullSafe(F.struct(*columns)) & F.col("_key").isNotNull()
+    return new.join(before, F.col(key) == F.col("_key"), "left").withColumn(stamp, F.when(same, F.col("_stamp")).otherwise(now)).drop("_key", "_stamp", "_old")
+
+
+def next_page(shown: DataFrame, page: DataFrame, key: str) -> DataFrame:
+    """What is shown with the rows of a page that are not yet."""
+    return shown.unionByName(page.join(shown.select(key), key, "left_anti"))
+
+
+def merged_hits(first: DataFrame, second: DataFrame, term: str) -> DataFrame:
+    """Hits of two searches; the second's only for terms that the first lacks, whatever their case."""
+    folded = F.lower(F.trim(F.col(term)))
+    seen = first.select(folded.alias("_term")).distinct()
+    return first.unionByName(second.withColumn("_term", folded).join(seen, "_term", "left_anti").drop("_term"))
+
+
+def answers_to_batch(answers: DataFrame, batch: DataFrame, current: DataFrame, key: str) -> DataFrame:
+    """Answers to a batch's own rows, and whether the row is gone by now."""
+    own = answers.join(batch.select(key).distinct(), key, "left_semi")
+    held = current.select(key, F.lit(False).alias("gone")).distinct()
+    return own.join(held, key, "left").withColumn("gone", F.coalesce("gone", F.lit(True)))
+
+
+def last_of_batch(batch: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The last row of each key in some order; rows without a key all stay."""
+    row = F.struct(*order, *[c for c in batch.columns if c not in order and c != key])
+    last = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(row).alias("_row")).select(key, "_row.*")
+    return last.select(*batch.columns).unionByName(batch.where(F.col(key).isNull()))

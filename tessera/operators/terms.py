@@ -24,14 +24,21 @@ def term_scores(awards: DataFrame, frequency: DataFrame, total: int, key: str =
     MIN_AWARDS and at most MAX_SHARE of all awards, and stand in the title, in the
     statement, or twice in the abstract.
     """
-    each = awards.select(key, "title", "statement", "abstract", F.explode(F.array_distinct(F.transform("terms", text.collapse))).alias("term")).where(text.chip_allowed(F.col("term")))
+    each = awards.select(key, F.explode(F.array_distinct(F.transform("terms", text.collapse))).alias("term")).where(text.chip_allowed(F.col("term")))
     usable = frequency.where((F.col("awards") >= MIN_AWARDS) & (F.col("awards") <= total * MAX_SHARE))
-    joined = each.join(usable, "term").withColumn("pattern", text.whole_word_or_plural(F.col("term")))
-    hit = lambda c: F.coalesce(F.regexp_like(c, F.col("pattern")), F.lit(False))
-    times = F.coalesce(F.regexp_count("abstract", F.col("pattern")), F.lit(0))
-    weight = F.when(hit("title"), 3.0).otherwise(0.0) + F.when(hit("statement"), 2.0).otherwise(0.0) + F.least(times, F.lit(5)) * 0.4
+    # texts meet the usable terms of their award once, not each term
+    listed = each.join(usable, "term").groupBy(key).agg(F.collect_list(F.struct("term", "awards")).alias("usable"))  # the terms of one award
+    joined = awards.select(key, "title", "statement", "abstract").join(listed, key)
+
+    def places(t: Column) -> Column:
+        pattern = text.whole_word_or_plural(t["term"])
+        hit = lambda c: F.coalesce(F.regexp_like(c, pattern), F.lit(False))
+        return F.struct(t["term"].alias("term"), t["awards"].alias("awards"), hit(F.col("title")).alias("title"), hit(F.col("statement")).alias("statement"), F.coalesce(F.regexp_count("abstract", pattern), F.lit(0)).alias("times"))
+
+    found = joined.select(key, F.explode(F.transform("usable", places)).alias("f")).select(key, "f.*")
+    weight = F.when(F.col("title"), 3.0).otherwise(0.0) + F.when(F.col("statement"), 2.0).otherwise(0.0) + F.least("times", F.lit(5)) * 0.4
     score = F.ln(F.lit(float(total)) / F.col("awards")) * weight
-    return joined.where(hit("title") | hit("statement") | (times >= 2)).select(key, "term", score.alias("score"))
+    return found.where(F.col("title") | F.col("statement") | (F.col("times") >= 2)).select(key, "term", score.alias("score"))
 
 
 def top_terms(scored: DataFrame, shown: int = 5, key: str = "award") -> DataFrame:

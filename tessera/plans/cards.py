@@ -44,9 +44,9 @@ def evidence_rows(t: Tables) -> DataFrame:
 
 @query()
 def validate_sentence(t: Tables) -> DataFrame:
-    """What speaks against a text's second sentence as its summary."""
-    s = F.get(sentences.split_sentences(F.col("text")), F.lit(1))
-    return t.documents.select("doc_id", F.array_join(sentences.summary_faults(s, F.substring("text", 1, 40), F.col("text")), "|").alias("faults"))
+    """What speaks against each sentence of a text as its summary."""
+    each = t.documents.select("doc_id", "text", F.posexplode(sentences.split_sentences(F.col("text"))).alias("at", "s"))
+    return each.select("doc_id", "at", F.array_join(sentences.summary_faults(F.col("s"), F.substring("text", 1, 40), F.col("text")), "|").alias("faults"))
 
 
 @query()
@@ -115,6 +115,6 @@ def profile_text(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", C.profile_text(F.col("s_name"), F.lit(""), F.array(F.lit("a"), F.lit("b")), F.array().cast("array<string>")).alias("profile"))
 
 
-@query(r"SELECT doc_id, trim(substr(trim(regexp_replace(regexp_replace(text, '[^\pL\pN_\s-]', ' ', 'g'), '\s+', ' ', 'g')), 1, 60)) AS q FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, trim(substr(trim(regexp_replace(regexp_replace(text, '[^\pL\pN_\s-]', ' ', 'g'), '\s+', ' ', 'g')), 1, 60)) AS q FROM documents")
 def query_title(t: Tables) -> DataFrame:
-    return t.documents.where("lang = 'en'").select("doc_id", text.query_title(F.col("text")).alias("q"))
+    return t.documents.select("doc_id", text.query_title(F.col("text")).alias("q"))

@@ -51,12 +51,12 @@ def vector_cut_to_width(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", cut.alias("v")).select("vec_id", F.round(F.get("v", F.lit(0)), 6).alias("first"), F.size("v").alias("width"))
 
 
-_TAGS = "[lower(w) FOR w IN regexp_extract_all(text, '[A-Za-z]+')[1:8]]"
+_TAGS = "[lower(w) FOR w IN regexp_extract_all(text, '[A-Za-z]+')]"
 _SKILLS = ("the", "of", "and", "la", "der", "que")
 
 
 def _tagged(t: Tables) -> DataFrame:
-    tags = F.slice(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)), 1, 8)
+    tags = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
     return t.documents.select(F.col("doc_id").alias("grant_id"), "source", F.transform(tags, F.lower).alias("tags"))
 
 

@@ -68,17 +68,14 @@ def whole_word_match(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.array_join(terms.whole_word_hits(t.documents, ["er", "The", "that", "de la"], "text"), "|").alias("hits"))
 
 
-_LONG = "CASE doc_id % 4 WHEN 0 THEN text WHEN 1 THEN '** BANNER ** 1. PROJECT TITLE: A study of rivers and their banks PROJECT PERIOD ' || text WHEN 2 THEN 'First sentence of this award. ' || text ELSE left(text, 50) END"
-
-
-@query(rf"""WITH d AS (SELECT doc_id, regexp_replace(trim({_LONG}), '[\n\x0B\f\r\t]', ' ', 'g') AS x, doc_id % 4 AS k FROM documents)
-SELECT doc_id, CASE WHEN length(trim(x)) <= 200 THEN trim(x) WHEN k = 1 THEN 'A study of rivers and their banks' WHEN k = 2 THEN 'First sentence of this award.' END AS title FROM d WHERE k IN (1, 2, 3) AND x <> ''""")
+@query()
 def display_title(t: Tables) -> DataFrame:
-    k = F.col("doc_id") % 4
+    """Titles as cards show them: whole short texts, the title behind a banner, a first sentence, or a cut at a word."""
+    k = F.col("doc_id") % 3
     raw = F.when(k == 0, F.col("text")).when(k == 1, F.concat(F.lit("** BANNER ** 1. PROJECT TITLE: A study of rivers and their banks PROJECT PERIOD "), "text"))
-    raw = raw.when(k == 2, F.concat(F.lit("First sentence of this award. "), "text")).otherwise(F.left("text", F.lit(50)))
+    raw = raw.otherwise(F.concat(F.lit("First sentence of this award. "), "text"))
     flat = F.regexp_replace(F.trim(raw), r"[\n\x0B\f\r\t]", " ")
-    return t.documents.where(k.isin(1, 2, 3)).select("doc_id", flat.alias("x")).where("x <> ''").select("doc_id", text.display_title(F.col("x")).alias("title"))
+    return t.documents.select("doc_id", text.display_title(flat).alias("title"))
 
 
 @query("""WITH n AS (SELECT n_nationkey, lower(n_name) || ' university' AS uni, CASE n_nationkey % 4 WHEN 0 THEN 'MIT' WHEN 1 THEN n_name WHEN 2 THEN ' ' || lower(n_name) || ' University ' ELSE 'Yale' END AS typed FROM nation)
@@ -114,21 +111,13 @@ def doc_frequency(t: Tables) -> DataFrame:
 
 def _award_terms(t: Tables) -> DataFrame:
     clean = F.regexp_replace("text", r"[^A-Za-z ]", " ")
-    words = F.filter(text.words(clean), lambda w: F.length(w) >= 5)
-    return t.documents.where("lang = 'en'").select(F.col("doc_id").alias("award"), F.slice(words, 1, 12).alias("terms"), F.substring(clean, 1, 60).alias("title"), F.substring(clean, 61, 200).alias("statement"), clean.alias("abstract"))
-
-
-@query(r"""WITH d AS (SELECT doc_id AS award, regexp_replace(text, '[^A-Za-z ]', ' ', 'g') AS c FROM documents WHERE lang = 'en'),
-a AS (SELECT award, c, substr(c, 1, 60) AS title, substr(c, 61, 200) AS st, [w FOR w IN regexp_split_to_array(trim(regexp_replace(c, '\s+', ' ', 'g')), ' ') IF length(w) >= 5][1:12] AS terms FROM d),
-e AS (SELECT DISTINCT award, c, title, st, unnest(terms) AS term FROM a),
-f AS (SELECT term, count(*) AS awards FROM e GROUP BY term HAVING count(*) >= 3), n AS (SELECT count(*) AS total FROM a),
-p AS (SELECT e.*, awards, total, CASE WHEN length(term) > 3 AND lower(term) LIKE '%s' AND lower(term) NOT LIKE '%ss' THEN term[1:-2] || 's?' ELSE term || '(?:s|es)?' END AS body FROM e JOIN f USING (term), n WHERE length(term) <= 32 AND awards <= total * 0.04
-  AND NOT regexp_matches(term, '(?i)^(students?|undergraduates?|trainees?|postdoc\w*|fellows?|fellowships?|interns?|internships?|mentor\w*|career\w*|recruit\w*|training|education\w*|faculty|workforce|scholars?|enrol\w*|curricul\w*|teachers?|teaching|positions?|jobs?|stipends?|salar\w+)$')),
-h AS (SELECT award, term, awards, total, regexp_matches(title, flag || '(^|\W)' || body || '(\W|$)') AS t, regexp_matches(st, flag || '(^|\W)' || body || '(\W|$)') AS s, len(regexp_extract_all(regexp_replace(c, '\s', '  ', 'g'), flag || '(?:^|\W)' || body || '(?:\W|$)')) AS k
-  FROM (SELECT *, CASE WHEN term = upper(term) THEN '' ELSE '(?i)' END AS flag FROM p))
-SELECT award, term, round(ln(CAST(total AS DOUBLE) / awards) * (CASE WHEN t THEN 3.0 ELSE 0.0 END + CASE WHEN s THEN 2.0 ELSE 0.0 END + least(k, 5) * 0.4), 6) AS score FROM h WHERE t OR s OR k >= 2""")
+    words = F.array_distinct(F.filter(text.words(clean), lambda w: F.length(w) >= 5))
+    return t.documents.select(F.col("doc_id").alias("award"), words.alias("terms"), F.substring(clean, 1, 60).alias("title"), F.substring(clean, 61, 200).alias("statement"), clean.alias("abstract"))
+
+
+@query()
 def rank_terms_score(t: Tables) -> DataFrame:
-    """How much a term tells about an award: rare terms, and those in its title, count most."""
+    """How much each word of an award tells about it: rare terms, and those in its title, count most."""
     awards = _award_terms(t)
     scored = terms.term_scores(awards, terms.document_frequency(awards), awards.count())
     return scored.select("award", "term", F.round("score", 6).alias("score"))
@@ -152,22 +141,23 @@ def term_subset_match(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", terms.inside_index_terms(first, index).alias("hit"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, list_filter(regexp_split_to_array(trim(regexp_replace(substr(text, 1, 200), '\s+', ' ', 'g')), ' '), lambda v: v <> '') AS x FROM documents)),
-f AS (SELECT doc_id, arg_min(w, i) AS w, min(i) AS i FROM w GROUP BY doc_id, lower(w)) SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS words FROM f GROUP BY doc_id""")
+@query(r"""WITH w AS (SELECT conv_id, turn, unnest(x) AS w, generate_subscripts(x, 1) AS i FROM (SELECT conv_id, turn, list_filter(regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda v: v <> '') AS x FROM conversations)),
+f AS (SELECT conv_id, turn, arg_min(w, i) AS w, min(i) AS i FROM w GROUP BY conv_id, turn, lower(w)) SELECT conv_id, turn, string_agg(w, ' ' ORDER BY i) AS words FROM f GROUP BY conv_id, turn""")
 def case_insensitive_dedupe(t: Tables) -> DataFrame:
-    words = F.split(text.collapse(F.substring("text", 1, 200)), " ")
-    return t.documents.select("doc_id", F.array_join(lists.distinct_ignoring_case(words), " ").alias("words")).where("words <> ''")
+    """The words of every turn, each in its first spelling."""
+    words = F.split(text.collapse(F.col("text")), " ")
+    return t.conversations.select("conv_id", "turn", F.array_join(lists.distinct_ignoring_case(words), " ").alias("words")).where("words <> ''")
 
 
-@query("""WITH s AS (SELECT s_suppkey AS id, s_name AS org, s_suppkey % 20 AS title FROM supplier), f AS (SELECT s_suppkey + 1000 AS found_id, CASE WHEN s_suppkey % 3 = 0 THEN 'Other Org' ELSE s_name END AS org, s_suppkey % 40 AS title FROM supplier),
+@query("""WITH s AS (SELECT s_suppkey AS id, s_name AS org, s_suppkey AS title FROM supplier), f AS (SELECT s_suppkey + 1000 AS found_id, CASE WHEN s_suppkey % 3 = 0 THEN 'Other Org' ELSE s_name END AS org, CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey - 1 ELSE s_suppkey END AS title FROM supplier),
 t AS (SELECT id, title, list_filter(regexp_split_to_array(regexp_replace(lower(org), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for', 'university', 'college', 'institute', 'school', 'inc', 'llc')) AS o FROM s),
 u AS (SELECT found_id, title, list_filter(regexp_split_to_array(regexp_replace(lower(org), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for', 'university', 'college', 'institute', 'school', 'inc', 'llc')) AS o FROM f),
-m AS (SELECT id, found_id FROM t JOIN u ON 'Study ' || t.title = 'Study ' || u.title WHERE list_has_any(t.o, u.o)) SELECT id, min(found_id) AS found_id FROM m GROUP BY id HAVING count(DISTINCT found_id) = 1""")
+m AS (SELECT id, found_id FROM t JOIN u ON t.title = u.title WHERE list_has_any(t.o, u.o)) SELECT id, min(found_id) AS found_id FROM m GROUP BY id HAVING count(DISTINCT found_id) = 1""")
 def org_token_overlap_unique(t: Tables) -> DataFrame:
     """Stored awards whose title and organisation point to exactly one found record."""
     k = F.col("s_suppkey")
-    stored = t.supplier.select(k.alias("id"), F.col("s_name").alias("org"), F.concat(F.lit("Study "), (k % 20).cast("string")).alias("title"))
-    found = t.supplier.select((k + 1000).alias("found_id"), F.when(k % 3 == 0, "Other Org").otherwise(F.col("s_name")).alias("org"), F.concat(F.lit("STUDY  "), (k % 40).cast("string")).alias("title"))
+    stored = t.supplier.select(k.alias("id"), F.col("s_name").alias("org"), F.concat(F.lit("Study "), k.cast("string")).alias("title"))
+    found = t.supplier.select((k + 1000).alias("found_id"), F.when(k % 3 == 0, "Other Org").otherwise(F.col("s_name")).alias("org"), F.concat(F.lit("STUDY  "), F.when(k % 4 == 0, k - 1).otherwise(k).cast("string")).alias("title"))
     return terms.resolve_by_title_and_org(stored, found)
 
 

@@ -48,3 +48,8 @@ def read_any(spark: SparkSession, path: str, schema: str | None = None, **option
     kind = {"jsonl": "json", "txt": "text", "tsv": "csv"}.get(kind, kind)
     reader = spark.read.format(kind).options(**({"header": "true"} if kind == "csv" else {}), **options)
     return (reader.schema(schema) if schema else reader).load(path)
+
+
+def append(rows: DataFrame, path: str) -> None:
+    """Adds rows to a Parquet table; earlier ones are not read."""
+    rows.write.mode("append").parquet(path)
