@@ -87,4 +87,4 @@ def window(value: Column, begin: Column, end: Column, longest: int = 300) -> Col
     room = F.substring(value, start + 1, F.lit(longest))
     whole = start + F.length(room) >= F.length(value)
     kept = F.when(whole, room).otherwise(F.when(F.length(F.regexp_replace(room, r"\s+\S*$", "")) >= end - start, F.regexp_replace(room, r"\s+\S*$", "")).otherwise(room))
-    return F.when(begin.isNotNull(), F.struct(kept.alias("text"), start.alias("begin"), (start > 0).alias("cut_before"), ~whole.alias("cut_after")))
+    return F.when(begin.isNotNull(), F.struct(kept.alias("text"), start.alias("begin"), (start > 0).alias("cut_before"), (~whole).alias("cut_after")))

@@ -164,12 +164,12 @@ def append_page(t: Tables) -> DataFrame:
     return O.next_page(shown, t.swipes().where("grant_id % 3 = 0").select("grant_id", F.lit("page").alias("came")), "grant_id")
 
 
-@query("SELECT p_partkey, upper(p_mfgr) || p_partkey AS term, 1 AS search FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, ' ' || p_mfgr || p_partkey, 2 FROM part WHERE p_partkey % 2 <> 0 AND p_partkey % 3 = 0")
+@query("SELECT p_partkey, upper(p_brand) || p_partkey AS term, 1 AS search FROM part WHERE p_partkey % 2 = 0 UNION ALL SELECT p_partkey, ' ' || p_brand || p_partkey, 2 FROM part WHERE p_partkey % 2 <> 0 AND p_partkey % 3 = 0")
 def merge_hit_lists(t: Tables) -> DataFrame:
     """Hits of a second search only for terms that the first lacks."""
     k = F.col("p_partkey")
-    first = t.part.where(k % 2 == 0).select("p_partkey", F.concat(F.upper("p_mfgr"), k.cast("string")).alias("term"), F.lit(1).alias("search"))
-    second = t.part.where(k % 3 == 0).select("p_partkey", F.concat(F.lit(" "), "p_mfgr", k.cast("string")).alias("term"), F.lit(2).alias("search"))
+    first = t.part.where(k % 2 == 0).select("p_partkey", F.concat(F.upper("p_brand"), k.cast("string")).alias("term"), F.lit(1).alias("search"))
+    second = t.part.where(k % 3 == 0).select("p_partkey", F.concat(F.lit(" "), "p_brand", k.cast("string")).alias("term"), F.lit(2).alias("search"))
     return O.merged_hits(first, second, "term")
 
 
@@ -222,9 +222,9 @@ def label_offset(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", text.strip_label(F.concat(label, F.lit("the "), "p_name")).alias("prose_at"))
 
 
-@query("""SELECT p_partkey, p_brand || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '|' || p_container END AS terms FROM part""")
+@query("""SELECT p_partkey, p_brand || CASE WHEN p_partkey % 2 = 0 THEN '' ELSE '|' || p_type END AS terms FROM part""")
 def terms_with_skips(t: Tables) -> DataFrame:
     """A list without repeats and without what a student skips."""
-    skip = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lower("p_container")))
-    listed = lists.distinct_ignoring_case(F.array(F.col("p_brand"), F.lower("p_brand"), F.col("p_container"), F.lit(" ")), skip)
+    skip = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lower("p_type")))
+    listed = lists.distinct_ignoring_case(F.array(F.col("p_brand"), F.lower("p_brand"), F.col("p_type"), F.lit(" ")), skip)
     return t.part.select("p_partkey", F.array_join(listed, "|").alias("terms"))
