@@ -75,3 +75,8 @@ def spending_columns(record: Column, agency: Column) -> list[Column]:
         F.initcap(T.or_none(r["Awarding Sub Agency"])).alias("department"), F.coalesce(_lookup(AGENCIES, agency), F.lit("Federal")).alias("funding_source"), scores.amount_or_none(r["Award Amount"]).alias("award_amount"),
         r["Start Date"].alias("start_date"), r["End Date"].alias("end_date"), T.scan_methods(title, title).alias("methodologies"),
     ]
+
+
+def amount_basis(source: Column) -> Column:
+    """What a stored amount measures; null for a source of which that is not known."""
+    return F.when(source == "NIH", "nih_fiscal_year").when(source == "NSF", "nsf_obligated").when(source.isin(*AGENCIES.values(), "Federal"), "usaspending_obligation")

@@ -90,3 +90,60 @@ def profile_text(name: Column, interests: Column, skills: Column, tags: Column)
     """The text that stands for a student when vectors are made."""
     line = lambda label, value: F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(f"{label}: "), value))
     return F.concat_ws("\n", line("Name", name), line("Interests", interests), line("Skills", F.array_join(skills, ", ")), line("Fields", F.array_join(tags, ", ")))
+
+
+#: Tags under a front sentence by where it comes from, and what the label of a written one explains (fixed values).
+SENTENCE_TAGS = {"nih_phr": "NIH summary", "nih_abstract": "NIH abstract", "nsf_abstract": "NSF abstract"}
+TAG_ON_FILE, TAG_WRITTEN = "Abstract on file", "AI summary"
+WRITTEN_INFO = ("Written by an AI model from the text ", " published for this award. It may be wrong. The agency's own text is in Details.")
+TOPICS_MIN, TOPICS_SHOWN = 2, 5
+
+
+def agency_text(source: Column, statement: Column, abstract: Column, generated: Column) -> Column:
+    """struct(text, source): the one text a front sentence may come from; null where none is known to be the agency's."""
+    asked = source.isin("NIH", "NSF")
+    own = F.struct(statement.alias("text"), F.lit("nih_phr").alias("source"))
+    published = F.struct(abstract.alias("text"), F.when(source == "NIH", "nih_abstract").otherwise("nsf_abstract").alias("source"))
+    return F.when(asked & text.or_none(statement).isNotNull(), own).when(asked & (generated == F.lit(False)) & text.or_none(abstract).isNotNull(), published)
+
+
+def front_sentence(source: Column, title: Column, statement: Column, abstract: Column, generated: Column, checked: Column, written: Column) -> Column:
+    """struct(text, source, tag, tone, checked, info, absent) of a card's front.
+
+    An agency's own sentence comes first; else a written summary that still has no
+    fault against the texts at hand. absent: why there is neither.
+    """
+    info = F.concat(F.lit(WRITTEN_INFO[0]), F.coalesce(source, F.lit("the agency")), F.lit(WRITTEN_INFO[1]))
+    tags = F.create_map(*[F.lit(x) for kv in SENTENCE_TAGS.items() for x in kv])
+
+    def choose(own: Column) -> Column:
+        found = sentences.select_sentence(own["text"], title)
+        seen = (own["source"] == "nih_phr") | checked.isNotNull()
+        tag = F.when(seen, tags[own["source"]]).otherwise(TAG_ON_FILE)
+        held = F.when(F.size(sentences.summary_faults(written, title, F.coalesce(own["text"], abstract, F.lit("")))) == 0, text.or_none(written))
+        none = F.lit(None).cast("string")
+        row = lambda t, where, mark, tone, ok, why: F.struct(t.alias("text"), where.alias("source"), mark.alias("tag"), F.lit(tone).alias("tone"), ok.alias("checked"), why.alias("info"), none.alias("absent"))
+        empty = F.struct(none.alias("text"), none.alias("source"), none.alias("tag"), none.alias("tone"), F.lit(None).cast("boolean").alias("checked"), none.alias("info"), F.when(own.isNull(), "no_agency_text").otherwise("none_qualifies").alias("absent"))
+        return F.when(found.isNotNull(), row(found, own["source"], tag, "stone", seen, none)).when(held.isNotNull(), row(held, F.lit("ai_summary"), F.lit(TAG_WRITTEN), "amber", F.lit(False), info)).otherwise(empty)
+
+    return text.bound(agency_text(source, statement, abstract, generated), choose)
+
+
+def card_topics(index_terms: Column, picked: Column, profile_hits: Column, fields: list[Column]) -> Column:
+    """struct(terms, source): the index terms if there are two, else the picked ones that still stand in a text.
+
+    Ranked terms come in; those that a student's own hits say already go. Fewer than two of either show nothing.
+    """
+    seen = F.transform(F.coalesce(profile_hits, F.array().cast("array<string>")), lambda h: text.normal_key(h))
+    fresh = lambda terms: F.filter(F.coalesce(terms, F.array().cast("array<string>")), lambda t: ~F.array_contains(seen, text.normal_key(t)))
+    standing = F.array_compact(F.transform(F.filter(F.coalesce(picked, F.array().cast("array<string>")), text.chip_allowed), lambda t: text.verbatim_in(t, fields)))
+    index, own = (lists.without_overlap(fresh(x), TOPICS_SHOWN) for x in (index_terms, standing))
+    row = lambda terms, source: F.struct(terms.alias("terms"), F.lit(source).alias("source"))
+    return F.when(F.size(index) >= TOPICS_MIN, row(index, "nih_index_terms")).when(F.size(own) >= TOPICS_MIN, row(own, "ai_picked"))
+
+
+def fetch_verdict(outcome: Column, stored: Column, federal: Column, least: float = 0.75) -> Column:
+    """What a fetch says about a stored text. An award that was found without a text cannot have given the stored one."""
+    sets = [F.array_distinct(text.words(F.lower(c))) for c in (stored, federal)]
+    same = F.coalesce(lists.jaccard(*sets) >= least, F.lit(False))
+    return F.when(outcome == "NOT_FOUND", "undecided").when(outcome == "FOUND_EMPTY", "generated").otherwise(F.when(same, "verbatim").otherwise("generated"))

@@ -6,8 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import awards, lists, people, profile, records, scores, text
+from tessera.operators import cards as C
+from tessera.operators import metrics as M
+from tessera.operators import quality as Q
 from tessera.operators import tables as O
-from tessera.plans.base import AWARDS_SQL, SWIPES_SQL, Tables, query
+from tessera.operators import terms
+from tessera.plans.base import AWARDS_SQL, SWIPES_SQL, TODAY, Tables, query
 
 _KNOWN = ["the", "that", "de la", "und"]
 _KNOWN_SQL = "['the', 'that', 'de la', 'und']"
@@ -228,3 +232,79 @@ def terms_with_skips(t: Tables) -> DataFrame:
     skip = F.when(F.col("p_partkey") % 2 == 0, F.array(F.lower("p_type")))
     listed = lists.distinct_ignoring_case(F.array(F.col("p_brand"), F.lower("p_brand"), F.col("p_type"), F.lit(" ")), skip)
     return t.part.select("p_partkey", F.array_join(listed, "|").alias("terms"))
+
+
+_SENTENCE = "This project will measure how cells repair damaged membranes after injury."
+
+
+@query(f"""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'nih_phr' WHEN 1 THEN CASE WHEN p_partkey % 2 = 0 THEN 'nsf_abstract' ELSE 'nsf_abstract' END WHEN 2 THEN 'nih_abstract' END AS source,
+CASE p_partkey % 6 WHEN 0 THEN 'NIH summary' WHEN 1 THEN 'Abstract on file' WHEN 2 THEN 'NIH abstract' END AS tag, CASE p_partkey % 6 WHEN 3 THEN 'no_agency_text' WHEN 4 THEN 'no_agency_text' WHEN 5 THEN 'none_qualifies' END AS absent,
+CASE WHEN p_partkey % 6 < 3 THEN '{_SENTENCE}' END AS text FROM part""")
+def front_sentence(t: Tables) -> DataFrame:
+    """The sentence on a card's front, where it is from, or why there is none."""
+    k = F.col("p_partkey") % 6
+    source = F.when(k.isin(0, 2, 3), "NIH").when(k.isin(1, 5), "NSF").otherwise("DOE")
+    statement = F.when(k == 0, _SENTENCE)
+    abstract = F.when(k == 5, F.lit("Too short. See below.")).otherwise(F.concat(F.lit("A title only. "), F.lit(_SENTENCE)))
+    front = C.front_sentence(source, F.col("p_name"), statement, abstract, k == 3, F.when(k == 2, F.lit("2026-01-01")), F.lit(None).cast("string"))
+    return t.part.select("p_partkey", front.alias("f")).select("p_partkey", "f.source", "f.tag", "f.absent", "f.text")
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'nih_index_terms' WHEN 1 THEN 'ai_picked' END AS source, CASE p_partkey % 3 WHEN 0 THEN 'Cell Biology|Membranes' WHEN 1 THEN 'Rivers|old  banks' END AS terms FROM part""")
+def card_topics(t: Tables) -> DataFrame:
+    """Topics of a card: index terms if there are two, else picked ones that still stand in its text."""
+    k = F.col("p_partkey") % 3
+    index = F.when(k == 0, F.array(F.lit("Cell Biology"), F.lit("yeast"), F.lit("Cell"), F.lit("Membranes"))).when(k == 1, F.array(F.lit("Yeast"), F.lit("Rivers")))
+    picked = F.array(F.lit("rivers"), F.lit("absent thing"), F.lit("old banks"), F.lit("postdoc positions"))
+    topics = C.card_topics(index, F.when(k == 1, picked), F.array(F.lit("YEAST")), [F.lit("Rivers and their old  banks").cast("string"), F.lit("the old banks of rivers")])
+    return t.part.select("p_partkey", topics.alias("c")).select("p_partkey", "c.source", F.array_join("c.terms", "|").alias("terms"))
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'nih_fiscal_year' WHEN 1 THEN 'nsf_obligated' WHEN 2 THEN 'usaspending_obligation' END AS basis FROM supplier")
+def amount_bases(t: Tables) -> DataFrame:
+    """What a stored amount measures, which differs by agency."""
+    k = F.col("s_suppkey") % 4
+    return t.supplier.select("s_suppkey", awards.amount_basis(F.when(k == 0, "NIH").when(k == 1, "NSF").when(k == 2, "EPA")).alias("basis"))
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'undecided' WHEN 1 THEN 'generated' WHEN 2 THEN 'verbatim' ELSE 'generated' END AS verdict FROM part")
+def fetch_verdict(t: Tables) -> DataFrame:
+    """What a fetch says about a stored text: nothing if the award was not found, generated if the agency has none."""
+    k = F.col("p_partkey") % 4
+    outcome = F.when(k == 0, "NOT_FOUND").when(k == 1, "FOUND_EMPTY").otherwise("FOUND_WITH_TEXT")
+    federal = F.when(k == 2, F.concat(F.lit("  "), F.upper("p_name"))).otherwise("entirely other words than these")
+    return t.part.select("p_partkey", C.fetch_verdict(outcome, F.col("p_name"), federal).alias("verdict"))
+
+
+@query(f"""WITH {AWARDS_SQL}, d AS (SELECT a.*, award % 7 = 0 AS unknown, award % 3 = 0 AS ai, award % 11 = 0 AS bare, award % 17 = 0 AS keyless, CASE WHEN award % 5 <> 0 THEN "end" - INTERVAL 400 DAY END AS start FROM awards a)
+SELECT count(*) AS total, count(*) FILTER (WHERE "end" < DATE '{TODAY}') AS ended, count(*) FILTER (WHERE "end" IS NULL OR "end" >= DATE '{TODAY}') AS active_or_undated, count(*) FILTER (WHERE "end" IS NULL) AS null_end_date,
+count(*) FILTER (WHERE start IS NULL) AS null_start_date, count(*) FILTER (WHERE start > DATE '{TODAY}') AS future_start, count(*) FILTER (WHERE unknown) AS unknown_pi, count(*) FILTER (WHERE ai) AS ai_abstract, count(*) FILTER (WHERE bare) AS no_embedding, count(*) FILTER (WHERE keyless) AS no_award_id FROM d""")
+def corpus_measures(t: Tables) -> DataFrame:
+    """The ten counts that describe a corpus, in one pass."""
+    k, end, today = F.col("award"), F.col("end"), F.lit(TODAY).cast("date")
+    start = F.when(k % 5 != 0, F.date_sub("end", 400))
+    return Q.snapshot(t.awards(), {
+        "total": F.lit(True), "ended": end < today, "active_or_undated": end.isNull() | (end >= today), "null_end_date": end.isNull(), "null_start_date": start.isNull(),
+        "future_start": start > today, "unknown_pi": k % 7 == 0, "ai_abstract": k % 3 == 0, "no_embedding": k % 11 == 0, "no_award_id": k % 17 == 0,
+    })
+
+
+@query(r"""WITH w AS (SELECT doc_id, unnest(list_distinct([w FOR w IN regexp_split_to_array(lower(trim(regexp_replace(text, '\s+', ' ', 'g'))), ' ') IF w <> ''])) AS term FROM documents)
+SELECT term, count(*) AS awards FROM w GROUP BY 1 HAVING count(*) >= 3 ORDER BY awards DESC, term LIMIT 10""")
+def commonest_terms(t: Tables) -> DataFrame:
+    """The ten terms on most awards."""
+    found = terms.document_frequency(t.documents.select(text.words(F.lower("text")).alias("terms")))
+    return found.orderBy(F.desc("awards"), "term").limit(10)
+
+
+@query("""WITH r AS (SELECT user_id, CASE event_type WHEN 'view' THEN 'https://Campus.example/feed' WHEN 'click' THEN 'https://other.example/' || user_id % 3 END AS referrer, event_type = 'purchase' AND user_id % 2 = 0 AS tagged FROM events)
+SELECT count(*) FILTER (WHERE hit) AS events, count(DISTINCT CASE WHEN hit THEN user_id END) AS sessions, array_to_string(list_sort(list_distinct(list(referrer) FILTER (WHERE NOT hit AND referrer IS NOT NULL))), '|') AS other
+FROM (SELECT *, coalesce(contains(lower(referrer), 'campus'), false) OR tagged AS hit FROM r)""")
+def referrers_other(t: Tables) -> DataFrame:
+    """Visits that one site sent, by referrer, any word of the metadata or agent, and who sent the others."""
+    kind, user = F.col("event_type"), F.col("user_id")
+    rows = t.events.select(
+        user.alias("session_id"), F.when(kind == "view", "https://Campus.example/feed").when(kind == "click", F.concat(F.lit("https://other.example/"), (user % 3).cast("string"))).alias("referrer"),
+        F.when((kind == "purchase") & (user % 2 == 0), '{"utm":"from CAMPUS","n":1}').otherwise('{"utm":"x"}').alias("metadata"), F.lit("agent").alias("user_agent"),
+    )
+    return M.referrals(rows, "campus")
