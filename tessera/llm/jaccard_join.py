@@ -563,7 +563,9 @@ def with_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         done = merged, links
         sets = stored(_set_rows(docs, known.select("class", "label", "doc")).dropDuplicates(["class"]), "open-sets")
         pair_list *= 2
-        merged = stored(merge_lists(post_again(sets, ranges, percent), ranges, percent, pair_list), "lists")
+        # as many ranges as these few members need: a class sends a row to each
+        some = max(1, (known.agg(F.sum("n")).first()[0] or 0) // RANGE_POSTINGS)
+        merged = stored(merge_lists(post_again(sets, some, percent), some, percent, pair_list), "lists")
         links = stored(links.unionByName(_search(merged, known, lambda wanted, sets=sets: wanted.join(sets.drop("label"), "class"), percent)), "links")
         labels = components(links, "a", "b")
         drop_stored(*done, sets)
