@@ -330,7 +330,6 @@ def test_token_files(spark, docs, tmp_path, shards):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(GPT)
-    plain.encode_special_tokens = True
     index = token_files.write_token_files(docs, f"file://{tmp_path}/t", GPT, end_id=2, shards=shards)
     found = token_files.read_token_files(spark, f"file://{tmp_path}/t").collect()
     ids = [(r[0], plain.encode(r[1] or "", add_special_tokens=False).ids + [2]) for r in make_docs()]
