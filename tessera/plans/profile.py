@@ -12,6 +12,7 @@ from tessera.operators import quality as Q
 from tessera.operators import tables as O
 from tessera.operators import terms
 from tessera.plans.base import AWARDS_SQL, SWIPES_SQL, TODAY, Tables, query
+from tessera.sources import tables
 
 _KNOWN = ["the", "that", "de la", "und"]
 _KNOWN_SQL = "['the', 'that', 'de la', 'und']"
@@ -308,3 +309,25 @@ def referrers_other(t: Tables) -> DataFrame:
         F.when((kind == "purchase") & (user % 2 == 0), '{"utm":"from CAMPUS","n":1}').otherwise('{"utm":"x"}').alias("metadata"), F.lit("agent").alias("user_agent"),
     )
     return M.referrals(rows, "campus")
+
+
+@query("SELECT * EXCLUDE (embedding) FROM embeddings")
+def scan_without_vectors(t: Tables) -> DataFrame:
+    """All awards without their vectors, which the scan then does not read."""
+    return t.embeddings.drop("embedding")
+
+
+@query("SELECT r_regionkey, r_name, NULL::INTEGER AS year, NULL::VARCHAR AS funder FROM region")
+def missing_columns_filled(t: Tables) -> DataFrame:
+    """A table that lacks some wanted columns still; they are null."""
+    return tables.with_columns(t.region.select("r_regionkey", "r_name"), {"r_name": "string", "year": "int", "funder": "string"})
+
+
+@query("SELECT s_suppkey, s_name AS sentence FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 3 <> 0")
+def answers_of_batch(t: Tables) -> DataFrame:
+    """Answers, one JSON object a line, of the rows that were asked for; unreadable ones are left out."""
+    k = F.col("s_suppkey")
+    line = F.when(k % 3 == 0, "no json").otherwise(F.to_json(F.struct(k.cast("string").alias("id"), F.col("s_name").alias("sentence"))))
+    asked = t.supplier.where(k % 2 == 0).select(k.cast("string").alias("id"))
+    read = tables.readable_answers(t.supplier.select(line.alias("value")))
+    return read.join(asked, "id", "left_semi").select(F.col("id").cast("long").alias("s_suppkey"), "sentence")

@@ -22,13 +22,19 @@ def landing(spark: SparkSession, path: str, source: str) -> DataFrame:
     return raw.select("record", "file", F.lit(source).alias("funding_source"), *shared)
 
 
+def readable_answers(lines: DataFrame) -> DataFrame:
+    """(id, sentence, terms and the other columns) of lines (value) that are JSON objects with an id."""
+    read = lines.withColumn("a", F.from_json("value", "struct<id:string,sentence:string,terms:array<string>>"))
+    return read.where(F.col("a.id").isNotNull()).select("a.*", *[c for c in lines.columns if c != "value"])
+
+
 def answers(spark: SparkSession, path: str, asked: DataFrame) -> DataFrame:
     """(id, sentence, terms) of readable lines whose id was asked for in the batch of their file.
 
     asked: id, batch; files are named after their batch. Unreadable lines are left out.
     """
-    lines = spark.read.text(path).select(F.from_json("value", "struct<id:string,sentence:string,terms:array<string>>").alias("a"), F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.", 1).alias("batch"))
-    return lines.where(F.col("a.id").isNotNull()).select("a.*", "batch").join(asked, ["id", "batch"], "left_semi").select("id", "sentence", "terms")
+    lines = spark.read.text(path).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*?)\.", 1).alias("batch"))
+    return readable_answers(lines).join(asked, ["id", "batch"], "left_semi").select("id", "sentence", "terms")
 
 
 def term_frequencies(spark: SparkSession, path: str) -> DataFrame:
