@@ -39,11 +39,11 @@ from pyspark.sql import DataFrame
 from tessera.llm import textkit as K
 
 SPACE = "▁"
-CACHE = 400_000  # words held while a task runs
-PAIRS = 1_500_000  # pairs of pieces held in a worker
+CACHE = 240_000  # words held while a task runs
+PAIRS = 600_000  # pairs of pieces held in a worker
 FEW, LONG = 32, 64  # of the words over LONG signs, the FEW longest are searched one by one
 COMMIT_EVERY = 64  # signs between looks for a boundary where all paths meet
-PART_BYTES = 4 << 20  # text whose new words are searched together
+PART_BYTES = 1 << 20  # text whose new words are searched together
 _UNKNOWN_COST = 10.0
 
 
