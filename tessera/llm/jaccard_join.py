@@ -58,6 +58,7 @@ ORDER_ROWS = 500_000  # reported shingles whose order is known in every task, th
 PAIR_LIST = 48  # longest list of which all pairs are made
 SPLIT_LIST = 2000  # classes of a list in one task
 RANGE_POSTINGS = 400_000  # postings in one range of hashes
+FOLD = 128  # bytes of the bitmaps that go with members of open lists
 HEADS = 6  # members of a long list that all others are paired with
 GROUP = 64  # partners that are searched with one copy of a class
 SEARCHED = 1_000_000  # shingles of partners that a task searches at once
@@ -88,6 +89,12 @@ def bitmap(members: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little")
 
 
+def fold(members: np.ndarray) -> np.ndarray:
+    """The parity bitmap on FOLD bytes, as 64-bit words."""
+    odd = np.bincount((members % np.uint64(FOLD * 8)).astype(np.int64), minlength=FOLD * 8) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
 def most_overlap(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> int:
     """An upper bound of the overlap: each differing bit stands for a member of one side only."""
     while len(a) > len(b):
@@ -160,10 +167,10 @@ class Postings:
     before: the class's shingle before this one in the common order, 0 for its first.
     left: how many of the class's shingles come from this one on.
     split: the shingles are so frequent that their lists lie in several ranges.
-    labels: the components of the classes, where they are known.
+    labels, folds: the components of the classes and their bitmaps folded to FOLD bytes, where components are known.
     """
 
-    SCHEMA = "range int, split boolean, hashes binary, classes binary, sizes binary, befores binary, lefts binary, labels binary"
+    SCHEMA = "range int, split boolean, hashes binary, classes binary, sizes binary, befores binary, lefts binary, labels binary, folds binary"
 
     def __init__(self, ranges: int, percent: int):
         self.ranges, self.percent, self.size = ranges, percent, 0
@@ -174,19 +181,20 @@ class Postings:
         n = len(first)
         # where components are known, a list must be seen whole
         spread = np.maximum(1, -(-times[first] // SPLIT_LIST)) if label is None else np.ones(n, np.int64)
-        self.held.append((members[first], np.full(n, key, np.int64).view(np.uint64), spread, np.full(n, len(members), np.uint32), np.concatenate([[_NONE], members[first[:-1]]]), (len(members) - np.arange(n)).astype(np.uint32), np.full(n if label is not None else 0, label or 0, np.int64)))
+        self.held.append((members[first], np.full(n, key, np.int64).view(np.uint64), spread, np.full(n, len(members), np.uint32), np.concatenate([[_NONE], members[first[:-1]]]), (len(members) - np.arange(n)).astype(np.uint32), np.full(n if label is not None else 0, label or 0, np.int64), np.repeat(fold(members)[None], n if label is not None else 0, axis=0)))
         self.size += n
 
     def flush(self) -> pa.RecordBatch:
-        h, c, s, n, f, m, l = (np.concatenate(x) for x in zip(*self.held))
+        h, c, s, n, f, m, l, w = (np.concatenate(x) for x in zip(*self.held))
         self.held, self.size = [], 0
         piece = K.mix(c ^ np.uint64(0xA5A5A5A5)) % s.astype(np.uint64)
         at = ((h >> np.uint64(16)) + piece * np.uint64(0x9E3779B1)) % np.uint64(self.ranges) * np.uint64(2) + (s > 1)
         o = np.argsort(at, kind="stable")
         h, c, n, f, m, at, l = h[o], c[o], n[o], f[o], m[o], at[o], l[o] if len(l) else l
+        w = w[o] if len(w) else w
         cut = np.concatenate([[0], np.flatnonzero(at[1:] != at[:-1]) + 1, [len(at)]])
         some = list(zip(cut, cut[1:]))
-        packed = {k: pa.array([x[a:b].tobytes() for a, b in some], pa.binary()) for k, x in (("hashes", h), ("classes", c), ("sizes", n), ("befores", f), ("lefts", m), ("labels", l))}
+        packed = {k: pa.array([x[a:b].tobytes() for a, b in some], pa.binary()) for k, x in (("hashes", h), ("classes", c), ("sizes", n), ("befores", f), ("lefts", m), ("labels", l), ("folds", w))}
         return pa.RecordBatch.from_pydict({"range": pa.array([int(at[a]) // 2 for a, _ in some], pa.int32()), "split": pa.array([bool(at[a] % 2) for a, _ in some]), **packed})
 
 
@@ -281,9 +289,9 @@ def merge_lists(posted: DataFrame, ranges: int, percent: int = PERCENT, pair_lis
     pair_list = pair_list or PAIR_LIST
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, tuple[list[bytes], ...]] = {k: ([], [], [], [], [], []) for k in (False, True)}
+        held: dict[bool, tuple[list[bytes], ...]] = {k: ([], [], [], [], [], [], []) for k in (False, True)}
         for batch in batches:
-            for split, *raw in zip(*(batch.column(k).to_pylist() for k in ("split", "hashes", "classes", "sizes", "befores", "lefts", "labels"))):
+            for split, *raw in zip(*(batch.column(k).to_pylist() for k in ("split", "hashes", "classes", "sizes", "befores", "lefts", "labels", "folds"))):
                 for x, y in zip(held[split], raw):
                     x.append(y)
         for split, raw in held.items():
@@ -291,13 +299,26 @@ def merge_lists(posted: DataFrame, ranges: int, percent: int = PERCENT, pair_lis
             n, f, m = np.frombuffer(b"".join(raw[2]), "<u4").astype(np.int64), longs(raw[3]), np.frombuffer(b"".join(raw[4]), "<u4").astype(np.int64)
             labels = longs(raw[5]).view(np.int64)
             l = labels if len(labels) else c
+            folds = longs(raw[6]).reshape(-1, FOLD // 8)
             for x in raw:
                 x.clear()
             o = np.lexsort((c, l, h))
             h, c, n, f, m, l = h[o], c[o], n[o], f[o], m[o], l[o]
+            stands = o  # where a posting's bitmap stands
             fresh = np.ones(len(h), bool)
             fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
             h, c, n, f, m, l = h[fresh], c[fresh], n[fresh], f[fresh], m[fresh], l[fresh]
+            stands = stands[fresh]
+
+            def fitting(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+                """Which pairs can link by their bitmaps: each differing bit stands for a member of one side only."""
+                out = np.ones(len(x), bool)
+                for k in range(0, len(x) if len(folds) else 0, 100_000):
+                    a, b = x[k : k + 100_000], y[k : k + 100_000]
+                    apart = np.bitwise_count(folds[stands[a]] ^ folds[stands[b]]).sum(axis=1, dtype=np.int64)
+                    out[k : k + 100_000] = (n[a] + n[b] - apart) // 2 >= least_overlap(n[a], n[b], percent)
+                return out
+
             cut = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]])) if len(h) else np.zeros(1, int)
             size, at = np.diff(cut), cut[:-1]
             # members stand by component; each is paired with all of the list that come after its own
@@ -313,7 +334,10 @@ def merge_lists(posted: DataFrame, ranges: int, percent: int = PERCENT, pair_lis
                 x = np.repeat(some, after[some])
                 y = np.repeat(ends[some], after[some]) + np.arange(len(x)) - np.repeat(np.cumsum(after[some]) - after[some], after[some])
                 fits = (np.minimum(m[x], m[y]) >= least_overlap(n[x], n[y], percent)) & ((f[x] != f[y]) | (f[x] == _NONE))
-                pairs.append(np.stack([np.minimum(c[x[fits]], c[y[fits]]), np.maximum(c[x[fits]], c[y[fits]])], axis=1))
+                x, y = x[fits], y[fits]
+                close = fitting(x, y)
+                x, y = x[close], y[close]
+                pairs.append(np.stack([np.minimum(c[x], c[y]), np.maximum(c[x], c[y])], axis=1))
                 if sum(map(len, pairs)) > 2_000_000:
                     yield from _pair_rows(pairs)
                     pairs = []
