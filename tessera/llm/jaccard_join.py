@@ -575,7 +575,8 @@ def with_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     often = surveyed.where(F.col("often").isNotNull()).groupBy("often").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "often").limit(ORDER_ROWS).toArrow()
     order = spark.sparkContext.broadcast(Order(often.column(0).to_numpy().view(np.uint64), often.column(1).to_numpy()))  # ORDER_ROWS at most
     total = classes.agg(F.sum(F.ceil(F.col("n") * (100 - percent) / 100) + 1)).first()[0] or 0
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // RANGE_POSTINGS))
+    # by the postings alone: the pairs of two classes that meet in several lists are made once a range
+    ranges = max(1, -(-int(total) // RANGE_POSTINGS))
     merged = stored(merge_lists(post(docs, order, ranges, percent), ranges, percent), "lists")
 
     links = _search(merged, classes, lambda wanted: _set_rows(docs, wanted), percent)
