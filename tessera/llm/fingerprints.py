@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tessera.llm import textkit as K
 
 RATE = 8  # one of so many hashes is kept
-FLOOR = 32
+FLOOR = 64
 _ALL = 2**64 - 1
 
 

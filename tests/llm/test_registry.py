@@ -23,8 +23,8 @@ def test_same_as_sql(name, spark, same_as_sql):
     same_as_sql(registry.queries()[name](spark, DATA), registry.oracle_sql()[name])
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.queries()) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, tmp_path):
