@@ -76,11 +76,11 @@ class PieceEncoder:
         return b"".join([self._token(token) for token, _ in self._split(text)])
 
     def _piece(self, piece: str) -> bytes:
-        """The ids of a space and a piece; its lines are pre-tokens of their own."""
+        """The ids of a space and a piece; its lines are pre-tokens of their own, unless other white space joins a line break."""
         first, *lines = piece.split("\n")
         if not lines:
             return self._words(self._space, piece)
-        if not (first and all(lines)):
+        if not all(x and not x[0].isspace() and not x[-1].isspace() for x in (first, *lines)):
             return self._by_library(" " + piece)
         newline = self._token(self._signs["\n"])
         return self._words(self._space, first) + b"".join([newline + self._words("", x) for x in lines])

@@ -362,3 +362,14 @@ def test_strings_of_added_tokens_are_the_librarys():
     for t in ("hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b c", "no <|endoftext| > here", "plain words, only"):
         assert np.frombuffer(encode(t), encode.dtype).tolist() == plain.encode(t, add_special_tokens=False).ids
     assert 50256 in np.frombuffer(encode("hello <|endoftext|> world"), encode.dtype)
+
+
+def test_any_white_space_at_line_breaks():
+    """200,000 random texts have the ids that the library gives them."""
+    rng = random.Random(11)
+    signs = [" "] * 4 + ["\n"] * 3 + [*" \t\r\x0b\x1c\x85 　.'saZéß漢字яع7٣½_-!​́😀", "re", "<|endoftext|>"]
+    encode = token_files.PieceEncoder(GPT)
+    assert encode("x a\n  b") == encode.whole("x a\n  b")
+    for _ in range(20):
+        texts = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 12))) for _ in range(10_000)]
+        assert encode.encode_all(texts) == [encode.whole(t) for t in texts]
