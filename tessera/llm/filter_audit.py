@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 HELD_BYTES = 32 << 20  # text that the chains of a task hold before the shuffle
+ROUTED_BYTES = 64 << 20  # text in one partition after it, at most, where texts differ
 _UPPER = bytes(range(65, 91))
 _SIGNS = b"#$%&*|"
 
@@ -107,7 +108,8 @@ def failures(docs: DataFrame, part: str = "lang", filters: dict[str, Callable[[M
     tests, copy_bit, held = list(filters.values()), 1 << len(filters), HELD_BYTES
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"), text.alias("text"), F.xxhash64(text).alias("key"))
-    n = max(rows.rdd.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // ROUTED_BYTES))
 
     def mask_of(value: str) -> int:
         m = measure(value)
