@@ -45,7 +45,8 @@ MIN_COUNT = 10
 TABLE = 1 << 20
 HOT = 1 << 18
 BUCKET_WORDS = 1 << 20
-PART_BYTES = 8 << 20
+COUNT_BYTES = 4 << 20  # text whose words a task counts at once
+CUT_BYTES = 2 << 20  # text that a task cuts into fragments at once
 
 _U = np.uint64
 _TOP = _U(1 << 63)
@@ -95,14 +96,14 @@ def _runs(batch: pa.RecordBatch) -> Run:
     return Run(K.mix(w.hash ^ lang[row]), ends[w.start] + row, row, w)
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows in batches of about PART_BYTES of text."""
+def _parts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about `most` bytes of text."""
     held, size = [], 0
     for batch in batches:
-        for part in K.chunks(batch, size=PART_BYTES):
+        for part in K.chunks(batch, size=most):
             held.append(part)
             size += pc.sum(pc.binary_length(part.column(0))).as_py() or 0
-            if size >= PART_BYTES:
+            if size >= most:
                 yield pa.concat_batches(held)
                 held, size = [], 0
     if held:
@@ -113,7 +114,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(lang, word, h, f) of every word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
+        for batch in _parts(batches, COUNT_BYTES):
             r = _runs(batch)
             h, at, n = np.unique(r.hash, return_index=True, return_counts=True)
             start, length = r.words.start[at], (r.words.end - r.words.start)[at]
@@ -211,7 +212,7 @@ def frequent_phrases(docs: DataFrame, order: Order, buckets: int, least: int) ->
     counted_kind = len(_SHAPES)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _parts(batches):
+        for batch in _parts(batches, CUT_BYTES):
             r = _runs(batch)
             out, hot = [], []
             for kind, (shape, rows) in enumerate(fragments(shared.value.ids(r.hash), r.piece)):

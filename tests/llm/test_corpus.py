@@ -170,7 +170,8 @@ def phrase_rows(seed=2):
 @pytest.mark.parametrize("how", [{}, {"table": 12, "hot": 40, "bucket_words": 200}, {"table": 0, "hot": 1}, {"hot": 0, "bucket_words": 50}])
 def test_collocations(spark, monkeypatch, how):
     if how:
-        monkeypatch.setattr(collocations, "PART_BYTES", 3000)
+        monkeypatch.setattr(collocations, "COUNT_BYTES", 3000)
+        monkeypatch.setattr(collocations, "CUT_BYTES", 2000)
     rows = phrase_rows()
     docs = spark.createDataFrame([(t, lang, 1, 1.0, "p") for t, lang in rows], "text string, lang string, n long, score double, phrase string").repartition(3)
     found = collocations.collocations(docs, **how)
