@@ -22,12 +22,17 @@ def distinct_ignoring_case(values: Column, skip: Column | None = None) -> Column
 
 
 def without_overlap(sorted_terms: Column, shown: int = 5) -> Column:
-    """Keeps a term if its words are neither all among nor a superset of those of a kept one, up to `shown`."""
+    """Keeps a term if its words are neither all among nor a superset of those of a kept one, up to `shown`.
+
+    Words are of a-z and 0-9; a term without any repeats nothing.
+    """
     tokens = lambda t: F.filter(F.split(F.regexp_replace(F.lower(t), r"[^0-9a-z]+", " "), " "), lambda w: w != "")
-    inside = lambda a, b: F.size(F.array_except(tokens(a), tokens(b))) == 0
-    empty = F.array().cast("array<string>")
-    clash = lambda kept, t: F.exists(kept, lambda k: inside(k, t) | inside(t, k))
-    return F.aggregate(sorted_terms, empty, lambda kept, t: F.when((F.size(kept) >= shown) | clash(kept, t), kept).otherwise(F.concat(kept, F.array(t))))
+    known = F.transform(sorted_terms, lambda t: F.struct(t.alias("term"), tokens(t).alias("words")))
+    inside = lambda a, b: F.size(F.array_except(a, b)) == 0
+    clash = lambda kept, t: F.exists(kept, lambda k: (F.size(k["words"]) > 0) & (F.size(t["words"]) > 0) & (inside(k["words"], t["words"]) | inside(t["words"], k["words"])))
+    empty = F.array().cast("array<struct<term:string,words:array<string>>>")
+    best = F.aggregate(known, empty, lambda kept, t: F.when((F.size(kept) >= shown) | clash(kept, t), kept).otherwise(F.concat(kept, F.array(t))))
+    return F.transform(best, lambda k: k["term"])
 
 
 def disjoint_ranges(ranges: Column) -> Column:

@@ -6,6 +6,9 @@ pairs that meet, and a plural is one more form of the term. Only terms with othe
 signs ("C++", "knock-in") need an expression, and only in texts that have their
 first word.
 
+Where every text has terms of its own, nothing is joined: a task counts the words of
+a text once and looks its terms up there.
+
 Counts are those of a whole-word expression searched from left to right: matches
 of one term do not overlap. Null texts and blank terms meet nothing, nor do terms
 without any letter, digit or underscore.
@@ -13,6 +16,11 @@ without any letter, digit or underscore.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,35 +54,112 @@ def _forms(term: Column, plural: bool) -> Column:
     return F.when(text.ends_like_plural(last), F.array(stem, term)).otherwise(F.array(term, F.concat(term, F.lit("s")), F.concat(term, F.lit("es"))))
 
 
+def term_sizes(terms: DataFrame) -> list[int]:
+    """How many words the terms have: as many numbers as the longest term has words, at most."""
+    return sorted(r["n"] for r in terms.select(F.size(F.split(F.trim("term"), r"(?U)\s+")).alias("n")).distinct().collect() if r["n"])
+
+
 def term_counts(texts: DataFrame, terms: DataFrame, key: str, fields: list[str], plural: bool = False) -> DataFrame:
-    """(key, term, field, times) of every term that stands in a field of a text.
+    """(key, term, field, times) of every term that stands in a field of a text, and the terms' other columns.
 
-    terms: a column `term`, and the key if each text has terms of its own. Short and
+    terms: a column `term`, each once; other columns are carried along. Short and
     all-capital terms must be spelt as they are; others meet in any case. With
     `plural` the last word may be in singular or plural.
     """
-    own = [key] if key in terms.columns else []
-    clean = terms.select(*own, "term", text.collapse(F.col("term")).alias("c")).distinct().where(F.col("c").rlike(text.WORD))
+    more = [c for c in terms.columns if c != "term"]
+    clean = terms.withColumn("c", text.collapse(F.col("term"))).where(F.col("c").rlike(text.WORD))
     clean = clean.withColumn("forms", _forms(F.col("c"), plural)).withColumn("words", F.split("c", " ")).withColumn("exact", text.is_case_sensitive(F.col("c")))
     # a term that can overlap itself ("ha ha") is left to an expression too
     head = F.transform(F.slice("words", 1, F.size("words") - 1), lambda w: F.lower(w))
     tails = F.transform("forms", lambda f: F.lower(F.element_at(F.split(f, " "), -1)))
     plain = F.col("c").rlike(rf"^{text.WORD}(?: {text.WORD})*$") & ~F.arrays_overlap(head, tails)
-    simple, odd = clean.where(plain), clean.where(~plain)
-
-    sizes = sorted({1} | {r["n"] for r in simple.select(F.size("words").alias("n")).distinct().collect()})  # as many as the longest term has words
-    grams = word_sequences(texts, key, fields, sizes).withColumn("low", F.lower("gram"))
-    forms = simple.select(*own, "term", "exact", F.explode("forms").alias("form")).withColumn("low", F.lower("form"))
-    small = not own and forms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    met = grams.join(F.broadcast(forms) if small else forms, [*own, "low"]).where(~F.col("exact") | (F.col("gram") == F.col("form")))
-    simple_hits = met.groupBy(key, "term", "field").agg(F.sum("times").alias("times"))
-
-    first = F.lower(F.regexp_extract("c", f"({text.WORD})", 1))
-    alone = F.col("c").rlike(rf"^[^\p{{L}}\p{{N}}_]*{text.WORD}$")  # its only word may be a plural
-    heads = odd.select(*own, "term", "c", F.explode(F.when(alone, F.transform("forms", lambda f: F.lower(F.regexp_extract(f, f"({text.WORD})", 1)))).otherwise(F.array(first))).alias("low"))
-    candidates = grams.select(key, "low").distinct().join(heads, [*own, "low"]).groupBy(key).agg(F.collect_set(F.struct("term", "c")).alias("terms"))  # terms whose first word the text has
+    # other terms ask for their first word, or for its forms if it is their last sign too
+    first = lambda f: F.regexp_extract(f, f"({text.WORD})", 1)
+    last_too = F.col("c").rlike(rf"^[^\p{{L}}\p{{N}}_]*{text.WORD}$")
+    asked = F.when(plain, F.col("forms")).when(last_too, F.transform("forms", first)).otherwise(F.array(first(F.col("c"))))
+    forms = clean.select("term", *more, "c", "exact", (~plain).alias("odd"), F.explode(asked).alias("form")).withColumn("low", F.lower("form"))
+
+    grams = word_sequences(texts, key, fields, sorted({1, *term_sizes(terms)})).withColumn("low", F.lower("gram"))
+    small = forms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = grams.join(F.broadcast(forms) if small else forms, "low")
+    simple_hits = met.where(~F.col("odd") & (~F.col("exact") | (F.col("gram") == F.col("form")))).groupBy(key, "term", "field", *more).agg(F.sum("times").alias("times"))
+
     pattern = text.whole_word_or_plural if plural else text.whole_word
-    rows = texts.select(key, *fields).join(candidates, key)
-    counts = lambda t: F.array(*[F.struct(t["term"].alias("term"), F.lit(f).alias("field"), F.regexp_count(f, pattern(t["c"])).cast("long").alias("times")) for f in fields])
-    odd_hits = rows.select(key, F.explode(F.flatten(F.transform("terms", counts))).alias("h")).select(key, "h.*").where(F.col("times") > 0)
+    candidates = met.where("odd").groupBy(key).agg(F.collect_set(F.struct("term", "c", *more)).alias("terms"))  # terms whose first word the text has
+    counts = lambda t: F.array(*[F.struct(t["term"].alias("term"), F.lit(f).alias("field"), *[t[c].alias(c) for c in more], F.regexp_count(f, pattern(t["c"])).cast("long").alias("times")) for f in fields])
+    odd_hits = texts.select(key, *fields).join(candidates, key).select(key, F.explode(F.flatten(F.transform("terms", counts))).alias("h")).select(key, "h.*").where(F.col("times") > 0)
     return simple_hits.unionByName(odd_hits)
+
+
+class TextWords:
+    """The word sequences of one text, counted when they are first asked for."""
+
+    def __init__(self, text: str | None):
+        self.text, self._exact, self._low = text or "", {}, {}
+
+    def exact(self, n: int) -> Counter:
+        if n not in self._exact:
+            if n == 1:
+                self._exact[1] = Counter(re.findall(r"\w+", self.text))
+            else:
+                stretches = (s.split() for s in re.split(r"[^\w\s]+", self.text))
+                self._exact[n] = Counter(" ".join(w[i : i + n]) for w in stretches for i in range(len(w) - n + 1))
+        return self._exact[n]
+
+    def low(self, n: int) -> Counter:
+        if n not in self._low:
+            self._low[n] = found = Counter()
+            for gram, times in self.exact(n).items():
+                found[gram.lower()] += times
+        return self._low[n]
+
+
+class Term:
+    """A term as it is searched for: forms to look up, or an expression where it has other signs or can overlap itself."""
+
+    def __init__(self, term: str, plural: bool):
+        words = term.split(" ")
+        last = words[-1]
+        stem = plural and len(last) > 3 and last.lower().endswith("s") and not last.lower().endswith("ss")
+        self.exact = len(term) <= 3 or term == term.upper() != term.lower()
+        self.n = len(words)
+        forms = ([term[:-1], term] if stem else [term, term + "s", term + "es"]) if plural else [term]
+        self.forms = forms if self.exact else [f.lower() for f in forms]
+        self.pattern = None
+        head = {w.lower() for w in words[:-1]}
+        if not all(re.fullmatch(r"\w+", w) for w in words) or not head.isdisjoint(f.lower().rpartition(" ")[2] for f in forms):
+            tail = re.escape(last[:-1]) + "s?" if stem else re.escape(last) + ("(?:s|es)?" if plural else "")
+            self.pattern = re.compile(r"(?<!\w)" + r"\s+".join([*map(re.escape, words[:-1]), tail]) + r"(?!\w)", 0 if self.exact else re.IGNORECASE)
+
+    def times(self, words: TextWords) -> int:
+        if self.pattern:
+            return sum(1 for _ in self.pattern.finditer(words.text))
+        found = words.exact(self.n) if self.exact else words.low(self.n)
+        return sum(found[f] for f in self.forms)
+
+
+def own_term_counts(texts: DataFrame, terms: str, key: str, fields: list[str], plural: bool = False) -> DataFrame:
+    """(key, term, and for each field how often the term stands in it) for the array of terms that each text has.
+
+    Terms are collapsed; of spellings that differ in case the first one counts. Only
+    terms that stand somewhere come out. Rules are those of term_counts.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for k, listed, *values in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+                texts_, seen = [TextWords(v) for v in values], set()
+                for raw in listed or ():
+                    term = " ".join(raw.split()) if raw else ""
+                    if term and term.lower() not in seen:
+                        seen.add(term.lower())
+                        asked = Term(term, plural)
+                        times = [asked.times(x) for x in texts_]
+                        if any(times):
+                            rows.append((k, term, *times))
+            columns = list(zip(*rows)) if rows else [()] * (2 + len(fields))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], pa.string()), *[pa.array(c, pa.int64()) for c in columns[2:]]], [key, "term", *fields])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(key, terms, *fields).mapInArrow(run, ", ".join([f"`{key}` {kind}", "term string", *[f"`{f}` long" for f in fields]]))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import lists, text
+from tessera.operators import matching
 
 MIN_AWARDS = 3
 MAX_SHARE = 0.04
@@ -22,23 +23,14 @@ def term_scores(awards: DataFrame, frequency: DataFrame, total: int, key: str =
 
     awards: key, terms, title, statement, abstract. A term must be on at least
     MIN_AWARDS and at most MAX_SHARE of all awards, and stand in the title, in the
-    statement, or twice in the abstract.
+    statement, or twice in the abstract, in singular or plural. Of several spellings
+    of a term that differ in case an award's first one counts.
     """
-    each = awards.select(key, F.explode(F.array_distinct(F.transform("terms", text.collapse))).alias("term")).where(text.chip_allowed(F.col("term")))
     usable = frequency.where((F.col("awards") >= MIN_AWARDS) & (F.col("awards") <= total * MAX_SHARE))
-    # texts meet the usable terms of their award once, not each term
-    listed = each.join(usable, "term").groupBy(key).agg(F.collect_list(F.struct("term", "awards")).alias("usable"))  # the terms of one award
-    joined = awards.select(key, "title", "statement", "abstract").join(listed, key)
-
-    def places(t: Column) -> Column:
-        pattern = text.whole_word_or_plural(t["term"])
-        hit = lambda c: F.coalesce(F.regexp_like(c, pattern), F.lit(False))
-        return F.struct(t["term"].alias("term"), t["awards"].alias("awards"), hit(F.col("title")).alias("title"), hit(F.col("statement")).alias("statement"), F.coalesce(F.regexp_count("abstract", pattern), F.lit(0)).alias("times"))
-
-    found = joined.select(key, F.explode(F.transform("usable", places)).alias("f")).select(key, "f.*")
-    weight = F.when(F.col("title"), 3.0).otherwise(0.0) + F.when(F.col("statement"), 2.0).otherwise(0.0) + F.least("times", F.lit(5)) * 0.4
-    score = F.ln(F.lit(float(total)) / F.col("awards")) * weight
-    return found.where(F.col("title") | F.col("statement") | (F.col("times") >= 2)).select(key, "term", score.alias("score"))
+    counts = matching.own_term_counts(awards, "terms", key, ["title", "statement", "abstract"], plural=True)
+    found = counts.where("title > 0 OR statement > 0 OR abstract >= 2").join(usable, "term").where(text.chip_allowed(F.col("term")))
+    weight = F.when(F.col("title") > 0, 3.0).otherwise(0.0) + F.when(F.col("statement") > 0, 2.0).otherwise(0.0) + F.least("abstract", F.lit(5)) * 0.4
+    return found.select(key, "term", (F.ln(F.lit(float(total)) / F.col("awards")) * weight).alias("score"))
 
 
 def top_terms(scored: DataFrame, shown: int = 5, key: str = "award") -> DataFrame:

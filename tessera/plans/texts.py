@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import lists, text
-from tessera.operators import terms
+from tessera.operators import matching, terms
 from tessera.plans.base import Tables, query
 
 
@@ -110,12 +110,28 @@ def doc_frequency(t: Tables) -> DataFrame:
 
 
 def _award_terms(t: Tables) -> DataFrame:
-    clean = F.regexp_replace("text", r"[^A-Za-z ]", " ")
-    words = F.array_distinct(F.filter(text.words(clean), lambda w: F.length(w) >= 5))
-    return t.documents.select(F.col("doc_id").alias("award"), words.alias("terms"), F.substring(clean, 1, 60).alias("title"), F.substring(clean, 61, 200).alias("statement"), clean.alias("abstract"))
-
-
-@query()
+    """Every word of a text is an index term of its award; a text begins with a title and a statement."""
+    words = F.regexp_extract_all("text", F.lit(text.WORD), F.lit(0))
+    return t.documents.select(F.col("doc_id").alias("award"), words.alias("terms"), F.substring("text", 1, 60).alias("title"), F.substring("text", 61, 200).alias("statement"), F.col("text").alias("abstract"))
+
+
+_PEOPLE_SQL = "|".join(text.PEOPLE_WORDS) + "|" + "|".join(rf"{w}\w*" for w in text.PEOPLE_STEMS + text.PEOPLE_STEMS_MORE)
+_FORMS_SQL = """CASE WHEN length(term) > 3 AND lower(term) LIKE '%s' AND lower(term) NOT LIKE '%ss' THEN [substr(term, 1, length(term) - 1), term] ELSE [term, term || 's', term || 'es'] END"""
+_EXACT_SQL = "(length(term) <= 3 OR (term = upper(term) AND term <> lower(term)))"
+
+
+@query(rf"""WITH d AS (SELECT doc_id AS award, text, regexp_extract_all(text, '[\pL\pN_]+') AS w FROM documents),
+each AS (SELECT award, unnest(w) AS term, generate_subscripts(w, 1) AS i FROM d),
+df AS (SELECT term, count(DISTINCT award) AS n FROM each GROUP BY term),
+firsts AS (SELECT award, arg_min(term, i) AS term FROM each WHERE length(term) BETWEEN 3 AND 32 AND regexp_matches(term, '\pL') AND NOT regexp_full_match(lower(term), '{_PEOPLE_SQL}') GROUP BY award, lower(term)),
+usable AS (SELECT award, term, n FROM firsts JOIN df USING (term) WHERE n >= 3 AND n <= 0.04 * (SELECT count(*) FROM documents)),
+forms AS (SELECT award, term, {_EXACT_SQL} AS exact, unnest({_FORMS_SQL}) AS form FROM usable),
+fields AS (SELECT award, 'title' AS field, substr(text, 1, 60) AS x FROM d UNION ALL SELECT award, 'statement', substr(text, 61, 200) FROM d UNION ALL SELECT award, 'abstract', text FROM d),
+words AS (SELECT award, field, w, count(*) AS k FROM (SELECT award, field, unnest(regexp_extract_all(x, '[\pL\pN_]+')) AS w FROM fields) GROUP BY ALL),
+hits AS (SELECT f.award, f.term, coalesce(sum(k) FILTER (WHERE field = 'title'), 0) AS t, coalesce(sum(k) FILTER (WHERE field = 'statement'), 0) AS s, coalesce(sum(k) FILTER (WHERE field = 'abstract'), 0) AS a
+  FROM forms f JOIN words w ON f.award = w.award AND lower(f.form) = lower(w.w) AND (NOT exact OR f.form = w.w) GROUP BY 1, 2)
+SELECT award, term, round(ln(CAST((SELECT count(*) FROM documents) AS DOUBLE) / n) * (CASE WHEN t > 0 THEN 3.0 ELSE 0.0 END + CASE WHEN s > 0 THEN 2.0 ELSE 0.0 END + least(a, 5) * 0.4), 6) AS score
+FROM hits JOIN usable USING (award, term) WHERE t > 0 OR s > 0 OR a >= 2""")
 def rank_terms_score(t: Tables) -> DataFrame:
     """How much each word of an award tells about it: rare terms, and those in its title, count most."""
     awards = _award_terms(t)
@@ -131,6 +147,22 @@ def rank_terms_greedy(t: Tables) -> DataFrame:
     return chips.select("award", F.array_join("chips", "|").alias("chips"))
 
 
+@query(r"""WITH b AS (SELECT regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w FROM benchmark),
+terms AS (SELECT DISTINCT term FROM (SELECT unnest(w) AS term FROM b UNION ALL SELECT unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM b) WHERE regexp_full_match(term, '[\pL\pN_]+( [\pL\pN_]+)?') AND lower(split_part(term, ' ', 1)) <> lower(split_part(term, ' ', 2))),
+stretches AS (SELECT doc_id, trim(regexp_replace(unnest(regexp_split_to_array(text, '[^\pL\pN_\s]+')), '\s+', ' ', 'g')) AS s FROM documents),
+words AS (SELECT doc_id, regexp_split_to_array(s, ' ') AS w FROM stretches WHERE s <> ''),
+grams AS (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS g FROM words)
+SELECT term, count(DISTINCT doc_id) AS awards, count(*) AS times FROM terms JOIN grams ON lower(term) = lower(g) AND (NOT """ + _EXACT_SQL + """ OR term = g) GROUP BY term""")
+def terms_in_texts(t: Tables) -> DataFrame:
+    """In how many texts, and how often, each term of a table stands as whole words."""
+    b = t.benchmark.select(text.words(F.col("text")).alias("w"))
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get("w", i - 1), F.get("w", i)))
+    listed = b.select(F.explode(F.concat("w", pairs)).alias("term")).distinct()
+    plain = listed.where(F.col("term").rlike(rf"^{text.WORD}(?: {text.WORD})?$") & ~F.lower("term").rlike(r"^(.*) \1$"))
+    found = matching.term_counts(t.documents, plain, "doc_id", ["text"])
+    return found.groupBy("term").agg(F.count("*").alias("awards"), F.sum("times").alias("times"))
+
+
 @query("""WITH p AS (SELECT p_partkey, split_part(p_type, ' ', 1) AS term, [p_type, split_part(p_type, ' ', 1) || ' plate', p_name] AS idx FROM part),
 f AS (SELECT p_partkey, term, unnest(idx) AS i FROM p), g AS (SELECT *, len(list_filter(regexp_split_to_array(lower(term), '[^0-9a-z]+'), lambda w: w <> '' AND NOT list_contains(regexp_split_to_array(lower(i), '[^0-9a-z]+'), w))) AS missing FROM f)
 SELECT p_partkey, (SELECT i FROM g g2 WHERE g2.p_partkey = p.p_partkey AND missing = 0 ORDER BY lower(i) <> lower(term), length(i), i LIMIT 1) AS hit FROM p""")
