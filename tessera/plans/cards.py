@@ -7,13 +7,20 @@ from pyspark.sql import functions as F
 
 from tessera.functions import records, sentences, text
 from tessera.operators import cards as C
+from tessera.operators import evidence as E
 from tessera.plans.base import TODAY, Tables, query
 
 
 @query()
 def sentence_split(t: Tables) -> DataFrame:
     """Every sentence of every text, with its place."""
-    return t.documents.select("doc_id", F.posexplode(sentences.split_sentences(F.col("text"))).alias("place", "sentence"))
+    return t.documents.select("doc_id", F.posexplode(E.sentences(F.col("text"))).alias("place", "sentence"))
+
+
+@query()
+def sentence_places(t: Tables) -> DataFrame:
+    """Where the sentences of every text begin and end."""
+    return t.documents.select("doc_id", F.posexplode(E.sentence_spans("text")).alias("place", "s")).select("doc_id", "place", "s.begin", "s.end")
 
 
 @query(r"SELECT doc_id, len(list_filter(regexp_split_to_array(text, '[.!?]+'), lambda s: regexp_matches(s, '\S'))) > 0 AS any_sentence FROM documents")
@@ -34,12 +41,28 @@ def rejection_histogram(t: Tables) -> DataFrame:
     return each.groupBy(F.coalesce(sentences.rejection(F.col("s")), F.lit("qualifies")).alias("reason")).agg(F.count("*").alias("sentences"))
 
 
+def _looked_up(t: Tables) -> DataFrame:
+    """Texts as awards of which some are written by a model or say their title again; terms are words of the text and others."""
+    k, words = F.col("doc_id") % 11, F.slice(text.words(F.substring("text", 200, 120)), 2, 4)
+    terms = F.concat(F.array(F.lit("the"), F.lit("nicht"), F.lit("de la"), F.lit("The  ")), words)
+    origin = lambda w, i: F.struct(w.alias("term"), F.when(i < 4, "narrative").otherwise("cv").alias("origin"))
+    title = F.when(k == 4, F.col("text")).otherwise(F.substring("text", 1, 60))
+    return t.documents.select(F.col("doc_id").alias("award"), F.when(k != 6, F.transform(terms, origin)).alias("terms"), title.alias("title"), F.col("text").alias("abstract"), F.when(k != 5, k.isin(3, 4)).alias("generated"))
+
+
 @query()
 def evidence_rows(t: Tables) -> DataFrame:
-    """Where a student's terms stand in each text."""
-    each = t.documents.select("doc_id", "text", F.explode(F.array(F.lit("the"), F.lit("nicht"), F.lit("de la"))).alias("term"))
-    found = each.select("doc_id", "term", sentences.evidence(F.col("term"), F.col("text")).alias("e")).where("e is not null")
-    return found.select("doc_id", "term", "e.sentence", F.size("e.offsets").alias("times"), F.get("e.offsets", F.lit(0))["begin"].alias("first"))
+    """The quotations of each award for a student's terms, with all places in UTF-16 units."""
+    rows = E.fit_evidence(_looked_up(t)).select("award", F.explode("rows").alias("e")).select("award", "e.*")
+    return rows.withColumn("offsets", F.array_join(F.transform("offsets", lambda o: F.concat_ws("-", o["begin"], o["end"])), ","))
+
+
+@query(r"""WITH k AS (SELECT doc_id AS award, CAST(doc_id % 11 AS INTEGER) AS k, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS x, lower(trim(regexp_replace(CASE WHEN doc_id % 11 = 4 THEN text ELSE substr(text, 1, 60) END, '\s+', ' ', 'g'))) AS y FROM documents),
+b AS (SELECT award, k, CASE WHEN k = 5 THEN NULL WHEN k NOT IN (3, 4) THEN 'held_as_published' WHEN x <> '' AND x = y THEN 'federal_description_only' ELSE 'llm_generated' END AS basis FROM k)
+SELECT award, basis, coalesce(basis <> 'llm_generated', false) AND k <> 6 AS counted FROM b""")
+def evidence_basis(t: Tables) -> DataFrame:
+    """What the quotations of an award rest on, and whether any were counted: a model's text is not searched."""
+    return E.fit_evidence(_looked_up(t)).select("award", "basis", F.col("matched").isNotNull().alias("counted"))
 
 
 @query()

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import dates, lists, records, scores, sentences, text
-from tessera.operators import cards, metrics, quality, retrieval, tables, terms
+from tessera.operators import cards, evidence, metrics, quality, retrieval, tables, terms
 from tessera.sources import tables as sources
 from tessera.streaming import funnel
 
@@ -283,7 +283,7 @@ def test_streaming_funnel(spark, tmp_path):
 
 def test_small_text_rules(spark):
     assert each(spark, ["UNIVERSITY OF THE SOUTH", "MIT", "O'Brien College", "SUNY AT BUFFALO", None], "string", text.institution_name) == ["University of the South", "MIT", "O'Brien College", "SUNY at Buffalo", None]
-    assert each(spark, ["PROJECT SUMMARY: Rivers run.", "Project narrative: Rivers run.", "Rivers run.", ""], "string", text.strip_label) == [17, 19, 0, 0]
+    assert each(spark, ["PROJECT SUMMARY: Rivers run.", "Project narrative: Rivers run.", "Rivers run.", ""], "string", evidence.prose_begin) == [17, 19, 0, 0]
     assert each(spark, ['```json\n{"sentence": "a"}\n```', "no", '{"terms": ["x"]}', None, "{broken}"], "string", lambda c: text.parse_answer(c)["terms"]) == [None, None, ["x"], None, None]
     assert one(spark, text.verbatim_in(F.lit("CRISPR"), [F.lit(None).cast("string"), F.lit("the crispr tool")])) == "crispr"
     assert one(spark, text.sorted_ignoring_case(F.array(F.lit("b"), F.lit("A"), F.lit("C")))) == ["A", "b", "C"]
