@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scores
@@ -20,6 +20,14 @@ CODES = {
     "small_business": "R41 R42 R43 R44",
     "conference": "R13 U13",
 }
+#: What prefixes of titles of another agency mean (fixed values).
+PREFIXES = {
+    "career": "early_career_faculty", "collaborative research": "research_project", "crii": "research_project", "eager": "research_project", "rapid": "research_project",
+    "reu site": "undergraduate_site", "conference": "conference", "mri": "equipment", "sbir phase i": "small_business", "sbir phase ii": "small_business",
+    "sttr": "small_business", "sttr phase i": "small_business", "sttr phase ii": "small_business",
+}
+DEFAULT_KIND = "research_project"
+PREFIXES_READ, LONGEST_PREFIX = 4, 40
 #: Tags of kinds that have one (fixed values).
 TAGS = {
     "subproject": "Part of a larger grant", "multi_project": "Multi-project grant", "training": "Training program", "career": "Career award", "early_career_faculty": "Early-career faculty award",
@@ -51,6 +59,52 @@ def kind_tag(kind: Column) -> Column:
     return _lookup(TAGS, kind)
 
 
+def title_prefixes(title: Column) -> Column:
+    """array<struct<prefix,kind>>: the known prefixes before colons at the beginning of a title, up to the first unknown one."""
+
+    def known(heads: Column) -> Column:
+        unknown = F.array_position(F.transform(heads, lambda h: h["kind"].isNull()), True)
+        return F.when(unknown == 0, heads).otherwise(F.slice(heads, F.lit(1), F.greatest(unknown.cast("int") - 1, F.lit(0))))
+
+    parts = F.split(F.coalesce(title, F.lit("")), ":")
+    heads = F.slice(parts, F.lit(1), F.least(F.lit(PREFIXES_READ), F.size(parts) - 1))
+    each = F.transform(heads, lambda h: F.struct(F.trim(h).alias("prefix"), F.when(F.length(h) <= LONGEST_PREFIX, _lookup(PREFIXES, T.normal_key(h))).alias("kind")))
+    return T.bound(each, known)
+
+
+def award_kind(source: Column, title: Column, code: Column, subproject: Column, fetched: Column, official: Column) -> Column:
+    """struct(kind, tag, tag_is_official, code, official_name, state).
+
+    One agency's kinds follow from its activity codes, whose names come as `official`;
+    without a fetch they are not loaded. Another's follow from prefixes of titles: of
+    several the first that says more than research. What neither says is unknown.
+    """
+    none = F.lit(None).cast("string")
+
+    def row(state: str, kind: Column = none, tag: Column = none, named: bool = False, basis: Column = none, name: Column = none) -> Column:
+        return F.struct(kind.alias("kind"), tag.alias("tag"), F.lit(named).alias("tag_is_official"), basis.alias("code"), name.alias("official_name"), F.lit(state).alias("state"))
+
+    key = F.upper(T.or_none(code))
+    own = T.or_none(official)
+    kind = F.when(own.isNotNull() & key.isNotNull(), kind_by_code(key, subproject))
+    by_code = (
+        F.when(~F.coalesce(fetched, F.lit(False)), row("not_loaded")).when(kind.isNull(), row("unknown", basis=key, name=own))
+        .when(kind == "named_by_agency", row("value", kind, own, True, key, own)).otherwise(row("value", kind, kind_tag(kind), False, key, own))
+    )
+
+    def by_prefix(found: Column) -> Column:
+        telling = F.coalesce(F.get(F.filter(found, lambda p: p["kind"] != DEFAULT_KIND), F.lit(0)), F.get(found, F.lit(0)))
+        return F.when(F.size(found) > 0, row("value", telling["kind"], kind_tag(telling["kind"]), False, telling["prefix"])).otherwise(row("unknown"))
+
+    return F.when(source == "NIH", by_code).when(source == "NSF", T.bound(title_prefixes(title), by_prefix)).otherwise(row("unknown"))
+
+
+def with_official_names(rows: DataFrame, names: DataFrame, code: str = "code") -> DataFrame:
+    """The rows with `official_name` from a table (code, name) of activity codes."""
+    listed = names.select(F.upper(F.trim("code")).alias("_code"), F.col("name").alias("official_name")).dropDuplicates(["_code"])
+    return rows.join(listed, F.upper(F.trim(code)) == F.col("_code"), "left").drop("_code")
+
+
 def field_line(source: Column, funder: Column) -> Column:
     """struct(label, source): the institute in full, or the directorate without that word; null where neither is named."""
     name = T.collapse(T.or_none(funder))
@@ -60,23 +114,28 @@ def field_line(source: Column, funder: Column) -> Column:
     return F.when((source == "NIH") & name.isNotNull(), line(name, "nih_institute")).when((source == "NSF") & directorate.isNotNull(), line(directorate, "nsf_directorate"))
 
 
-def spending_columns(record: Column, agency: Column) -> list[Column]:
-    """A record of the spending register as an award's columns; it names no researcher, and its description is its title.
+SPENDING_COLUMNS = ("award_id", "grant_title", "grant_abstract", "pi_name", "university", "department", "funding_source", "award_amount", "start_date", "end_date", "methodologies")
+
+
+def spending_records(rows: DataFrame, record: str, agency: str) -> DataFrame:
+    """The rows with SPENDING_COLUMNS read from a record of the spending register and its agency.
 
-    A record without a description has a null title and is no award.
+    Such a record names no researcher, and its description is its title. One without a
+    description, or that is no JSON, has a null title and is no award.
     """
     r = F.from_json(record, "`Award ID` string, `Recipient Name` string, `Start Date` string, `End Date` string, `Award Amount` string, `Awarding Sub Agency` string, Description string")
     title = r["Description"]
     for mark in ("'", '"'):
         title = F.when(F.startswith(title, F.lit(mark)) & F.endswith(title, F.lit(mark)) & (F.length(title) > 1), F.substring(title, F.lit(2), F.length(title) - 2)).otherwise(title)
-    title = T.or_none(T.strip_html(title))
-    return [
-        r["Award ID"].alias("award_id"), title.alias("grant_title"), title.alias("grant_abstract"), F.lit(T.UNRESOLVED_PI).alias("pi_name"), F.initcap(F.trim(F.coalesce(r["Recipient Name"], F.lit("Unknown Institution")))).alias("university"),
-        F.initcap(T.or_none(r["Awarding Sub Agency"])).alias("department"), F.coalesce(_lookup(AGENCIES, agency), F.lit("Federal")).alias("funding_source"), scores.amount_or_none(r["Award Amount"]).alias("award_amount"),
-        r["Start Date"].alias("start_date"), r["End Date"].alias("end_date"), T.scan_methods(title, title).alias("methodologies"),
+    read = [
+        r["Award ID"].alias("award_id"), F.lit(T.UNRESOLVED_PI).alias("pi_name"), T.title_case(F.trim(F.coalesce(r["Recipient Name"], F.lit("Unknown Institution")))).alias("university"),
+        T.title_case(T.or_none(r["Awarding Sub Agency"])).alias("department"), F.coalesce(_lookup(AGENCIES, F.col(agency)), F.lit("Federal")).alias("funding_source"), scores.amount_or_none(r["Award Amount"]).alias("award_amount"),
+        r["Start Date"].alias("start_date"), r["End Date"].alias("end_date"),
     ]
+    titled = rows.select("*", T.or_none(T.strip_html(title)).alias("grant_title"), *read)  # before the methods are looked for
+    return titled.select(*rows.columns, *[F.col("grant_title").alias(c) if c == "grant_abstract" else T.scan_methods(F.col("grant_title"), F.col("grant_title")).alias(c) if c == "methodologies" else c for c in SPENDING_COLUMNS])
 
 
 def amount_basis(source: Column) -> Column:
     """What a stored amount measures; null for a source of which that is not known."""
-    return F.when(source == "NIH", "nih_fiscal_year").when(source == "NSF", "nsf_obligated").when(source.isin(*AGENCIES.values(), "Federal"), "usaspending_obligation")
+    return F.when(source == "NIH", "nih_fiscal_year").when(source == "NSF", "nsf_obligated").when(source.isin(*AGENCIES.values()), "usaspending_obligation")

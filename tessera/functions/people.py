@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions import names
 from tessera.functions import text as T
 
 #: Sources that publish no researcher, so that a name beside them was found otherwise (fixed values).
@@ -23,13 +24,7 @@ def name_is_generated(name: Column, flag: Column, source: Column) -> Column:
 
 def co_investigators(stored: Column) -> Column:
     """array<struct<name,title>> of a stored list or its JSON; null if there is none or it cannot be read."""
-    return F.transform(F.filter(F.from_json(stored, CO_PIS), lambda p: T.or_none(p["name"]).isNotNull()), lambda p: F.struct(T.person_name(p["name"]).alias("name"), sentence_case(p["title"]).alias("title")))
-
-
-def sentence_case(title: Column) -> Column:
-    """A title in capitals in sentence case; others stay."""
-    clean = T.collapse(T.or_none(title))
-    return F.when(clean == F.upper(clean), F.concat(F.upper(F.substring(clean, 1, 1)), F.lower(F.substring(clean, 2, 10_000)))).otherwise(clean)
+    return F.transform(F.filter(F.from_json(stored, CO_PIS), lambda p: T.or_none(p["name"]).isNotNull()), lambda p: F.struct(names.person(T.collapse(p["name"])).alias("name"), names.sentence_case(p["title"]).alias("title")))
 
 
 def published_person(name: Column, generated: Column, fetched: Column, published: Column, title: Column, source_id: Column, others: Column) -> Column:
@@ -44,12 +39,12 @@ def published_person(name: Column, generated: Column, fetched: Column, published
     read = ~ai & asked
     basis = F.when(ai & stored.isNotNull(), "ai_identified").when(known, "published").when(stored.isNotNull(), "stored").otherwise("none")
     return F.struct(
-        F.when(known, T.person_name(published)).otherwise(stored).alias("name"), F.when(known, T.or_none(published)).alias("name_published"), basis.alias("name_basis"),
-        F.when(known, sentence_case(title)).alias("title"), F.when(read, T.or_none(source_id)).alias("source_id"), F.when(read, co_investigators(others)).alias("other_investigators"),
+        F.when(known, names.person(published)).otherwise(stored).alias("name"), F.when(known, T.or_none(published)).alias("name_published"), basis.alias("name_basis"),
+        F.when(known, names.sentence_case(title)).alias("title"), F.when(read, T.or_none(source_id)).alias("source_id"), F.when(read, co_investigators(others)).alias("other_investigators"),
     )
 
 
 def place(university: Column, published: Column, city: Column, state: Column) -> Column:
     """struct(institution, institution_published, city, state): the published institution, else the stored one."""
     own = T.or_none(published)
-    return F.struct(F.coalesce(T.institution_name(own), F.coalesce(T.or_none(university), F.lit("N/A"))).alias("institution"), own.alias("institution_published"), T.title_case(T.or_none(city)).alias("city"), T.or_none(state).alias("state"))
+    return F.struct(F.coalesce(names.institution(own), names.stored_institution(university), F.lit("N/A")).alias("institution"), own.alias("institution_published"), names.institution(city, city=True).alias("city"), T.or_none(state).alias("state"))

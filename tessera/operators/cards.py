@@ -5,20 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import awards as A
 from tessera.functions import dates, lists, scores, sentences, text
 
 #: Kinds of awards without a lab to write to, and when writing makes no sense (fixed values).
 NO_OUTREACH_KINDS = ("conference", "equipment", "small_business")
-#: Title prefixes of one agency and what they say (fixed values).
-PREFIX_KINDS = {"conference": "conference", "workshop": "conference", "mri": "equipment", "sbir phase i": "small_business", "sbir phase ii": "small_business", "sttr phase i": "small_business", "reu site": "training", "career": "career", "collaborative research": "collaborative"}
-
-
-def award_kind(title: Column) -> Column:
-    """What the stacked prefixes of a title ("REU Site: ...") say: the first that says more than research."""
-    prefixes = F.transform(F.split(title, ":"), lambda p: F.lower(F.trim(p)))
-    known = F.create_map(*[F.lit(x) for kv in PREFIX_KINDS.items() for x in kv])
-    kinds = F.array_compact(F.transform(F.slice(prefixes, F.lit(1), F.greatest(F.size(prefixes) - 1, F.lit(0))), lambda p: F.try_element_at(known, p)))
-    return F.coalesce(F.get(kinds, F.lit(0)), F.lit("research"))
 
 
 def provenance(generated: Column, source_described: Column) -> Column:
@@ -43,16 +34,17 @@ def cards(awards: DataFrame, terms: list[str], today: Column) -> DataFrame:
     """One nested row an award.
 
     awards: award, title, abstract, statement, generated, person, published, source,
-    amount, start, end, checked, semantic, keyword.
+    amount, start, end, checked, semantic, keyword, code, subproject, official_name.
     """
     c = F.col
+    kind = A.award_kind(c("source"), c("title"), c("code"), c("subproject"), c("checked").isNotNull(), c("official_name"))
     state = dates.funding_state(c("start"), c("end"), c("checked"), today)
     shown = readable_text(c("statement"), c("abstract"), c("generated"))
-    rows = awards.withColumn("state", state).withColumn("shown", shown).withColumn("kind", award_kind(c("title")))
+    rows = awards.withColumn("state", state).withColumn("shown", shown).withColumn("kind", kind)
     months = dates.whole_months(today, c("end"))
     hits = F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.regexp_like(F.concat_ws("\n", c("title"), c("shown.text")), text.whole_word(t)))
     funding = F.struct(c("state"), dates.funding_label(c("start"), c("end"), c("state")).alias("label"), F.when(c("checked").isNotNull() & c("state").isin("funded", "starts_later"), dates.time_left(months)).alias("time_left"))
-    reachable = text.is_resolved(c("person")) & ~c("kind").isin(*NO_OUTREACH_KINDS) & ~c("state").isin("ended", "no_end_date") & ~names_conflict(c("person"), c("published"))
+    reachable = text.is_resolved(c("person")) & ~F.coalesce(c("kind.kind").isin(*NO_OUTREACH_KINDS), F.lit(False)) & ~c("state").isin("ended", "no_end_date") & ~names_conflict(c("person"), c("published"))
     return rows.select(
         "award",
         F.struct(text.display_title(c("title")).alias("title"), sentences.select_sentence(c("shown.text"), c("title")).alias("sentence"), c("shown.field").alias("sentence_source"), c("kind")).alias("front"),
@@ -132,10 +124,12 @@ def front_sentence(source: Column, title: Column, statement: Column, abstract: C
 def card_topics(index_terms: Column, picked: Column, profile_hits: Column, fields: list[Column]) -> Column:
     """struct(terms, source): the index terms if there are two, else the picked ones that still stand in a text.
 
-    Ranked terms come in; those that a student's own hits say already go. Fewer than two of either show nothing.
+    Ranked terms come in; those go that have all words of a student's own hit, as the
+    student or the text spells it. Fewer than two of either show nothing.
     """
-    seen = F.transform(F.coalesce(profile_hits, F.array().cast("array<string>")), lambda h: text.normal_key(h))
-    fresh = lambda terms: F.filter(F.coalesce(terms, F.array().cast("array<string>")), lambda t: ~F.array_contains(seen, text.normal_key(t)))
+    tokens = lambda t: F.filter(F.split(F.regexp_replace(F.lower(t), r"[^0-9a-z]+", " "), " "), lambda w: w != "")
+    seen = F.filter(F.transform(F.coalesce(profile_hits, F.array().cast("array<string>")), tokens), lambda h: F.size(h) > 0)
+    fresh = lambda terms: F.filter(F.coalesce(terms, F.array().cast("array<string>")), lambda t: ~F.exists(seen, lambda h: F.size(F.array_except(h, tokens(t))) == 0))
     standing = F.array_compact(F.transform(F.filter(F.coalesce(picked, F.array().cast("array<string>")), text.chip_allowed), lambda t: text.verbatim_in(t, fields)))
     index, own = (lists.without_overlap(fresh(x), TOPICS_SHOWN) for x in (index_terms, standing))
     row = lambda terms, source: F.struct(terms.alias("terms"), F.lit(source).alias("source"))

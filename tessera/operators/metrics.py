@@ -105,12 +105,10 @@ def attribution(events: DataFrame, token: str) -> DataFrame:
     return events.where(hit).agg(F.count("*").alias("events"), F.count_distinct("session_id").alias("sessions"))
 
 
-def referrals(events: DataFrame, token: str, shown: int = 1000) -> DataFrame:
-    """(events, sessions, other): visits with a token in the referrer, in any text of the metadata or in the agent; other referrers, `shown` at most."""
+def referrals(events: DataFrame, token: str) -> DataFrame:
+    """(referrer, events, sessions): one row, of no referrer, for visits with a token in the referrer, in any text of the metadata or in the agent, and one for each other referrer that is not blank."""
     has = lambda c: F.coalesce(F.contains(F.lower(c), F.lit(token.lower())), F.lit(False))
     values = F.map_values(F.from_json("metadata", "map<string,string>"))
     hit = has(F.col("referrer")) | has(F.col("user_agent")) | F.coalesce(F.exists(values, has), F.lit(False))
-    rows = events.withColumn("hit", hit)
-    counts = rows.agg(F.count_if("hit").alias("events"), F.count_distinct(F.when(F.col("hit"), F.col("session_id"))).alias("sessions"))
-    other = rows.where(~F.col("hit") & F.col("referrer").isNotNull()).select("referrer").distinct().orderBy("referrer").limit(shown)
-    return counts.crossJoin(other.agg(F.array_join(F.array_sort(F.collect_list("referrer")), "|").alias("other")))  # one row each
+    rows = events.select("session_id", "referrer", hit.alias("hit")).where(F.col("hit") | (F.coalesce("referrer", F.lit("")) != ""))
+    return rows.groupBy(F.when(~F.col("hit"), F.col("referrer")).alias("referrer")).agg(F.count("*").alias("events"), F.count_distinct("session_id").alias("sessions"))

@@ -7,10 +7,10 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import scores, text
+from tessera.functions import awards, scores, text
 
-#: Agencies whose awards name neither abstract nor investigator (fixed values).
-UNNAMED_SOURCES = ("DOD", "DOE", "EPA", "NASA", "USDA", "Interior")
+#: Agencies whose awards name neither abstract nor investigator.
+UNNAMED_SOURCES = tuple(awards.AGENCIES.values())
 
 
 def student_vector(students: DataFrame, student: object, key: str = "vec_id", column: str = "embedding") -> list[float]:

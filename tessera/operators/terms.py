@@ -54,7 +54,7 @@ def inside_index_terms(term: Column, index_terms: Column) -> Column:
 
 def resolve_by_title_and_org(stored: DataFrame, found: DataFrame) -> DataFrame:
     """(id, found_id): stored rows whose title and a word of whose organisation meet exactly one found id."""
-    s = stored.select("id", text.normal_key(F.col("title")).alias("t"), text.org_tokens(F.col("org")).alias("o"))
-    f = found.select("found_id", text.normal_key(F.col("title")).alias("t"), text.org_tokens(F.col("org")).alias("p"))
+    s = stored.select("id", text.letters_key(F.col("title")).alias("t"), text.org_tokens(F.col("org")).alias("o"))
+    f = found.select("found_id", text.letters_key(F.col("title")).alias("t"), text.org_tokens(F.col("org")).alias("p"))
     met = s.join(f, "t").where(F.arrays_overlap("o", "p"))
     return met.groupBy("id").agg(F.min("found_id").alias("found_id"), F.max("found_id").alias("last")).where(F.col("found_id") == F.col("last")).select("id", "found_id")

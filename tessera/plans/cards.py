@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import awards as A
 from tessera.functions import records, sentences, text
 from tessera.operators import cards as C
 from tessera.operators import evidence as E
@@ -92,11 +93,30 @@ def map_agency_record(t: Tables) -> DataFrame:
     return mapped.select("c_custkey", "pi_source_id", F.coalesce(F.size("co_pis"), F.lit(-1)).alias("others"), F.array_join("agency_terms", "|").alias("terms"), "fiscal_year")
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'conference' WHEN 1 THEN 'training' WHEN 2 THEN 'small_business' WHEN 3 THEN 'collaborative' ELSE 'research' END AS kind FROM part""")
+_PREFIXED = {
+    "Workshop: ": None, "REU Site: Collaborative Research: ": "undergraduate_site", "Collaborative Research: CAREER: ": "early_career_faculty", "SBIR Phase I: ": "small_business",
+    "RUI: Collaborative Research: ": None, "eager:": "research_project", " Collaborative  Research : MRI: ": "equipment", "": None, "CRII: RAPID: STTR: ": "small_business",
+}
+_CODED = sorted((c, kind) for kind, codes in A.CODES.items() for c in codes.split())
+_PREFIX_SQL = " ".join(f"WHEN {i} THEN {f"'{kind}'" if kind else 'NULL'}" for i, kind in enumerate(_PREFIXED.values()))
+_CODE_SQL = " ".join(f"WHEN {i} THEN '{kind}'" for i, (_, kind) in enumerate(_CODED))
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 3 = 0 THEN CASE p_size % {len(_PREFIXED)} {_PREFIX_SQL} END
+  WHEN p_partkey % 3 = 1 AND p_size % 5 <> 0 AND p_partkey % {len(_CODED)} <> 7 THEN CASE WHEN p_size % 5 = 1 THEN 'subproject' ELSE CASE p_partkey % {len(_CODED)} {_CODE_SQL} END END END AS kind FROM part)
+SELECT p_partkey, kind, CASE WHEN p_partkey % 3 = 1 AND p_size % 5 = 0 THEN 'not_loaded' WHEN kind IS NULL THEN 'unknown' ELSE 'value' END AS state,
+  coalesce(kind = 'named_by_agency', false) AS official FROM p""")
 def award_kinds(t: Tables) -> DataFrame:
-    k = F.col("p_partkey") % 5
-    prefix = F.when(k == 0, "Workshop: ").when(k == 1, "REU Site: Collaborative Research: ").when(k == 2, "SBIR Phase I: ").when(k == 3, "RUI: Collaborative Research: ").otherwise("")
-    return t.part.select("p_partkey", C.award_kind(F.concat(prefix, "p_name")).alias("kind"))
+    """What awards are: by prefixes of titles, by activity codes with the agency's own names for them, or not known."""
+    k, n = F.col("p_partkey"), F.col("p_size")
+    source = F.when(k % 3 == 0, "NSF").when(k % 3 == 1, "NIH").otherwise("DOE")
+    title = F.concat(F.get(F.array(*[F.lit(p) for p in _PREFIXED]), n % len(_PREFIXED)), F.lit("A study: "), "p_name")
+    code = F.lower(F.get(F.array(*[F.lit(c) for c, _ in _CODED]), (k % len(_CODED)).cast("int")))
+    rows = t.part.select("p_partkey", source.alias("source"), title.alias("title"), code.alias("code"), F.when(n % 5 == 1, "12").otherwise(" ").alias("sub"), (n % 5 != 0).alias("fetched"))
+    names = t.part.select(F.upper(F.get(F.array(*[F.lit(c) for c, _ in _CODED]), (k % len(_CODED)).cast("int"))).alias("code"), F.lit("Name of the code").alias("name")).where(k % len(_CODED) != 7)
+    named = A.with_official_names(rows, names)
+    kind = A.award_kind(F.col("source"), F.col("title"), F.col("code"), F.col("sub"), F.col("fetched"), F.col("official_name"))
+    return named.select("p_partkey", kind.alias("k")).select("p_partkey", "k.kind", "k.state", F.col("k.tag_is_official").alias("official"))
 
 
 @query()
@@ -106,7 +126,8 @@ def card_struct(t: Tables) -> DataFrame:
     dated = t.awards().select(F.col("award").alias("doc_id"), "end", "amount")
     rows = t.documents.join(dated, "doc_id").select(
         d.alias("award"), F.substring("text", 1, 60).alias("title"), F.col("text").alias("abstract"), F.when(d % 4 == 0, F.col("text")).alias("statement"), (d % 3 == 0).alias("generated"),
-        F.lit("Dr. Ann Lee").alias("person"), F.lit("LEE, ANN").alias("published"), "source", "amount", F.add_months("end", -24).alias("start"), "end", F.when(d % 2 == 0, F.date_add("end", 3)).alias("checked"),
+        F.lit("Dr. Ann Lee").alias("person"), F.lit("LEE, ANN").alias("published"), F.when(d % 2 == 0, "NIH").otherwise("NSF").alias("source"), "amount", F.add_months("end", -24).alias("start"), "end", F.when(d % 2 == 0, F.date_add("end", 3)).alias("checked"),
+        F.when(d % 6 == 0, "T32").when(d % 6 == 2, "R13").otherwise("R01").alias("code"), F.lit(None).cast("string").alias("subproject"), F.lit("Name of the code").alias("official_name"),
         (d % 101).cast("int").alias("semantic"), F.when(d % 5 != 0, (d % 97).cast("int")).alias("keyword"),
     )
     return C.cards(rows, ["the", "de la"], F.lit(TODAY).cast("date"))

@@ -5,16 +5,37 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import scores, sentences, text
+from tessera.functions import names, scores, sentences, text
 from tessera.operators import model_stage
 from tessera.operators import tables as O
 from tessera.plans.base import SWIPES_SQL, Tables, query
 
 
-@query("""SELECT n_nationkey, 'University of ' || upper(w[1:1]) || lower(w[2:]) || ' at MIT' AS name FROM (SELECT n_nationkey, split_part(n_name, ' ', 1) AS w FROM nation)""")
+@query("""SELECT n_nationkey, 'University of ' || w || ' at MIT' AS name FROM (SELECT n_nationkey, split_part(n_name, ' ', 1) AS w FROM nation)""")
 def institution_name(t: Tables) -> DataFrame:
     named = F.concat(F.lit("UNIVERSITY OF "), F.split("n_name", " ")[0], F.lit(" AT MIT"))
-    return t.nation.select("n_nationkey", text.institution_name(named).alias("name"))
+    return t.nation.select("n_nationkey", names.institution(named).alias("name"))
+
+
+_WORDS_SQL = "array_to_string(list_transform(string_split({0}, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ')"
+
+
+@query(f"""SELECT c_custkey, {_WORDS_SQL.format('c_mktsegment')} || ' Inst of the ' || n_name || ', NCI-Univ, The' AS capitals, {_WORDS_SQL.format('c_mktsegment')} || ' College of VA, Women''s Hosp' AS stored, {_WORDS_SQL.format('c_mktsegment')} AS city
+FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def names_of_places(t: Tables) -> DataFrame:
+    """Institutions and cities that an agency writes in capitals, or that were stored in title case."""
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    capitals = F.concat("c_mktsegment", F.lit(" INST OF THE "), "n_name", F.lit(", NCI-UNIV, THE"))
+    stored = F.concat(F.initcap("c_mktsegment"), F.lit(" College Of Va, Women'S Hosp"))
+    return rows.select("c_custkey", names.institution(capitals).alias("capitals"), names.stored_institution(stored).alias("stored"), names.institution(F.col("c_mktsegment"), city=True).alias("city"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'Ann ' || CASE WHEN c_mktsegment LIKE 'MACH%' THEN c_mktsegment ELSE upper(c_mktsegment[1:1]) || lower(c_mktsegment[2:]) END WHEN 1 THEN 'ANN ' || c_mktsegment WHEN 2 THEN 'Ann KY ' || c_mktsegment ELSE 'Mary O''NEILL ' || c_mktsegment END AS name FROM customer""")
+def names_of_people(t: Tables) -> DataFrame:
+    """Names of which the agency itself writes a part in small letters, and others, which stay."""
+    k, part = F.col("c_custkey") % 4, F.col("c_mktsegment")
+    raw = F.when(k == 0, F.concat(F.lit("Ann "), part)).when(k == 1, F.concat(F.lit("ANN "), part)).when(k == 2, F.concat(F.lit("Ann KY "), part)).otherwise(F.concat(F.lit("Mary O'NEILL "), part))
+    return t.customer.select("c_custkey", names.person(raw).alias("name"))
 
 
 @query(f"""WITH {SWIPES_SQL}, m AS (SELECT 's' AS student_id, grant_id, status, CASE WHEN grant_id % 4 = 0 THEN 50 END AS score FROM swipes WHERE grant_id % 2 = 0),

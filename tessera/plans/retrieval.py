@@ -183,19 +183,19 @@ def dynamic_predicates(t: Tables) -> DataFrame:
     return rows.select("doc_id", "source")
 
 
-_ROLE = "CASE CAST(substr(source, 4) AS INTEGER) % 4 WHEN 0 THEN 'NIH' WHEN 1 THEN 'NSF' WHEN 2 THEN 'NASA' ELSE 'DOE' END"
+_ROLE = "CASE CAST(substr(source, 4) AS INTEGER) % 4 WHEN 0 THEN 'NIH' WHEN 1 THEN 'NSF' WHEN 2 THEN CASE WHEN doc_id % 2 = 0 THEN 'NASA' ELSE 'DNR' END ELSE 'DOE' END"
 _NAME = "CASE WHEN doc_id % 3 = 0 THEN 'Dr. Unknown Investigator' WHEN doc_id % 3 = 1 THEN ' ' ELSE 'Dr. Ann Lee' END"
 
 
 def _sourced(t: Tables) -> DataFrame:
     n = F.substring("source", 4, 9).cast("int") % 4
-    source = F.when(n == 0, "NIH").when(n == 1, "NSF").when(n == 2, "NASA").otherwise("DOE")
+    source = F.when(n == 0, "NIH").when(n == 1, "NSF").when(n == 2, F.when(F.col("doc_id") % 2 == 0, "NASA").otherwise("DNR")).otherwise("DOE")
     k = F.col("doc_id") % 3
     name = F.when(k == 0, text.UNRESOLVED_PI).when(k == 1, " ").otherwise("Dr. Ann Lee")
     return t.documents.select("doc_id", source.alias("funder"), name.alias("pi"))
 
 
-@query(f"WITH d AS (SELECT doc_id, {_ROLE} AS funder, {_NAME} AS pi FROM documents) SELECT funder, count(*) FILTER (WHERE funder IN ('NASA', 'DOE')) AS off, count(*) FILTER (WHERE funder IN ('NASA', 'DOE') AND pi <> 'Dr. Ann Lee') AS resolved_only FROM d GROUP BY funder")
+@query(f"WITH d AS (SELECT doc_id, {_ROLE} AS funder, {_NAME} AS pi FROM documents) SELECT funder, count(*) FILTER (WHERE funder IN ('NASA', 'DOE', 'DNR')) AS off, count(*) FILTER (WHERE funder IN ('NASA', 'DOE', 'DNR') AND pi <> 'Dr. Ann Lee') AS resolved_only FROM d GROUP BY funder")
 def source_exclusion(t: Tables) -> DataFrame:
     off, only = R.excluded(F.col("funder"), F.col("pi")), R.excluded(F.col("funder"), F.col("pi"), "resolved_only")
     return _sourced(t).groupBy("funder").agg(F.count_if(off).alias("off"), F.count_if(only).alias("resolved_only"))

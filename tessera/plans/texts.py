@@ -15,7 +15,7 @@ def title_normal_key(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.md5(text.normal_key(F.col("text"))).alias("key"))
 
 
-@query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS key FROM pages""")
+@query(r"""SELECT page_id, md5(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(html, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '<[^>]+>', '', 'g'), '\s+', ' ', 'g'))) AS key FROM pages""")
 def html_clean(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.md5(text.strip_html(F.col("html"))).alias("key"))
 
@@ -182,14 +182,14 @@ def case_insensitive_dedupe(t: Tables) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT s_suppkey AS id, s_name AS org, s_suppkey AS title FROM supplier), f AS (SELECT s_suppkey + 1000 AS found_id, CASE WHEN s_suppkey % 3 = 0 THEN 'Other Org' ELSE s_name END AS org, CASE WHEN s_suppkey % 4 = 0 THEN s_suppkey - 1 ELSE s_suppkey END AS title FROM supplier),
-t AS (SELECT id, title, list_filter(regexp_split_to_array(regexp_replace(lower(org), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for', 'university', 'college', 'institute', 'school', 'inc', 'llc')) AS o FROM s),
-u AS (SELECT found_id, title, list_filter(regexp_split_to_array(regexp_replace(lower(org), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for', 'university', 'college', 'institute', 'school', 'inc', 'llc')) AS o FROM f),
+t AS (SELECT id, title, list_filter(regexp_split_to_array(regexp_replace(lower(org), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for', 'university', 'college', 'institute', 'school', 'inc')) AS o FROM s),
+u AS (SELECT found_id, title, list_filter(regexp_split_to_array(regexp_replace(lower(org), '[^a-z0-9 ]', ' ', 'g'), ' +'), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for', 'university', 'college', 'institute', 'school', 'inc')) AS o FROM f),
 m AS (SELECT id, found_id FROM t JOIN u ON t.title = u.title WHERE list_has_any(t.o, u.o)) SELECT id, min(found_id) AS found_id FROM m GROUP BY id HAVING count(DISTINCT found_id) = 1""")
 def org_token_overlap_unique(t: Tables) -> DataFrame:
     """Stored awards whose title and organisation point to exactly one found record."""
     k = F.col("s_suppkey")
     stored = t.supplier.select(k.alias("id"), F.col("s_name").alias("org"), F.concat(F.lit("Study "), k.cast("string")).alias("title"))
-    found = t.supplier.select((k + 1000).alias("found_id"), F.when(k % 3 == 0, "Other Org").otherwise(F.col("s_name")).alias("org"), F.concat(F.lit("STUDY  "), F.when(k % 4 == 0, k - 1).otherwise(k).cast("string")).alias("title"))
+    found = t.supplier.select((k + 1000).alias("found_id"), F.when(k % 3 == 0, "Other Org").otherwise(F.col("s_name")).alias("org"), F.concat(F.lit("STUDY:  "), F.when(k % 4 == 0, k - 1).otherwise(k).cast("string")).alias("title"))
     return terms.resolve_by_title_and_org(stored, found)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions import records
+from tessera.functions import awards, records
 
 
 def with_columns(rows: DataFrame, wanted: dict[str, str]) -> DataFrame:
@@ -14,9 +14,15 @@ def with_columns(rows: DataFrame, wanted: dict[str, str]) -> DataFrame:
 
 
 def landing(spark: SparkSession, path: str, source: str) -> DataFrame:
-    """One row a line of a landing folder: the raw record, its file, and the columns that all sources share."""
+    """One row a line of a landing folder: the raw record, its file, and the columns that all sources share.
+
+    Records of the spending register give the columns of an award; those without a title are none.
+    """
     stamp = F.date_format(F.col("_metadata.file_modification_time"), "yyyy-MM-dd'T'HH:mm:ss")
     raw = spark.read.text(path).select(F.col("value").alias("record"), F.col("_metadata.file_path").alias("file"), stamp.alias("fetched"))
+    if source == "USAspending":
+        agency = raw.withColumn("agency", F.get_json_object("record", "$.Awarding Agency"))
+        return awards.spending_records(agency, "record", "agency").drop("agency").where(F.col("grant_title").isNotNull())
     columns = {"NIH": records.nih_columns, "NSF": records.nsf_columns}.get(source)
     shared = columns(F.col("record"), F.col("fetched")) if columns else records.unasked_columns()
     return raw.select("record", "file", F.lit(source).alias("funding_source"), *shared)

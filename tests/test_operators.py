@@ -85,7 +85,7 @@ def test_display_title(spark):
 
 
 def test_html_and_utf16(spark):
-    assert one(spark, text.strip_html(F.lit("<p>a &amp; b</p>\n <b>c</b>"))) == "a & b c"
+    assert one(spark, text.strip_html(F.lit("<p>a &amp; b&eacute;&#8217;</p>\n <b>c</b>d<>&lt;i&gt;"))) == "a & bé’ cd<>"
     assert one(spark, text.utf16_length(F.lit("a😀"))) == 3
 
 
@@ -247,7 +247,16 @@ def test_quality_reports(spark):
 
 
 def test_cards(spark):
-    assert each(spark, ["REU Site: Collaborative Research: x", "Collaborative Research: MRI: x", "MRI", None], "string", cards.award_kind) == ["training", "collaborative", "research", "research"]
+    from tessera.functions import awards
+
+    none = F.lit(None).cast("string")
+    kind = lambda c: awards.award_kind(F.lit("NSF"), c, none, none, F.lit(False), none)["kind"]
+    titles = ["REU Site: Collaborative Research: x", "Collaborative Research: MRI: x", "MRI", None, "CAREER: x", "EAGER: x", "Workshop: x", "Planning: Conference: x", "STTR: x", "Collaborative Research: " + "y" * 41 + ": CAREER: x", "CRII: RAPID: EAGER: Conference: CAREER: x"]
+    assert each(spark, titles, "string", kind) == ["undergraduate_site", "equipment", None, None, "early_career_faculty", "research_project", None, None, "small_business", "research_project", "conference"]
+    nih = lambda code, sub=None, name="Name", fetched=True: tuple(one(spark, awards.award_kind(F.lit("NIH"), F.lit("CAREER: x"), F.lit(code).cast("string"), F.lit(sub).cast("string"), F.lit(fetched), F.lit(name).cast("string"))))
+    assert nih(" r25 ") == ("named_by_agency", "Name", True, "R25", "Name", "value") and nih("T32") == ("training", "Training program", False, "T32", "Name", "value")
+    assert nih("P01", "12")[0] == "subproject" and nih("R01", " ")[:2] == ("research_project", None) and nih("R01", name=None)[-1] == "unknown" and nih("X99") == (None, None, False, "X99", "Name", "unknown")
+    assert nih("R01", fetched=False)[-1] == "not_loaded" and nih(None)[-1] == "unknown" and nih(" ", "12")[-1] == "unknown"
     assert one(spark, cards.readable_text(F.lit(" "), F.lit("a"), F.lit(None).cast("boolean"))) is None
     assert one(spark, cards.readable_text(F.lit(None), F.lit("a"), F.lit(False)))["field"] == "abstract"
 
@@ -282,7 +291,6 @@ def test_streaming_funnel(spark, tmp_path):
 
 
 def test_small_text_rules(spark):
-    assert each(spark, ["UNIVERSITY OF THE SOUTH", "MIT", "O'Brien College", "SUNY AT BUFFALO", None], "string", text.institution_name) == ["University of the South", "MIT", "O'Brien College", "SUNY at Buffalo", None]
     assert each(spark, ["PROJECT SUMMARY: Rivers run.", "Project narrative: Rivers run.", "Rivers run.", ""], "string", evidence.prose_begin) == [17, 19, 0, 0]
     assert each(spark, ['```json\n{"sentence": "a"}\n```', "no", '{"terms": ["x"]}', None, "{broken}"], "string", lambda c: text.parse_answer(c)["terms"]) == [None, None, ["x"], None, None]
     assert one(spark, text.verbatim_in(F.lit("CRISPR"), [F.lit(None).cast("string"), F.lit("the crispr tool")])) == "crispr"
