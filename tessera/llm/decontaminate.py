@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit as K
-from tessera.llm.shared import stored
+from tessera.llm.shared import renamed, stored
 
 WINDOW = 13
 SHARD_BYTES = 4 << 20
@@ -332,7 +332,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     blocks = max(1, math.ceil(total / 2 / block_words))
     keep = [c for c in docs.columns if c != "text"] if keep is None else keep
     keep = [c for c in keep if c not in ("n_words", "spans", "items", "longest")]
-    plain = docs.select(*keep, "text", F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), F.lit(0).cast("long").alias("longest"))
+    plain = docs.select(*[f"`{c}`" for c in keep], "text", F.lit(0).cast("long").alias("n_words"), F.expr(f"cast(array() as array<{_SPAN}>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"), F.lit(0).cast("long").alias("longest"))
     schema = plain.schema
     for k in range(blocks):
         rows = bench.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == k).collect()  # bounded by block_words
@@ -374,7 +374,7 @@ def judge(found: DataFrame) -> DataFrame:
     """Adds n_hit, n_items, items_sha256 and contaminated: hit words are at least a twentieth of all."""
     found = found.withColumn("n_hit", F.expr("aggregate(spans, 0L, (n, x) -> n + x.end - x.begin)"))
     return found.select(
-        *[c for c in found.columns if c not in ("n_items", "items_sha256", "contaminated")],
+        *[f"`{c}`" for c in found.columns if c not in ("n_items", "items_sha256", "contaminated")],
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
         F.coalesce((F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words")), F.lit(False)).alias("contaminated"),
@@ -383,8 +383,6 @@ def judge(found: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, with their own columns and whole texts."""
-    clash = {"n_words", "spans", "items", "longest", "n_hit", "n_items", "items_sha256", "contaminated"}
-    own = docs.columns
-    renamed = docs.withColumnsRenamed({c: f"own_{c}" for c in own if c in clash}).withColumn("own_text", F.col("text"))
-    found = judge(find_contamination(renamed, benchmark, window))
-    return found.where(~F.col("contaminated")).select(*[F.col("own_text" if c == "text" else f"own_{c}" if c in clash else c).alias(c) for c in own])
+    rows, own = renamed(docs)
+    found = judge(find_contamination(rows, benchmark, window, keep=own))
+    return found.where(~F.col("contaminated")).select(*[f"`{c}`" for c in own]).toDF(*docs.columns)

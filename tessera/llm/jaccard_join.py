@@ -621,6 +621,9 @@ def keep_first(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         return left
     again = narrow(several.select(F.col("doc_id").alias(id_), F.col("stays").alias(key)))
     rest = free_name("rest", docs.columns)
-    rows = left.join(again, on, "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])).alias(rest))
-    once = rows.select("doc_id", "text", f"{rest}.*").select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    # maps have no order, but their JSON has
+    by = F.struct(*[F.to_json(F.struct(f"`{c}`")) if "map<" in docs.schema[c].dataType.simpleString() else F.col(f"`{c}`") for c in others] or [F.lit(0)])
+    rows = left.join(again, on, "left_semi").groupBy("doc_id", "text").agg(F.min_by(F.struct(*[f"`{c}`" for c in others] or [F.lit(0).alias("none")]), by).alias(rest))
+    once = rows.select("doc_id", "text", *[F.col(rest)[c].alias(c) for c in others]).select(*[f"`{c}`" for c in docs.columns])
     return left.join(again, on, "left_anti").unionByName(once)

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textkit as K
-from tessera.llm.shared import labelled_rows
+from tessera.llm.shared import labelled_rows, renamed
 
 TRAIN_ROWS = 6000
 BUCKETS = 1 << 17
@@ -161,6 +161,12 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, rows:
     return fit([np.frombuffer(r["s"], "<u4").astype(np.int64) for r in pairs], np.array([r["label"] for r in pairs], int))
 
 
+def keep_accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows that the model accepts, with their own columns, whatever their names."""
+    rows, own = renamed(docs)
+    return classify(rows, model, keep=own).where("predicted = 1").select(*[f"`{c}`" for c in own]).toDF(*docs.columns)
+
+
 def classify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """Every row with score and predicted. keep: columns to carry along, by default all but text."""
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted") and (keep is not None or c != "text")]
@@ -172,6 +178,6 @@ def classify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
                 score = shared.value.score(indicators(part.column("text")))
                 yield pa.RecordBatch.from_pydict({c: part.column(c) for c in keep} | {"score": pa.array(score), "predicted": pa.array((score >= 0.5).astype(np.int32))})
 
-    frame = docs.select(*dict.fromkeys([*keep, "text"]))
+    frame = docs.select(*[f"`{c}`" for c in dict.fromkeys([*keep, "text"])])
     fields = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name in keep] + ["score double", "predicted int"])
     return frame.mapInArrow(run, fields)

@@ -58,6 +58,12 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
+def renamed(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The frame with all columns under names that nothing else uses, in order, and a copy of its text as `text`."""
+    own = [f"own {i}" for i in range(len(df.columns))]
+    return df.toDF(*own).withColumn("text", F.col(f"`{own[df.columns.index('text')]}`")), own
+
+
 def narrow(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """The frame marked for broadcast if its rows come to no more than `limit` bytes, as counted; else as it is."""
 
