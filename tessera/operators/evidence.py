@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from tessera.functions import spans
+from tessera.functions import claims, spans
 from tessera.functions import text as T
 
 GENERATED, TITLE_AGAIN, PUBLISHED = "llm_generated", "federal_description_only", "held_as_published"
@@ -86,3 +86,20 @@ def _evidence(terms: list[dict] | None, title: str | None, abstract: str | None,
                 rows.append({"term": term, "origin": origin, "field": name} | found._asdict() | {"offsets": [{"begin": a, "end": b} for a, b in found.offsets]})
                 break
     return rows, len(wanted)
+
+
+def summary_faults(rows: DataFrame, key: str, summaries: str, title: str, source: str) -> DataFrame:
+    """(key, faults): for each of an array of one-sentence summaries the reasons against it, given title and text.
+
+    Title and text are indexed once for all summaries of a row. A null array gives null.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for listed, head, text in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3))):
+                ground = claims.Ground(head, text) if listed else None
+                out.append(listed and [ground.faults(s) for s in listed])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.list_(pa.string())))], [key, "faults"])
+
+    return rows.select(key, summaries, title, source).mapInArrow(run, f"`{key}` {rows.schema[key].dataType.simpleString()}, faults array<array<string>>")

@@ -69,8 +69,9 @@ def evidence_basis(t: Tables) -> DataFrame:
 @query()
 def validate_sentence(t: Tables) -> DataFrame:
     """What speaks against each sentence of a text as its summary."""
-    each = t.documents.select("doc_id", "text", F.posexplode(sentences.split_sentences(F.col("text"))).alias("at", "s"))
-    return each.select("doc_id", "at", F.array_join(sentences.summary_faults(F.col("s"), F.substring("text", 1, 40), F.col("text")), "|").alias("faults"))
+    rows = t.documents.select("doc_id", "text", F.substring("text", 1, 40).alias("title")).withColumn("summaries", E.sentences(F.col("text")))
+    found = E.summary_faults(rows, "doc_id", "summaries", "title", "text")
+    return found.select("doc_id", F.posexplode("faults").alias("at", "f")).select("doc_id", "at", F.array_join("f", "|").alias("faults"))
 
 
 @query()
