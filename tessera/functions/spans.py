@@ -172,13 +172,13 @@ def is_exact(term: str) -> bool:
     return len(term) <= 3 or term == term.upper() != term.lower()
 
 
-def term_expression(term: str) -> re.Pattern | None:
-    """A collapsed term as a whole word, with any white space between its words."""
+def term_expression(term: str, exact: bool | None = None) -> re.Pattern | None:
+    """A term as a whole word, with any white space between its words; exact: as it is spelt, by default by is_exact."""
     words = term.split()
     if not words:
         return None
     body = r"\s+".join(map(re.escape, words))
-    return re.compile(rf"(?<!\w){body}(?!\w)", 0 if is_exact(" ".join(words)) else re.IGNORECASE)
+    return re.compile(rf"(?<!\w){body}(?!\w)", 0 if (is_exact(" ".join(words)) if exact is None else exact) else re.IGNORECASE)
 
 
 def window(text: str, sentence: tuple[int, int], hit: tuple[int, int], longest: int = QUOTED) -> tuple[int, int]:
@@ -223,9 +223,9 @@ class Source:
         ends = boundaries(text, QUOTING)
         self.ends, self.begins = [e for e, _ in ends], [b for _, b in ends]
 
-    def quote(self, term: str, longest: int = QUOTED) -> Quotation | None:
+    def quote(self, term: str, longest: int = QUOTED, exact: bool | None = None) -> Quotation | None:
         """The sentence with the first place of a term. A stop inside the term ends no sentence."""
-        expression = term_expression(term)
+        expression = term_expression(term, exact)
         hits = [m.span() for m in expression.finditer(self.text)] if expression else []
         if not hits or hits[0][1] - hits[0][0] > longest:
             return None

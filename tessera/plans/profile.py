@@ -9,6 +9,7 @@ from tessera.functions import awards, lists, people, profile, records, scores, t
 from tessera.operators import cards as C
 from tessera.operators import evidence
 from tessera.operators import metrics as M
+from tessera.operators import profiles
 from tessera.operators import quality as Q
 from tessera.operators import tables as O
 from tessera.operators import terms
@@ -330,3 +331,28 @@ def answers_of_batch(t: Tables) -> DataFrame:
     asked = t.supplier.where(k % 2 == 0).select(k.cast("string").alias("id"))
     read = tables.readable_answers(t.supplier.select(line.alias("value")))
     return read.join(asked, "id", "left_semi").select(F.col("id").cast("long").alias("s_suppkey"), "sentence")
+
+
+def _profile_events(t: Tables) -> DataFrame:
+    """Conversations as histories of profiles: a student's turns are read or scanned, the answers are edits."""
+    words, own = text.words(F.col("text")), F.col("role") == "user"
+    kind = F.when(own, F.when(F.col("turn") % 4 == 0, profiles.EXTRACTION).otherwise(profiles.SCAN)).otherwise(profiles.EDIT)
+    none = F.lit(None).cast("string")
+    part = lambda when, first, n: F.when(when, F.slice(words, first, n))
+    return t.conversations.select(
+        F.col("conv_id").alias("student"), F.lpad(F.col("turn").cast("string"), 6, "0").alias("at"), kind.alias("kind"), part(own, 1, 6).alias("skills"), part(own, 7, 3).alias("domains"),
+        part(~own, 1, 2).alias("add"), part(~own, 3, 2).alias("remove"), F.when(own & (F.col("turn") % 8 == 0), "BSc Biology").alias("education"), F.when(~own, F.lit(True)).alias("confirmed"), F.when(own, F.col("text")).alias("narrative"), none.alias("cv"),
+    )
+
+
+@query()
+def profile_history(t: Tables) -> DataFrame:
+    """The terms of students after all extractions and edits, with what their own text says about each."""
+    views = profiles.profile_views(_profile_events(t))
+    return views.withColumn("removed", F.array_join("removed", "|"))
+
+
+@query()
+def letter_terms(t: Tables) -> DataFrame:
+    """The terms that a letter may name."""
+    return profiles.letter_terms(profiles.profile_views(_profile_events(t))).select("student", "position", "term", "origin")
