@@ -6,7 +6,7 @@ write it to another path than the one that is read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 #: What stands for a missing value in a duplicate's key; a real value of this kind counts as missing (fixed values).
@@ -121,11 +121,31 @@ def change_log(old: DataFrame, new: DataFrame, key: str, columns: list[str]) ->
     return both.select(key, F.explode(changes).alias("c")).select(key, "c.column", "c.old", "c.new")
 
 
-def key_faults(rows: DataFrame, key: list[str], required: list[str], allowed: dict[str, tuple[str, ...]]) -> DataFrame:
-    """(rule, rows): how many rows break uniqueness, presence or an allowed set."""
+def rule_counts(required: list[str], allowed: dict[str, tuple[str, ...]], ranges: dict[str, tuple[float, float]] | None = None) -> dict[str, Column]:
+    """For each rule the count of rows that break it: presence, an allowed set, a range; only presence minds nulls."""
+    counts = {f"not null {c}": F.count_if(F.col(c).isNull()) for c in required}
+    counts |= {f"allowed {c}": F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(*v)) for c, v in allowed.items()}
+    return counts | {f"range {c}": F.count_if(~F.col(c).between(*v)) for c, v in (ranges or {}).items()}
+
+
+def write_checked(rows: DataFrame, path: str, required: list[str], allowed: dict[str, tuple[str, ...]], ranges: dict[str, tuple[float, float]] | None = None) -> dict[str, int]:
+    """Writes rows as Parquet and gives the broken rules with their rows, counted while they are written."""
+    seen = Observation()
+    rows.observe(seen, F.count("*").alias("rows"), *[c.alias(rule) for rule, c in rule_counts(required, allowed, ranges).items()]).write.parquet(path)
+    return {rule: n for rule, n in seen.get.items() if n and rule != "rows"}
+
+
+def orphans(children: DataFrame, child: str, parents: DataFrame, parent: str) -> DataFrame:
+    """Rows that name a parent that there is not; a null names none."""
+    return children.where(F.col(child).isNotNull()).join(parents.select(F.col(parent).alias("_parent")).distinct(), F.col(child) == F.col("_parent"), "left_anti")
+
+
+def key_faults(rows: DataFrame, key: list[str], required: list[str], allowed: dict[str, tuple[str, ...]], foreign: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
+    """(rule, rows): how many rows break uniqueness, presence, an allowed set or name a parent that there is not."""
     repeated = rows.groupBy(*key).count().where("count > 1").agg(F.lit("unique").alias("rule"), F.coalesce(F.sum("count"), F.lit(0)).alias("rows"))
-    tests = [F.struct(F.lit(f"not null {c}").alias("rule"), F.count_if(F.col(c).isNull()).alias("rows")) for c in required]
-    tests += [F.struct(F.lit(f"allowed {c}").alias("rule"), F.count_if(F.col(c).isNotNull() & ~F.col(c).isin(*v)).alias("rows")) for c, v in allowed.items()]
+    for child, (parents, parent) in (foreign or {}).items():
+        repeated = repeated.unionByName(orphans(rows, child, parents, parent).agg(F.lit(f"foreign {child}").alias("rule"), F.count("*").alias("rows")))
+    tests = [F.struct(F.lit(rule).alias("rule"), n.alias("rows")) for rule, n in rule_counts(required, allowed).items()]
     return rows.agg(F.array(*tests).alias("t")).select(F.explode("t").alias("t")).select("t.*").unionByName(repeated) if tests else repeated
 
 

@@ -161,9 +161,10 @@ def change_log(t: Tables) -> DataFrame:
 
 
 @query("""SELECT 'unique' AS rule, coalesce(CAST(sum(n) AS BIGINT), 0) AS rows FROM (SELECT count(*) AS n FROM events GROUP BY user_id, event_type HAVING count(*) > 1)
-UNION ALL SELECT 'not null value', count(*) FILTER (WHERE value IS NULL) FROM events UNION ALL SELECT 'allowed event_type', count(*) FILTER (WHERE event_type NOT IN ('view', 'click', 'signup')) FROM events""")
+UNION ALL SELECT 'not null value', count(*) FILTER (WHERE value IS NULL) FROM events UNION ALL SELECT 'allowed event_type', count(*) FILTER (WHERE event_type NOT IN ('view', 'click', 'signup')) FROM events
+UNION ALL SELECT 'foreign user_id', count(*) FROM events WHERE user_id IS NOT NULL AND user_id NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 3 <> 0)""")
 def constraint_checks(t: Tables) -> DataFrame:
-    return O.key_faults(t.events, ["user_id", "event_type"], ["value"], {"event_type": ("view", "click", "signup")})
+    return O.key_faults(t.events, ["user_id", "event_type"], ["value"], {"event_type": ("view", "click", "signup")}, {"user_id": (t.supplier.where("s_suppkey % 3 <> 0"), "s_suppkey")})
 
 
 @query("SELECT o_orderkey, CAST(floor((row_number() OVER (ORDER BY o_orderkey) - 1) / 500) AS BIGINT) AS batch FROM orders")
