@@ -63,9 +63,10 @@ def swipe_ratio(events: DataFrame) -> DataFrame:
 
 def variants(events: DataFrame, names: tuple[str, ...] = ("subscription", "lifetime")) -> DataFrame:
     """(variant, views, yes, no, closes, conversion) by distinct sessions, from one row a session and variant."""
-    answer, variant = F.lower(F.get_json_object("metadata", "$.answer")), F.get_json_object("metadata", "$.variant")
+    answer, variant = F.lower("m.answer"), F.col("m.variant")
     kinds = {"views": F.col("event_name") == "paywall_view", "yes": (F.col("event_name") == "paywall_feedback") & (answer == "yes"), "no": (F.col("event_name") == "paywall_feedback") & (answer == "no"), "closes": F.col("event_name") == "paywall_close"}
-    each = events.select("session_id", variant.alias("variant"), *[F.coalesce(c, F.lit(False)).alias(k) for k, c in kinds.items()]).where(F.col("variant").isin(*names))
+    read = events.select("session_id", "event_name", F.from_json("metadata", "struct<variant:string,answer:string>").alias("m"))
+    each = read.select("session_id", variant.alias("variant"), *[F.coalesce(c, F.lit(False)).alias(k) for k, c in kinds.items()]).where(F.col("variant").isin(*names))
     sessions = each.groupBy("variant", "session_id").agg(*[F.max(k).alias(k) for k in kinds])
     counts = sessions.groupBy("variant").agg(*[F.count_if(F.col(k)).alias(k) for k in kinds])
     return counts.withColumn("conversion", F.when(F.col("views") > 0, F.round(F.lit(100.0) * F.try_divide(F.col("yes"), F.col("views")), 1)).otherwise(0.0))

@@ -6,6 +6,9 @@ write it to another path than the one that is read.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -152,13 +155,19 @@ def key_faults(rows: DataFrame, key: list[str], required: list[str], allowed: di
 def batches(items: DataFrame, size: int, key: str) -> DataFrame:
     """Items with the number of their batch of `size`, in order of key.
 
-    Bounds of ranges are fixed first, so that counting the ranges and numbering the
-    rows in them agree; a range is numbered in one task.
+    The first key of each range is fixed first, so that counting the ranges and numbering
+    the rows in them agree; a range is numbered in one task. Keys are numbers, texts or
+    dates; rows without one come first.
     """
     n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bounds = sorted(set(items.select(F.percentile_approx(key, [i / n for i in range(1, n)] or [0.5], 100 * n)).first()[0] or []))
-    part = F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0), lambda k, b: k + F.coalesce(F.col(key) >= b, F.lit(False)).cast("int")) if bounds else F.lit(0)
-    spread = items.withColumn("_part", part)
+    ranges = items.select(key).where(F.col(key).isNotNull()).repartitionByRange(n, key).groupBy(F.spark_partition_id()).agg(F.min(key).alias("first"))
+    firsts = sorted(r["first"] for r in ranges.collect())  # one a range
+
+    @F.arrow_udf("int")
+    def part(keys: pa.Array) -> pa.Array:
+        return pa.array([max(0, bisect_right(firsts, k) - 1) if k is not None else 0 for k in keys.to_pylist()], pa.int32())
+
+    spread = items.withColumn("_part", part(F.col(key)))
     counts = spread.groupBy("_part").count()
     before = counts.select("_part", (F.sum("count").over(Window.orderBy("_part")) - F.col("count")).alias("_base"))  # a row a range
     placed = spread.withColumn("_n", F.row_number().over(Window.partitionBy("_part").orderBy(key)))

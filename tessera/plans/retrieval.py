@@ -55,17 +55,19 @@ _TAGS = "[lower(w) FOR w IN regexp_extract_all(text, '[A-Za-z]+')]"
 _SKILLS = ("the", "of", "and", "la", "der", "que")
 
 
-def _tagged(t: Tables) -> DataFrame:
+def _tagged(t: Tables, only: DataFrame | None = None) -> DataFrame:
+    """only: the awards that are asked for, before their texts are read into tags."""
     tags = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
-    return t.documents.select(F.col("doc_id").alias("grant_id"), "source", F.transform(tags, F.lower).alias("tags"))
+    docs = t.documents if only is None else t.documents.join(only.select(F.col("grant_id").alias("doc_id")), "doc_id", "left_semi")
+    return docs.select(F.col("doc_id").alias("grant_id"), "source", F.transform(tags, F.lower).alias("tags"))
 
 
 _KW_SQL = f"""tagged AS (SELECT doc_id AS grant_id, source, {_TAGS} AS tags FROM documents),
 kw AS (SELECT *, CASE WHEN len(tags) > 0 THEN CAST(round_even(len(list_filter(tags, lambda x: x IN {_SKILLS})) * 100.0::DOUBLE / len(tags), 0) AS INTEGER) END AS keyword FROM tagged)"""
 
 
-def _keyword(t: Tables) -> DataFrame:
-    return _tagged(t).withColumn("keyword", scores.tag_overlap(F.col("tags"), F.array(*[F.lit(s) for s in _SKILLS])))
+def _keyword(t: Tables, only: DataFrame | None = None) -> DataFrame:
+    return _tagged(t, only).withColumn("keyword", scores.tag_overlap(F.col("tags"), F.array(*[F.lit(s) for s in _SKILLS])))
 
 
 @query(f"WITH {_KW_SQL} SELECT grant_id, keyword FROM kw")
@@ -77,7 +79,7 @@ def tag_overlap_score(t: Tables) -> DataFrame:
 def hybrid_blend(t: Tables) -> DataFrame:
     """Semantic and keyword scores, and their blend; the semantic one is rounded before it is blended."""
     semantic = _ranked(t, -2.0).select("grant_id", scores.clamp_score(F.round("similarity", 6) * 100).alias("semantic"))
-    both = semantic.join(_keyword(t).select("grant_id", "keyword"), "grant_id")
+    both = semantic.join(_keyword(t, semantic).select("grant_id", "keyword"), "grant_id")
     return both.select("grant_id", "semantic", "keyword", scores.blend(F.col("semantic"), F.col("keyword")).alias("score"))
 
 

@@ -76,6 +76,10 @@ def test_batches_are_whole(spark):
     rows = spark.range(0, 1000).selectExpr("(id * 7919) % 1009 AS k").repartition(7)
     found = sorted((r["k"], r["batch"]) for r in O.batches(rows, 30, "k").collect())
     assert found == [(k, i // 30) for i, k in enumerate(sorted((i * 7919) % 1009 for i in range(1000)))]
+    texts = rows.selectExpr("concat('é', k) AS k").unionByName(spark.createDataFrame([(None,), ("z",), ("z",)], "k string"))
+    ordered = sorted([f"é{(i * 7919) % 1009}" for i in range(1000)] + ["z", "z"])
+    assert sorted(((r["k"] or "", r["batch"]) for r in O.batches(texts, 30, "k").collect()), key=lambda x: (x[1], x[0])) == [(k, i // 30) for i, k in enumerate(["", *ordered])]
+    assert O.batches(rows.limit(0), 30, "k").collect() == []
 
 
 def test_append(spark, tmp_path):
