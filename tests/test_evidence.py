@@ -203,3 +203,16 @@ def test_all_documents(spark):
         want = [text[a:b].strip() for a, b in zip(begins, [*(next(e for e, b in edges if b == x) for x in begins[1:]), len(text)])] if spans.prose_begin(text) == 0 else None
         assert want is None or r["x"] == [w for w in want if w]
         assert [text[s["begin"] : s["end"]] for s in r["s"]] == r["x"]
+
+
+def test_batches_come_in_parts_of_bounded_size():
+    import pyarrow as pa
+
+    from tessera.functions.batches import parts
+
+    batch = pa.RecordBatch.from_pydict({"k": list(range(9)), "x": ["a" * 100] * 4 + ["b" * 5000] + ["c"] * 4})
+    cut = list(parts(batch, 600))
+    assert [k for p in cut for k in p.column("k").to_pylist()] == list(range(9))
+    assert all(p.nbytes <= 600 or p.num_rows == 1 for p in cut)
+    assert list(parts(batch.slice(0, 0))) == []
+    assert [v for p in parts(batch.column("x"), 600) for v in p.to_pylist()] == batch.column("x").to_pylist()
