@@ -33,7 +33,8 @@ COMMON = ("about", "after", "also", "among", "before", "being", "between", "coul
 def split_sentences(value: Column) -> Column:
     """Sentences without the white space between them; an abbreviation, an initial or a small letter after it is no end."""
     short = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-    end = rf"(?U)(?<=[.!?][\"'”’)\]]{{0,3}})(?<!(?i)(?<![\p{{L}}.])(?:{short})\.)(?<!(?<!\p{{L}})\p{{L}}\.)\s+(?!\p{{Ll}})|(?<=[!?][\"'”’)\]]{{0,3}})\s+|\n[ \t]*\n\s*"
+    # white space first, so that nothing is looked back from other signs
+    end = rf"(?U)(?=\s)(?:(?<=[.!?][\"'”’)\]]{{0,3}})(?<!(?i)(?<![\p{{L}}.])(?:{short})\.)(?<!(?<!\p{{L}})\p{{L}}\.)\s+(?!\p{{Ll}})|(?<=[!?][\"'”’)\]]{{0,3}})\s+|\n[ \t]*\n\s*)"
     return F.filter(F.transform(F.split(value, end), lambda s: F.trim(s)), lambda s: s != "")
 
 

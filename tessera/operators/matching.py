@@ -31,7 +31,7 @@ BROADCAST_ROWS = 200_000
 
 
 def word_sequences(texts: DataFrame, key: str, fields: list[str], sizes: list[int]) -> DataFrame:
-    """(key, field, gram, times): runs of words with only white space between them, as they are spelt, one space between words."""
+    """(key, field, gram): each run of words with only white space between them, as it is spelt, one space between words."""
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("f")
     stretches = texts.select(key, each).select(key, "f.field", F.explode(F.split("f.text", text.NO_WORD_NOR_SPACE)).alias("s"))
     words = stretches.select(key, "field", F.split(text.collapse(F.col("s")), " ").alias("w")).where(F.element_at("w", 1) != "")
@@ -39,11 +39,12 @@ def word_sequences(texts: DataFrame, key: str, fields: list[str], sizes: list[in
     def grams(n: int) -> Column:
         if n == 1:
             return F.col("w")
+        if n == 2:
+            return F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))
         starts = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(n)), " "))
 
-    found = words.select(key, "field", F.explode(F.flatten(F.array(*[grams(n) for n in sizes]))).alias("gram"))
-    return found.groupBy(key, "field", "gram").agg(F.count("*").alias("times"))
+    return words.select(key, "field", F.explode(F.flatten(F.array(*[grams(n) for n in sizes]))).alias("gram"))
 
 
 def _forms(term: Column, plural: bool) -> Column:
@@ -82,6 +83,11 @@ def term_counts(texts: DataFrame, terms: DataFrame, key: str, fields: list[str],
 
     grams = word_sequences(texts, key, fields, sorted({1, *term_sizes(terms)})).withColumn("low", F.lower("gram"))
     small = forms.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    # a small table goes to the words, and only those that it has are counted; to a large one they go once counted
+    if not small:
+        grams = grams.groupBy(key, "field", "low", "gram").agg(F.count("*").alias("times"))
+    else:
+        grams = grams.withColumn("times", F.lit(1).cast("long"))
     met = grams.join(F.broadcast(forms) if small else forms, "low")
     simple_hits = met.where(~F.col("odd") & (~F.col("exact") | (F.col("gram") == F.col("form")))).groupBy(key, "term", "field", *more).agg(F.sum("times").alias("times"))
 
