@@ -7,6 +7,8 @@ write it to another path than the one that is read.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Callable
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -205,6 +207,18 @@ def answer_faults(asked: DataFrame, answered: DataFrame, required: list[str], sh
     return each.select("f.*").where("rows > 0")
 
 
+def once_per_value(rows: DataFrame, columns: list[str], rule: Callable[..., list[Column]]) -> DataFrame:
+    """Rows with the columns that a rule makes of the given ones alone; it is applied once to each combination of values.
+
+    For costly rules on values that come again in many rows, as names of institutions do. Nulls are values too.
+    """
+    keys = [f"_value{i}" for i in range(len(columns))]
+    values = rows.select(*[F.col(c).alias(k) for c, k in zip(columns, keys)]).distinct()
+    made = values.select(*keys, *rule(*map(F.col, keys)))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(columns, keys)])
+    return rows.join(made, same).drop(*keys)
+
+
 def quotes(evidence: DataFrame) -> DataFrame:
     """(award, sentence, terms): each quoted sentence once, with the terms found in it in order."""
     return evidence.groupBy("award", "sentence").agg(F.array_sort(F.collect_set("term")).alias("terms"))  # the student's terms at most
