@@ -52,8 +52,10 @@ def acronyms(value: Column) -> Column:
 
 def rejection(sentence: Column) -> Column:
     """The first reason why a sentence cannot be shown; null if it can."""
-    s = T.collapse(sentence)
-    words = T.words(s)
+    return T.bound(T.collapse(sentence), lambda s: T.bound(F.struct(s.alias("s"), T.words(s).alias("words")), lambda x: _rejection(x["s"], x["words"])))
+
+
+def _rejection(s: Column, words: Column) -> Column:
     first = F.lower(F.regexp_replace(F.get(words, F.lit(0)), r"^\W+|\W+$", ""))
     return (
         F.when(s.isNull() | s.rlike(r"^[^a-z]{0,60}$") | s.rlike(r"^[\p{L} /]{0,40}:$"), "label_residue")
@@ -81,9 +83,12 @@ def strength(sentence: Column) -> Column:
 
 def repeats_title(sentence: Column, title: Column) -> Column:
     """Fewer than four new words, and most of its words are the title's."""
-    own, titles = content_words(sentence), content_words(title)
-    new = F.size(F.array_except(own, titles))
-    return (new < 4) & (F.size(own) > 0) & ((F.size(own) - new) >= 0.6 * F.size(own))
+
+    def told(x: Column) -> Column:
+        return (x["new"] < 4) & (x["own"] > 0) & ((x["own"] - x["new"]) >= 0.6 * x["own"])
+
+    sizes = lambda own: F.struct(F.size(own).alias("own"), F.size(F.array_except(own, content_words(title))).alias("new"))
+    return T.bound(T.bound(content_words(sentence), sizes), told)
 
 
 def select_sentence(value: Column, title: Column) -> Column:
@@ -99,8 +104,8 @@ def evidence(term: Column, value: Column) -> Column:
     A term whose own full stop ends a sentence is looked for in the whole text.
     """
     pattern = T.whole_word(term)
-    whole = F.when(F.regexp_like(value, pattern), value)
-    sentence = F.coalesce(F.get(F.filter(split_sentences(value), lambda s: F.regexp_like(s, pattern)), F.lit(0)), whole)
+    first = F.get(F.filter(split_sentences(value), lambda s: F.regexp_like(s, pattern)), F.lit(0))
+    sentence = F.when(F.regexp_like(value, pattern), F.coalesce(first, value))  # a text without the term is not split
     return T.bound(sentence, lambda s: F.when(s.isNotNull(), F.struct(s.alias("sentence"), _offsets(s, pattern).alias("offsets"))))
 
 

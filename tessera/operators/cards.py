@@ -109,7 +109,9 @@ def front_sentence(source: Column, title: Column, statement: Column, abstract: C
     tags = F.create_map(*[F.lit(x) for kv in SENTENCE_TAGS.items() for x in kv])
 
     def choose(own: Column) -> Column:
-        found = sentences.select_sentence(own["text"], title)
+        return text.bound(sentences.select_sentence(own["text"], title), lambda found: shown(own, found))
+
+    def shown(own: Column, found: Column) -> Column:
         seen = (own["source"] == "nih_phr") | checked.isNotNull()
         tag = F.when(seen, tags[own["source"]]).otherwise(TAG_ON_FILE)
         held = F.when(F.size(sentences.summary_faults(written, title, F.coalesce(own["text"], abstract, F.lit("")))) == 0, text.or_none(written))

@@ -216,3 +216,13 @@ def test_batches_come_in_parts_of_bounded_size():
     assert all(p.nbytes <= 600 or p.num_rows == 1 for p in cut)
     assert list(parts(batch.slice(0, 0))) == []
     assert [v for p in parts(batch.column("x"), 600) for v in p.to_pylist()] == batch.column("x").to_pylist()
+
+
+def test_a_text_without_the_term_is_not_split(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import sentences
+
+    rows = spark.createDataFrame([("One here. The  river runs.\n\nMore",), ("No such word. At all.",), ("",), (None,)], "x string")
+    found = rows.select(sentences.evidence(F.lit("river"), F.col("x"))["sentence"].alias("s"))
+    assert [r["s"] for r in found.collect()] == ["The  river runs.", None, None, None]

@@ -328,3 +328,17 @@ def test_outreach_and_states(spark):
     shown = spark.createDataFrame([("s", 1, 5, "skipped", None, 0.333), ("s", 1, 6, "saved", None, 0.333), ("s", 2, 1, "odd", 9, 0.1)], "student_id string, grant_id int, at int, status string, score int, dot double")
     held = spark.createDataFrame([("s", 2, "saved", 40)], "student_id string, grant_id int, status string, score int")
     assert sorted(map(tuple, tables.match_states(held, shown).collect())) == [("s", 1, "saved", 33), ("s", 2, "saved", 40)]
+
+
+def test_rules_are_applied_once_per_value(spark):
+    from tessera.operators import tables as O
+
+    rows = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, None, "b"), (4, "a", "b"), (5, None, None)], "k long, x string, y string")
+    made = O.once_per_value(rows, ["x", "y"], lambda x, y: [F.concat_ws("-", x, y).alias("z")])
+    assert made.columns == ["k", "x", "y", "z"]
+    assert sorted((r["k"], r["z"]) for r in made.collect()) == [(1, "a"), (2, "a"), (3, "b"), (4, "a-b"), (5, "")]
+
+
+def test_white_space_of_a_sentence_is_collapsed_once_for_all_reasons():
+    """Beside the words, which collapse for themselves."""
+    assert sentences.rejection(F.col("s"))._jc.toString().count(r"(?U)\s+") <= 2
