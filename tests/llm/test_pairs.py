@@ -136,6 +136,41 @@ def test_near_passages_are_found(spark):
     assert len(wanted) >= 60 and len(wanted & found) >= 0.95 * len(wanted)
 
 
+def test_near_passages_of_a_crowded_group(spark):
+    """Two near copies of 54 words among texts that have 40 of these: neither the smallest one nor the one before."""
+    rng, rows, wanted = random.Random(29), [], set()
+    for t in range(60):
+        template = prose(rng, 40).split(" ")
+        near = [*prose(rng, 5).split(" "), *template, *prose(rng, 9).split(" ")]
+        for i in range(7):
+            own = near if i in (2, 5) else template
+            if i == 5:
+                own, wanted = [*near[:48], f"new{t}", *near[49:]], wanted | {len(rows)}
+            rows.append((len(rows), " ".join([*prose(rng, 40).split(" "), *own, *prose(rng, 40).split(" ")])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id")
+    found = {(r["doc_id"], r["other_id"]) for r in passage_dedup.find_passages(docs).collect()}
+    assert found == {(a, a - 3) for a in wanted}
+
+
+def test_pairs_of_a_group_by_what_they_have_in_common():
+    rng = np.random.default_rng(31)
+    for _ in range(100):
+        n, similar = int(rng.integers(2, 40)), float(rng.choice([0.3, 0.5, 0.8]))
+        group, docs, labels, settled = np.sort(rng.integers(0, 3, n)), rng.permutation(n), rng.integers(0, 4, n), rng.random(n) < 0.5
+        tokens = np.zeros((n, 25), np.uint16)
+        for row in tokens:
+            own = np.unique(np.concatenate([rng.integers(1, 6, 5), rng.integers(1, 60, rng.integers(1, 20))]))
+            row[: len(own)] = own
+        least = int(rng.integers(8, 20))
+        hits = lambda i, j: np.isin(tokens[i], tokens[j][tokens[j] > 0])
+        near = lambda i, j: any(hits(i, j)[k:m].mean() >= similar - 1e-9 for k in range(13) for m in range(max(13, k + least), 26))
+        wanted = {(docs[i], docs[j]) for i in range(n) for j in range(n) if group[i] == group[j] and docs[j] < docs[i] and (labels[i] != labels[j] or not settled[i]) and near(i, j)}
+        pairs, more = passage_dedup.near_pairs(group, docs, settled, labels, tokens, least, similar, 10**6)
+        assert set(map(tuple, pairs.tolist())) == wanted and not more
+        few, more = passage_dedup.near_pairs(group, docs, settled, labels, tokens, least, similar, 1)
+        assert set(map(tuple, few.tolist())) <= wanted and (more or len(few) == len(pairs))
+
+
 def test_cut_passages_cuts_only_the_text_it_was_found_in(spark):
     rng = random.Random(23)
     passage, own = prose(rng, 60), prose(rng, 150)
