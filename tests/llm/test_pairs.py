@@ -171,6 +171,39 @@ def test_pairs_of_a_group_by_what_they_have_in_common():
         assert set(map(tuple, few.tolist())) <= wanted and (more or len(few) == len(pairs))
 
 
+def test_pairs_of_a_group_with_repeated_tokens(monkeypatch):
+    """Tokens count once in a stretch, as in the sets that are compared; rows in many groups' ways to their partners."""
+    monkeypatch.setattr(passage_dedup, "OFTEN", (2, 4))
+    monkeypatch.setattr(passage_dedup, "TURN", 20)
+    rng, seen = np.random.default_rng(37), 0
+    for _ in range(100):
+        n, similar, least = int(rng.integers(2, 30)), 0.8, int(rng.integers(8, 20))
+        group, docs, labels, settled = np.sort(rng.integers(0, 2, n)), rng.permutation(n), rng.integers(0, 3, n), rng.random(n) < 0.5
+        tokens = np.zeros((n, 25), np.uint16)
+        for row in tokens:
+            own = np.repeat(rng.integers(1, 9, 25), rng.integers(1, 9, 25))[:25]
+            row[: rng.integers(13, 26)] = own[0]
+            row[:] = np.where(row > 0, own, 0)
+        stretches = [(k, m) for k in range(13) for m in range(max(13, k + least), 26)]
+        sets = [[set(row[k:m].tolist()) for k, m in stretches if row[k:m].all()] for row in tokens]
+        near = lambda i, j: any(len(x & set(tokens[j].tolist())) >= similar * len(x) for x in sets[i])
+        counts = lambda i, j: group[i] == group[j] and docs[j] < docs[i] and (labels[i] != labels[j] or not settled[i])
+        pairs, more = passage_dedup.near_pairs(group, docs, settled, labels, tokens, least, similar, 10**6)
+        found, every = set(map(tuple, pairs.tolist())), [(i, j) for i in range(n) for j in range(n) if counts(i, j)]
+        # equal rows with equal labels stand for each other
+        stands = {}
+        for i in np.argsort(docs):
+            stands.setdefault((group[i], settled[i], labels[i], tokens[i].tobytes()), i)
+        kept = set(stands.values())
+        wanted = {(docs[i], docs[j]) for i, j in every if i in kept and j in kept and near(i, j)}
+        assert wanted <= found <= {(docs[i], docs[j]) for i, j in every} and not more
+        seen += len(wanted)
+        few, more = passage_dedup.near_pairs(group, docs, settled, labels, tokens, least, similar, 1)
+        assert set(map(tuple, few.tolist())) <= found and (more or len(few) == len(pairs))
+        assert {a for a, _ in few.tolist() if not settled[docs.tolist().index(a)]} == {a for a, _ in found if not settled[docs.tolist().index(a)]}
+    assert seen > 500
+
+
 def test_cut_passages_cuts_only_the_text_it_was_found_in(spark):
     rng = random.Random(23)
     passage, own = prose(rng, 60), prose(rng, 150)
