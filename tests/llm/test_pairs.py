@@ -204,6 +204,19 @@ def test_pairs_of_a_group_with_repeated_tokens(monkeypatch):
     assert seen > 500
 
 
+def test_a_task_joins_windows_in_small_parts(spark, monkeypatch):
+    """What a task holds before it joins windows stays small, as two tasks share an executor's memory with its heap."""
+    held, join = [], passage_dedup.join_windows
+    monkeypatch.setattr(passage_dedup, "join_windows", lambda windows, least: (held.append(len(windows)), join(windows, least))[1])
+    rng = random.Random(41)
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(1000), pa.int64()), "text": [prose(rng, 800) for _ in range(1000)]})
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    run = []
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: run.append(f))
+    passage_dedup.post_windows(docs, 4, 46)
+    assert sum(r.num_rows for r in run[0](iter([batch]))) and len(held) > 1 and max(held) <= 100_000
+
+
 def test_cut_passages_cuts_only_the_text_it_was_found_in(spark):
     rng = random.Random(23)
     passage, own = prose(rng, 60), prose(rng, 150)
