@@ -171,6 +171,55 @@ def test_pairs_of_a_group_by_what_they_have_in_common():
         assert set(map(tuple, few.tolist())) <= wanted and (more or len(few) == len(pairs))
 
 
+def test_blocks_of_a_group_give_all_its_pairs():
+    """A large group is compared in pairs of blocks, so that no task holds it whole."""
+    rng, least, similar = np.random.default_rng(41), 12, 0.8
+    tokens = rng.integers(1, 60000, 25)[None, :].repeat(60, 0).astype(np.uint16)
+    for row in tokens:
+        row[rng.integers(0, 25, 4)] = rng.integers(1, 60000, 4)
+    docs, labels, settled, block = rng.permutation(60), rng.integers(0, 3, 60), rng.random(60) < 0.5, np.arange(60) % 3
+    whole, more = passage_dedup.near_pairs(np.zeros(60, int), docs, settled, labels, tokens, least, similar, 10**6)
+    found = set()
+    for i in range(3):
+        for j in range(i, 3):
+            some = np.flatnonzero((block == i) | (block == j))
+            side = np.full(len(some), -1) if i == j else (block[some] == j).astype(int)
+            pairs, rest = passage_dedup.near_pairs(np.zeros(len(some), int), docs[some], settled[some], labels[some], tokens[some], least, similar, 10**6, side)
+            assert not rest and not found & set(map(tuple, pairs.tolist()))
+            found |= set(map(tuple, pairs.tolist()))
+    assert len(whole) > 300 and not more and found == set(map(tuple, whole.tolist()))
+
+
+def test_partners_of_a_window_are_tried_in_turn(monkeypatch):
+    """Of a large group of near windows no more pairs are compared and given on than a few each."""
+    compared, near = [], passage_dedup._Crowd.near
+    monkeypatch.setattr(passage_dedup._Crowd, "near", lambda rows, a, b: (compared.append(len(a)), near(rows, a, b))[1])
+    rng, n = np.random.default_rng(43), 240
+    tokens = rng.integers(1, 60000, 25)[None, :].repeat(n, 0).astype(np.uint16)
+    tokens[np.arange(n), rng.integers(0, 25, n)] = np.arange(n)
+    each = np.zeros(n, int)
+    pairs, more = passage_dedup.near_pairs(each, np.arange(n), each > 0, np.arange(n), tokens, 12, 0.8, passage_dedup.FIRST_TRIED)
+    assert more and {a for a, _ in pairs.tolist()} == set(range(1, n))
+    assert len(pairs) <= n * passage_dedup.FIRST_TRIED and sum(compared) <= 4 * n * passage_dedup.FIRST_TRIED
+
+
+@pytest.mark.parametrize("split", [10**6, 2])
+def test_large_groups_over_several_tasks(spark, split, monkeypatch):
+    """Near copies of templates that many texts have are found, whether a task compares a group whole or in blocks."""
+    monkeypatch.setattr(passage_dedup, "SPLIT_ROWS", split)
+    monkeypatch.setattr(passage_dedup, "BLOCK_ROWS", 2)
+    rng, rows = random.Random(47), []
+    for t in range(8):
+        template = prose(rng, 40).split(" ")
+        near = [*prose(rng, 5).split(" "), *template, *prose(rng, 9).split(" ")]
+        for i in range(7):
+            own = template if i not in (2, 5) else near if i == 2 else [*near[:48], f"new{t}", *near[49:]]
+            rows.append((len(rows), " ".join([*prose(rng, 40).split(" "), *own, *prose(rng, 40).split(" ")])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4, "doc_id")
+    found = {(r["doc_id"], r["other_id"]) for r in passage_dedup.find_passages(docs).collect()}
+    assert found == {(7 * t + 5, 7 * t + 2) for t in range(8)}
+
+
 def test_pairs_of_a_group_with_repeated_tokens(monkeypatch):
     """Tokens count once in a stretch, as in the sets that are compared; rows in many groups' ways to their partners."""
     monkeypatch.setattr(passage_dedup, "OFTEN", (2, 4))
