@@ -19,6 +19,8 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from operator import ge
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,6 +30,8 @@ from tessera.functions import text
 from tessera.functions.batches import parts
 
 BROADCAST_ROWS = 200_000
+KNOWN_TERMS = 20_000  # terms that a worker keeps ready
+_WORD = re.compile(r"\w+")
 
 
 def word_sequences(texts: DataFrame, key: str, fields: list[str], sizes: list[int]) -> DataFrame:
@@ -102,19 +106,26 @@ class TextWords:
     """The word sequences of one text, counted when they are first asked for."""
 
     def __init__(self, text: str | None):
-        self.text, self._exact, self._low = text or "", {}, {}
+        self.text, self._exact, self._low, self._words = text or "", {}, {}, None
+
+    def words(self) -> list[str]:
+        if self._words is None:
+            self._words = _WORD.findall(self.text)
+        return self._words
 
     def exact(self, n: int) -> Counter:
         if n not in self._exact:
             if n == 1:
-                self._exact[1] = Counter(re.findall(r"\w+", self.text))
+                self._exact[1] = Counter(self.words())
             else:
                 stretches = (s.split() for s in re.split(r"[^\w\s]+", self.text))
                 self._exact[n] = Counter(" ".join(w[i : i + n]) for w in stretches for i in range(len(w) - n + 1))
         return self._exact[n]
 
     def low(self, n: int) -> Counter:
-        if n not in self._low:
+        if n == 1 and n not in self._low:
+            self._low[1] = Counter(map(str.lower, self.words()))
+        elif n not in self._low:
             self._low[n] = found = Counter()
             for gram, times in self.exact(n).items():
                 found[gram.lower()] += times
@@ -134,7 +145,7 @@ class Term:
         self.forms = forms if self.exact else [f.lower() for f in forms]
         self.pattern = None
         head = {w.lower() for w in words[:-1]}
-        if not all(re.fullmatch(r"\w+", w) for w in words) or not head.isdisjoint(f.lower().rpartition(" ")[2] for f in forms):
+        if not all(map(_WORD.fullmatch, words)) or head and not head.isdisjoint(f.lower().rpartition(" ")[2] for f in forms):
             tail = re.escape(last[:-1]) + "s?" if stem else re.escape(last) + ("(?:s|es)?" if plural else "")
             self.pattern = re.compile(r"(?<!\w)" + r"\s+".join([*map(re.escape, words[:-1]), tail]) + r"(?!\w)", 0 if self.exact else re.IGNORECASE)
 
@@ -142,29 +153,56 @@ class Term:
         if self.pattern:
             return sum(1 for _ in self.pattern.finditer(words.text))
         found = words.exact(self.n) if self.exact else words.low(self.n)
-        return sum(found[f] for f in self.forms)
-
-
-def own_term_counts(texts: DataFrame, terms: str, key: str, fields: list[str], plural: bool = False) -> DataFrame:
+        times = 0
+        for form in self.forms:
+            if form in found:
+                times += found[form]
+        return times
+
+
+@lru_cache(maxsize=KNOWN_TERMS)
+def _known(term: str, plural: bool) -> Term:
+    return Term(term, plural)
+
+
+def own_times(listed: list[str | None], values: list[str | None], plural: bool, least: list[int]) -> Iterator[tuple]:
+    """(term, times in each value) of the terms that stand in some value `least` times."""
+    texts, seen = [TextWords(v) for v in values], set()
+    counts = {exact: [x.exact(1) if exact else x.low(1) for x in texts] for exact in (False, True)} if listed else {}
+    for raw in dict.fromkeys(listed):
+        term = " ".join(raw.split()) if raw else ""
+        if not term or (low := term.lower()) in seen:
+            continue
+        seen.add(low)
+        asked = _known(term, plural)
+        if asked.n > 1 or asked.pattern:
+            times = [asked.times(x) for x in texts]
+        else:  # most terms are one word
+            times = []
+            for found in counts[asked.exact]:
+                n = 0
+                for form in asked.forms:
+                    if form in found:
+                        n += found[form]
+                times.append(n)
+        if any(map(ge, times, least)):
+            yield (term, *times)
+
+
+def own_term_counts(texts: DataFrame, terms: str, key: str, fields: list[str], plural: bool = False, least: list[int] | None = None) -> DataFrame:
     """(key, term, and for each field how often the term stands in it) for the array of terms that each text has.
 
     Terms are collapsed; of spellings that differ in case the first one counts. Only
-    terms that stand somewhere come out. Rules are those of term_counts.
+    terms that stand somewhere come out, those with `least` of some field if that is
+    given. Rules are those of term_counts.
     """
+    bars = least or [1] * len(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in parts(whole)):
             rows = []
             for k, listed, *values in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-                texts_, seen = [TextWords(v) for v in values], set()
-                for raw in listed or ():
-                    term = " ".join(raw.split()) if raw else ""
-                    if term and term.lower() not in seen:
-                        seen.add(term.lower())
-                        asked = Term(term, plural)
-                        times = [asked.times(x) for x in texts_]
-                        if any(times):
-                            rows.append((k, term, *times))
+                rows += [(k, *found) for found in own_times(listed or (), values, plural, bars)]
             columns = list(zip(*rows)) if rows else [()] * (2 + len(fields))
             yield pa.RecordBatch.from_arrays([pa.array(columns[0], batch.column(0).type), pa.array(columns[1], pa.string()), *[pa.array(c, pa.int64()) for c in columns[2:]]], [key, "term", *fields])
 

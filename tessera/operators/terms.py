@@ -14,7 +14,7 @@ MAX_SHARE = 0.04
 
 def document_frequency(awards: DataFrame, terms: str = "terms", least: int = MIN_AWARDS) -> DataFrame:
     """(term, awards) of terms on at least `least` awards; a term counts once an award."""
-    clean = F.array_distinct(F.filter(F.transform(terms, text.collapse), lambda t: t != ""))
+    clean = F.array_distinct(F.filter(F.transform(F.array_distinct(terms), text.collapse), lambda t: t != ""))
     return awards.select(F.explode(clean).alias("term")).groupBy("term").agg(F.count("*").alias("awards")).where(F.col("awards") >= least)
 
 
@@ -27,8 +27,8 @@ def term_scores(awards: DataFrame, frequency: DataFrame, total: int, key: str =
     of a term that differ in case an award's first one counts.
     """
     usable = frequency.where((F.col("awards") >= MIN_AWARDS) & (F.col("awards") <= total * MAX_SHARE))
-    counts = matching.own_term_counts(awards, "terms", key, ["title", "statement", "abstract"], plural=True)
-    found = counts.where("title > 0 OR statement > 0 OR abstract >= 2").join(usable, "term").where(text.chip_allowed(F.col("term")))
+    counts = matching.own_term_counts(awards, "terms", key, ["title", "statement", "abstract"], plural=True, least=[1, 1, 2])
+    found = counts.join(usable, "term").where(text.chip_allowed(F.col("term")))
     weight = F.when(F.col("title") > 0, 3.0).otherwise(0.0) + F.when(F.col("statement") > 0, 2.0).otherwise(0.0) + F.least("abstract", F.lit(5)) * 0.4
     return found.select(key, "term", (F.ln(F.lit(float(total)) / F.col("awards")) * weight).alias("score"))
 
